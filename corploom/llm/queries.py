@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from corploom.llm import quality, toxicity
 from corploom.llm.jaccard import near_duplicates
 from corploom.llm.mixing import mix
 from corploom.llm.packing import pack_documents
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "quality") as scratch:
+        return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), scratch)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark, "mixing") as scratch:
         return mix(_table(spark, sf_dir, "documents"), scratch).select("doc_id", "size", "source_size", "target", "taken")
@@ -31,11 +37,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pack_documents(_table(spark, sf_dir, "documents"), scratch, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).drop("passages")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_qda": op1_quality_qda,
         "op2_source_mixing": op2_source_mixing,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_toxic_segments": op6_toxic_segments,
     }
 
 
