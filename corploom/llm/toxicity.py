@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corploom.llm.folds import fold, labelled
+from corploom.llm.words import document_shingles, signed
 
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5, 6)
@@ -38,7 +39,7 @@ class ToxicityModel:
 
     counts: dict[str, tuple[float, float]]
     prior: float = 8.0
-    drift: float = 0.7
+    drift: float = 1.5
     rate: float = 1e-4
     decay: float = 1.0
     slope: float = 1.0
@@ -127,12 +128,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[floa
     return float(b[0]), float(b[1])
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least and the greatest hash of each text's three-word shingles (0 without words)."""
+    for batch in batches:
+        ends = [(s[0], s[-1]) if len(s) else (0, 0) for _, s in document_shingles(batch.column(1), 3)]
+        lo, hi = (signed(np.array([e[k] for e in ends], dtype=np.uint64)) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lo), pa.array(hi)], names=["doc_id", "text", "label", "fold", "lo", "hi"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int = 3, column: str = "toxic") -> ToxicityModel:
-    """Learn from at most about most labelled rows outside fold 0; of equal texts one counts. No such rows: a model that rejects nothing."""
+    """Learn from at most about most labelled rows outside fold 0; of near copies one counts. No such rows: a model that rejects nothing."""
     rows = labelled(labels, column, most)
     # a side of most rows at the most
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").where("text IS NOT NULL")
-    known = known.groupBy(F.xxhash64("text").alias("same")).agg(F.min_by(F.struct("text", "label", "fold"), F.struct("doc_id")).alias("r")).select("r.*")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "label", "fold")
+    # near copies would make their rare words look toxic: of rows that share the least or the greatest shingle hash, one stays
+    known = known.mapInArrow(_ends, "doc_id long, text string, label int, fold int, lo long, hi long")
+    row = F.struct("doc_id", "text", "label", "fold", "lo", "hi")
+    for end in ("lo", "hi"):
+        known = known.groupBy(end).agg(F.min(row).alias("r")).select("r.*")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
