@@ -81,21 +81,37 @@ def _thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("below"))
 
 
+def plan(sized: DataFrame, scratch: Scratch, cap: int = 3) -> DataFrame:
+    """One row for each source of sized (source, hash, size): source_size, target, passes and below. A row is taken
+    passes times, and once more if its hash is less than below."""
+    shares = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    budgets = shares.withColumn("passes", passes).withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
+    below = _thresholds(sized, budgets).withColumnRenamed("source", "s")
+    return scratch.save(budgets.join(below, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("plan_source"), "source_size", "target", "passes", "below"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, source: Column, row: Column, cap: int = 3) -> DataFrame:
+    """rows joined with their source's plan and copies, the times the mix takes them. Plans of a bounded number of sources are
+    broadcast, so that rows needn't move; beyond it Spark shuffles."""
+    if plan.count() <= 200_000:
+        plan = F.broadcast(plan)
+    return rows.join(plan, source.eqNullSafe(F.col("plan_source"))).withColumn("copies", F.least(F.col("passes") + (row < F.col("below")).cast("long"), F.lit(cap)))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, hash) of each row of docs."""
+    ids = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
+    return ids.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
+
+
 def mix(docs: DataFrame, scratch: Scratch, cap: int = 3) -> DataFrame:
-    """docs' rows as (doc_id, size, source_size, target, taken), taken the words that the mix takes, repeats counted.
+    """docs' rows as (doc_id, source, size, source_size, target, copies, taken), taken the words that the mix takes, repeats counted.
 
     Every row is in it, also with taken 0. Null text has size 0; a null source is a source of its own; a null
-    doc_id counts as a value. Rows of one id and equal text have one hash and are taken or left together. An empty
-    input gives an empty result. Columns other than doc_id, text and source are ignored.
+    doc_id counts as a value. Rows of one id have one hash and are taken or left together. An empty input gives an
+    empty result. Columns other than doc_id, text and source are ignored.
     """
-    ids = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    sized = scratch.save(ids.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash")))
-    shares = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    budgets = shares.withColumn("passes", passes).withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
-    below = _thresholds(sized, budgets)
-    plan = scratch.save(budgets.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    p = plan.withColumnRenamed("source", "s")
-    joined = sized.join(p, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.least(F.col("passes") + (F.col("hash") < F.col("below")).cast("long"), F.lit(cap))
-    return scratch.save(joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source"), keep=True)
+    sized = scratch.save(sizes(docs))
+    joined = with_copies(sized, plan(sized, scratch, cap), F.col("source"), F.col("hash"), cap)
+    return scratch.save(joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")), keep=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corploom.llm import quality, toxicity
+from corploom.llm import langid, quality, toxicity
 from corploom.llm.jaccard import near_duplicates
 from corploom.llm.mixing import mix
 from corploom.llm.packing import pack_documents
@@ -32,6 +32,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, threshold="0.9")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "langid") as scratch:
+        return langid.identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), scratch)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark, "packing") as scratch:
         return pack_documents(_table(spark, sf_dir, "documents"), scratch, public_tokenizers.path("byte_bpe_50k.json"))
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_qda": op1_quality_qda,
         "op2_source_mixing": op2_source_mixing,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_toxic_segments": op6_toxic_segments,
     }
