@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corploom.llm import langid, quality, toxicity
+from corploom.llm.ann import nearest
+from corploom.llm.chat import rotate
 from corploom.llm.jaccard import near_duplicates
 from corploom.llm.mixing import mix
 from corploom.llm.packing import pack_documents
+from corploom.llm.pq import near_vectors
 from corploom.llm.scratch import Scratch
+from corploom.llm.tokencount import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +51,25 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).drop("passages")
 
 
+def op7_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "pq") as scratch:
+        return near_vectors(_table(spark, sf_dir, "embeddings"), scratch)
+
+
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    with Scratch(spark, "ann") as scratch:
+        return nearest(vectors, vectors.where("vec_id % 100 = 0"), scratch)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_qda": op1_quality_qda,
@@ -55,6 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_toxic_segments": op6_toxic_segments,
+        "op7_pq_near_dedup": op7_pq_near_dedup,
+        "op8_chat_rotation": op8_chat_rotation,
+        "op9_trie_token_counts": op9_trie_token_counts,
+        "op10_collision_ann": op10_collision_ann,
     }
 
 
@@ -82,5 +109,21 @@ SELECT doc_id, size, source_size, target, CAST(size * least(passes + CASE WHEN u
 """
 
 
+_OP8 = r"""
+WITH r AS (SELECT conv_id, turn, CASE WHEN trim(role) <> '' THEN trim(role) END AS speaker, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM r WHERE speaker IS NOT NULL AND speaker <> 'system'),
+placed AS (
+  SELECT r.*, perspective, coalesce(speaker = perspective, false) AS own,
+         CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
+  FROM r JOIN people ON conv_id IS NOT DISTINCT FROM c),
+named AS (SELECT *, CASE WHEN role = 'user' THEN coalesce(speaker, 'unknown') END AS name FROM placed),
+rendered AS (SELECT *, '<|' || role || '|>' || coalesce('name=' || name, '') || chr(10) || text || '<|end|>' || chr(10) AS rendered FROM named)
+SELECT conv_id, perspective, CAST(row_number() OVER w - 1 AS INTEGER) AS position, turn, role, name, rendered,
+       CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+       CAST(own AS INTEGER) AS mask
+FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, text)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": _OP2}
+    return {"op2_source_mixing": _OP2, "op8_chat_rotation": _OP8}
