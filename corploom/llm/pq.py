@@ -196,9 +196,9 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, limit: float = 0.93) -> D
         asked = placed.select("label", F.explode("probes").alias("home")).groupBy("label", "home").agg(F.ceil(F.count("*") / (4 * BLOCK_ROWS)).cast("int").alias("query_blocks"))
         grid = scratch.save(sizes.join(asked, ["label", "home"]))
         salt = F.xxhash64("node")
-        members = placed.drop("probes").join(grid, ["label", "home"]).withColumn("block", F.pmod(salt, F.col("blocks"))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+        members = placed.drop("probes").join(grid, ["label", "home"]).withColumn("block", F.pmod(salt, F.col("blocks")).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
         probing = placed.select("node", "label", "embedding", "copies", F.col("home").alias("own"), F.explode("probes").alias("home")).join(grid, ["label", "home"])
-        probing = probing.withColumn("query_block", F.pmod(salt, F.col("query_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        probing = probing.withColumn("query_block", F.pmod(salt, F.col("query_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         key = ["label", "home", "block", "query_block"]
         # the two sides come from one table: each needs columns of its own
         left = probing.select(*[F.col(c).alias(c) for c in ("node", "embedding", "copies", "own", *key)]).groupBy(*key)
