@@ -24,7 +24,7 @@ def offsets(counts: DataFrame, key: str, n: str, by: tuple[str, ...] = (), tie:
     sums = placed.groupBy(*by, "_range").agg(F.sum(n).alias("_sum"))
     sums = sums.select(*by, "_range", before(Window.partitionBy(*by).orderBy("_range"), "_sum").alias("_before"))
     inside = placed.withColumn("_inside", before(Window.partitionBy(*by, "_range").orderBy(*order), n))
-    return inside.join(sums, [*by, "_range"]).withColumn("offset", (F.col("_inside") + F.col("_before")).cast("long")).drop("_range", "_before", "_inside")
+    return inside.join(sums, [*by, "_range"]).withColumn("offset", (F.col("_inside") + F.col("_before")).cast("long")).select(*counts.columns, "offset")
 
 
 def indexed(rows: DataFrame, key: str, out: str, tie: str | None = None) -> DataFrame:
