@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corploom.operators.positions import indexed
+
 #: A vocabulary up to this size is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_TOKENS = 2_000_000
 
@@ -52,11 +54,11 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 def build_vocab(counts: DataFrame, specials: list[str] = (), max_size: int | None = None, min_freq: int = 0) -> DataFrame:
     """(token, token_id, cnt): specials first, then the max_size commonest (ties by first occurrence) with cnt >= min_freq, without specials."""
-    rank = F.row_number().over(Window.orderBy(F.col("cnt").desc(), F.col("first_pos")))
-    top = counts.where(F.col("cnt") >= min_freq)
+    top = counts.where(F.col("cnt") >= min_freq).withColumn("_k", -F.col("cnt"))
     if max_size is not None:
-        top = top.orderBy(F.col("cnt").desc(), F.col("first_pos")).limit(max_size)
-    ranked = top.where(~F.col("token").isin(list(specials))).withColumn("token_id", (rank - 1 + len(specials)).cast("int")).select("token", "token_id", "cnt")
+        top = top.orderBy("_k", "first_pos").limit(max_size)
+    ranked = indexed(top.where(~F.col("token").isin(list(specials))), "_k", "_rank", tie="first_pos")
+    ranked = ranked.select("token", (F.col("_rank") + len(specials)).cast("int").alias("token_id"), "cnt")
     if not specials:
         return ranked
     spark = counts.sparkSession
@@ -73,7 +75,7 @@ def vocab_from_lines(lines: DataFrame, specials_after: list[str] = ()) -> DataFr
         spark = lines.sparkSession
         more = spark.createDataFrame([(s, 2**62 + k) for k, s in enumerate(specials_after)], "token string, line_no long")
         kept = kept.unionByName(more.join(kept, "token", "left_anti"))
-    return kept.select("token", (F.row_number().over(Window.orderBy("line_no")) - 1).cast("int").alias("token_id"))
+    return indexed(kept, "line_no", "token_id").select("token", F.col("token_id").cast("int").alias("token_id"))
 
 
 def _side(vocab: DataFrame) -> DataFrame:

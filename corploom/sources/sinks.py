@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corploom.functions.arrays import indices
+from corploom.operators.positions import indexed
 
 
 def document_records(docs: DataFrame, sents: str = "sents", type_id: int = 0) -> DataFrame:
@@ -52,8 +53,11 @@ def write_texts(lines: DataFrame, path: str, by: str, order: str, text: str = "l
 
 
 def dump_parts(store: DataFrame, order: str, parts: int = 10) -> DataFrame:
-    """store with part: parts runs of near-equal size in order. For a distributed order, ranges are cut at exact quantiles."""
-    return store.withColumn("part", F.ntile(parts).over(Window.orderBy(order)))
+    """store with part from 1: parts runs of near-equal size in order, the first ones taking one row more."""
+    each, more = divmod(store.count(), parts)
+    i, big = F.col("_i"), (each + 1) * more
+    part = F.when(i < big, F.floor(i / (each + 1))).otherwise(more + F.floor((i - big) / max(each, 1)))
+    return indexed(store, order, "_i").withColumn("part", (part + 1).cast("int")).drop("_i")
 
 
 def write_dump(store: DataFrame, path: str, order: str, parts: int = 10) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corploom.functions import text as tx
+from corploom.operators.positions import offsets
 
 
 @dataclass(frozen=True)
@@ -38,11 +39,13 @@ CORPORA = {
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, file_idx from 1, line_no from 0, line) of text files. A file's lines are numbered by where they stand in its splits:
-    each task numbers its own, and only task totals are summed."""
+    each split's lines are numbered by themselves, and only the splits' sizes are summed."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"), F.col("value").alias("line"))
-    w = Window.partitionBy("path").orderBy("_block", "_m")
-    files = raw.select("path").distinct().withColumn("file_idx", F.dense_rank().over(Window.orderBy("path")))
-    return raw.withColumn("line_no", F.row_number().over(w).cast("long") - 1).join(F.broadcast(files), "path").select("path", "file_idx", "line_no", "line")
+    split = raw.withColumn("_in", F.row_number().over(Window.partitionBy("path", "_block").orderBy("_m")) - 1)
+    sizes = raw.groupBy("path", "_block").agg(F.count("*").alias("_n"))  # a row for each split of a file
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("path", "_block", before.alias("_start"), F.dense_rank().over(Window.orderBy("path")).alias("file_idx"))
+    return split.join(starts, ["path", "_block"]).select("path", "file_idx", (F.col("_start") + F.col("_in")).cast("long").alias("line_no"), "line")
 
 
 def document_lines(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -59,7 +62,7 @@ def sentences(rows: DataFrame, encode: Column, eos: int | None = None, double: b
 def documents(rows: DataFrame, keys: tuple[str, ...] = ("path",), min_doc_len: int = 1) -> DataFrame:
     """(keys.., doc_no, sents array<array<string>>, n_tokens): runs of lines between blank ones with at least max(min_doc_len, 1) tokens."""
     blank = tx.strip(F.col("line")) == ""
-    marked = rows.withColumn("doc_no", F.sum(blank.cast("int")).over(Window.partitionBy(*keys).orderBy("line_no"))).where(~blank)
+    marked = offsets(rows.withColumn("_b", blank.cast("long")), "line_no", "_b", keys).withColumn("doc_no", F.col("offset") + F.col("_b")).where("_b = 0")
     sent = marked.select(*keys, "doc_no", "line_no", tx.words(F.col("line")).alias("s"))
     grouped = sent.groupBy(*keys, "doc_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda x: x["s"]).alias("sents"), F.sum(F.size("s")).cast("long").alias("n_tokens"))
     return grouped.where(F.col("n_tokens") >= max(min_doc_len, 1))
