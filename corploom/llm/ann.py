@@ -22,9 +22,9 @@ LINES = 96
 #: Part of the lines whose windows a candidate lies in.
 THRESHOLD = 0.6
 CERTAIN = 0.99
-STEP = 1.15
+STEP = 1.3
 #: Vectors and queries that one task holds.
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+BLOCK_ROWS, QUERY_ROWS = 32768, 1024
 
 
 def _reach() -> float:
@@ -47,23 +47,28 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
     order = np.argsort(along, axis=0, kind="stable").T.copy()
     ranked = np.take_along_axis(along, order.T, axis=0).T.copy()
     need, reach = math.ceil(THRESHOLD * LINES), _reach()
-    spread = float(np.median(np.abs(along - np.median(along, axis=0)))) or 1e-3
+    few = x[:: max(1, len(x) // 256)]
     out = []
     for q, own in zip(queries, query_ids, strict=True):
         centre = q @ lines
-        hits = np.zeros(len(x), dtype=np.int16)
+        hits = np.zeros(len(x), dtype=np.uint8)
         verified = np.zeros(len(x), dtype=bool)
         distance = np.full(len(x), np.inf)
         lo = np.array([np.searchsorted(ranked[m], centre[m]) for m in range(LINES)])
         hi = lo.copy()
-        width = spread / 8
+        # the first windows suit half the distance of the k-th nearest of a few rows
+        near = np.sqrt(((few - q) ** 2).sum(axis=1))
+        width = max(1e-9, reach / 2 * float(np.partition(near, min(k, len(near)) - 1)[min(k, len(near)) - 1]))
         while True:
             for m in range(LINES):
-                a, b = np.searchsorted(ranked[m], (centre[m] - width, centre[m] + width))
-                b = max(b, np.searchsorted(ranked[m], centre[m] + width, side="right"))
-                hits[order[m, a : lo[m]]] += 1
-                hits[order[m, hi[m] : b]] += 1
-                lo[m], hi[m] = min(a, lo[m]), max(b, hi[m])
+                line, places = ranked[m], order[m]
+                a, b = line.searchsorted(centre[m] - width), line.searchsorted(centre[m] + width, "right")
+                if a < lo[m]:
+                    hits[places[a : lo[m]]] += 1
+                    lo[m] = a
+                if b > hi[m]:
+                    hits[places[hi[m] : b]] += 1
+                    hi[m] = b
             new = np.flatnonzero((hits >= need) & ~verified)
             if len(new):
                 verified[new] = True
