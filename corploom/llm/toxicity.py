@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A token's log-odds come from document counts by class at growing prefixes of the word and at the word itself, each
-a Dirichlet posterior whose prior mean is that of the shorter prefix. A linear-time scan (Ruzzo and Tompa) finds
+A token's log-odds are a chain of Dirichlet posteriors, each the prior mean of the next: growing prefixes of the word, by
+how many different words with that prefix only toxic or also clean documents have, and then the word, by documents. A linear-time scan (Ruzzo and Tompa) finds
 all maximal segments of the scores less a drift. Segment scores become E-values by extreme-value statistics
 (Karlin and Altschul) with the rate and decay of non-toxic text, and the document's evidence is the sum of
 -ln E over significant segments, turned into a probability by a logistic curve on rows the counts have not seen.
@@ -35,7 +35,7 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """counts: feature -> documents of class 1, documents of class 0 scaled to as many documents."""
+    """counts: feature -> count of class 1, count of class 0 scaled to as many documents (of a prefix words, of a word documents)."""
 
     counts: dict[str, tuple[float, float]]
     prior: float = 8.0
@@ -115,13 +115,12 @@ def _decay(scores: np.ndarray, counts: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[float, float]:
-    """Slope and offset of a ridge logistic curve, classes weighted alike."""
+    """Slope and offset of a ridge logistic curve."""
     X = np.column_stack([x, np.ones(len(x))])
-    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     b = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(X @ b, -50, 50)))
-        step = np.linalg.solve((X * (w * p * (1 - p))[:, None]).T @ X + penalty * np.eye(2), X.T @ (w * (p - y)) + penalty * b)
+        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + penalty * np.eye(2), X.T @ (p - y) + penalty * b)
         b -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -136,8 +135,8 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lo), pa.array(hi)], names=["doc_id", "text", "label", "fold", "lo", "hi"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int = 3, column: str = "toxic") -> ToxicityModel:
-    """Learn from at most about most labelled rows outside fold 0; of near copies one counts. No such rows: a model that rejects nothing."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int = 3, most_stems: int = 2000, column: str = "toxic") -> ToxicityModel:
+    """Learn from at most about most labelled rows outside fold 0; of near copies one counts. No such rows: a model that rejects nothing. Of prefixes the most_stems strongest count."""
     rows = labelled(labels, column, most)
     # a side of most rows at the most
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "label", "fold")
@@ -153,29 +152,32 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int
         both: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[label == 1].update({f for w in set(_WORD.findall(text.lower())) for f in features(w)})
-                both[label == 1]["#"] += 1
+                both[label == 1].update(set(_WORD.findall(text.lower())))
+                both[label == 1]["#"] += 1  # no word has this sign
         for label, c in enumerate(both):
             names = list(c)
             for k in range(0, len(names), 50_000):
                 part = names[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0 if label == 0 else c[f] for f in part], pa.int64()), pa.array([c[f] if label == 0 else 0 for f in part], pa.int64())], names=["feature", "c1", "c0"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0 if label == 0 else c[f] for f in part], pa.int64()), pa.array([c[f] if label == 0 else 0 for f in part], pa.int64())], names=["word", "c1", "c0"])
 
-    counted = known.where(F.col("fold") != _CALIBRATION_FOLD).select("text", "label").mapInArrow(count, "feature string, c1 long, c0 long")
-    counted = counted.groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).where(f"c1 >= {least_docs} OR (c1 = 0 AND c0 >= 2) OR feature = '#'")
+    counted = known.where(F.col("fold") != _CALIBRATION_FOLD).select("text", "label").mapInArrow(count, "word string, c1 long, c0 long")
+    counted = counted.groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     counted.persist()
     try:
-        totals = counted.where("feature = '#'").first()
+        totals = counted.where("word = '#'").first()
         if totals is None or not totals["c1"] or not totals["c0"]:
             return ToxicityModel({})
         scale = totals["c1"] / totals["c0"]
-        strong = counted.where(f"feature <> '#' AND c1 >= {least_docs} AND c1 >= {2 * scale} * c0")
-        model = ToxicityModel({r["feature"]: (float(r["c1"]), r["c0"] * scale) for r in strong.toLocalIterator()})
-        stems = [f for f in model.counts if f[0] != "="]
-        if stems:  # children of toxic prefixes that clean documents have
-            parent = F.array(*[F.substring(F.regexp_replace("feature", "^=", ""), 1, k) for k in _PREFIXES])
-            marked = counted.where("feature <> '#' AND c1 = 0").where(F.exists(parent, lambda p: p.isin(stems))) if len(stems) <= 2000 else counted.limit(0)
-            model.counts.update({r["feature"]: (0.0, r["c0"] * scale) for r in marked.toLocalIterator()})
+        words = counted.where("word <> '#'")
+        starts = F.filter(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in _PREFIXES]), lambda x: x.isNotNull())
+        kinds = words.select(F.explode(starts).alias("prefix"), ((F.col("c1") > 0) & (F.col("c0") == 0)).cast("long").alias("c1"), (F.col("c0") > 0).cast("long").alias("c0"))
+        kinds = kinds.groupBy("prefix").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+        strong = kinds.where(f"c1 >= {least_docs} AND c1 >= {4 * scale} * c0").withColumn("excess", F.col("c1") - scale * F.col("c0"))
+        stems = {r["prefix"]: (float(r["c1"]), r["c0"] * scale) for r in strong.orderBy(F.col("excess").desc(), "prefix").limit(most_stems).collect()}
+        marked = words.where(f"c1 >= {least_docs} AND c1 >= {2 * scale} * c0")
+        if stems:  # and what clean documents have of such words
+            marked = marked.unionByName(words.where(F.exists(starts, lambda x: x.isin(list(stems)))).where("c0 > 0")).distinct()
+        model = ToxicityModel(stems | {"=" + r["word"]: (float(r["c1"]), r["c0"] * scale) for r in marked.toLocalIterator()})
     finally:
         counted.unpersist()
 
