@@ -5,8 +5,8 @@
    Two sets with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each (the prefix), so joining
    on prefix shingles loses no pair.
 3. Pairs that share a prefix shingle pass the length filter, the positional filter (what can still be
-   common after the shared shingle) and the suffix filter (the Hamming distance of 512-bit parity sketches
-   never exceeds the sets' symmetric difference), and are then verified on the full sets, once per pair.
+   common after the shared shingle) and the suffix filter (the Hamming distance of parity sketches never exceeds
+   the sets' symmetric difference; sketches grow with the set), and are then verified on the full sets, once per pair.
 4. First each prefix shingle's group is compared with one hub of its own, which is linear in the group; what
    that leaves in different components is then compared exhaustively, so that a group of near copies doesn't
    give all its pairs and yet no link between components is lost.
@@ -30,8 +30,8 @@ from corploom.llm.words import document_shingles, flat_shingles, mix, signed
 
 #: Counters of the table that orders shingles; a fixed 8 MB on the driver and in each Python worker.
 COUNT_BITS = 20
-#: Longs of a parity sketch (512 bits).
-SKETCH = 8
+#: Longs of the parity sketch of a set of at most SKETCHED shingles; one of twice as many has twice as long a sketch.
+SKETCH, SKETCHED = 8, 1024
 #: Below this many keys a side is sent to all executors (some 100 MB at most); above, Spark shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -41,7 +41,10 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _sketch(h: np.ndarray) -> list[int]:
-    bits = np.bincount((mix(h) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    size = 64 * SKETCH
+    while size * SKETCHED < len(h) * 64 * SKETCH:
+        size *= 2
+    bits = np.bincount((mix(h) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(">i8").tolist()
 
 
@@ -91,14 +94,27 @@ def _need(na: Column, nb: Column, t: Fraction) -> Column:
     return ((top - F.pmod(top, F.lit(q))) / q).cast("long")
 
 
-def _passes(x: str, y: str, t: Fraction) -> Column:
-    """Length, positional and suffix filters for a shared prefix shingle at places x.pos and y.pos (from 0)."""
+def _length(x: str, y: str, t: Fraction) -> Column:
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return F.least(nx, ny) * t.denominator >= F.greatest(nx, ny) * t.numerator
+
+
+def _positional(x: str, y: str, t: Fraction) -> Column:
+    """Length and positional filters for a shared prefix shingle at places x.pos and y.pos (from 0)."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = _need(nx, ny, t)
     left = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
-    differ = sum((F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(SKETCH)), F.lit(0))
-    length = F.least(nx, ny) * t.denominator >= F.greatest(nx, ny) * t.numerator
-    return length & (left >= need) & (differ <= nx + ny - 2 * need)
+    return _length(x, y, t) & (left >= _need(nx, ny, t))
+
+
+def _suffix(x: str, y: str, t: Fraction) -> Column:
+    """Suffix filter: sketches that differ in more bits than sets of that similarity can."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    # sets of nearly one size may lie on either side of a doubling: the longer sketch is folded in half
+    half = lambda s, n: F.when(F.size(s) > n, F.zip_with(F.slice(s, 1, n), F.slice(s, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(s)
+    a, b = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    short = F.least(F.size(a), F.size(b))
+    differ = F.aggregate(F.zip_with(half(a, short), half(b, short), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    return differ <= nx + ny - 2 * _need(nx, ny, t)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -143,37 +159,46 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: st
         .withColumn("node", F.monotonically_increasing_id())
     )
     prefixes = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    hubs = prefixes.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("n", "node", "pos")).alias("hub")).where("size > 1")
-    shared = scratch.save(prefixes.join(hubs, "token").select("token", "node", "n", "pos", "size", F.col("hub.node").alias("hub")))
-    seen = shared.select("node").distinct().join(nodes.select("node", *name, "sketch", "least_id"), "node")
-    seen = scratch.save(seen)
-
-    wanted = seen.select(F.col("least_id").alias("doc_id")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    around = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = _sets(around, width).dropDuplicates(name).join(seen.select("node", *name), name).select("node", "blob")
-    sets = scratch.save(sets)
-
-    sketched = shared.join(seen.select("node", "sketch"), "node")
-    centre = sketched.where("node = hub").alias("x")
-    rest = sketched.where("node <> hub").alias("y")
-    starred = centre.join(rest, F.col("x.token") == F.col("y.token")).where(_passes("x", "y", t))
-    pairs = starred.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = scratch.save(_verified(pairs, sets, t))
+    # the least node by one of three orders: so a group of near copies, which shares many shingles, has three hubs
+    third = F.pmod("token", F.lit(3))
+    mask = F.when(third == 0, F.lit(0)).when(third == 1, F.lit(2**62 - 1)).otherwise(F.lit(0x2AAAAAAAAAAAAAAA))
+    key = F.col("node").bitwiseXOR(mask)
+    groups = scratch.save(prefixes.select("token", key.alias("key")).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("size")).where("size > 1"))
+    two = groups.where("size = 2").select(F.col("lo").bitwiseXOR(mask).alias("a"), F.col("hi").bitwiseXOR(mask).alias("b"))
+    many = groups.where("size > 2").select("token", F.col("lo").bitwiseXOR(mask).alias("hub"))
+    if many.count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    shared = scratch.save(prefixes.join(many, "token"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verifies distinct pairs; only texts of rows in pairs are read into sets again."""
+        pairs = scratch.save(pairs)
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least_id", *name), "node")
+        used = scratch.save(used)
+        wanted, known = used.select(F.col("least_id").alias("doc_id")).distinct(), used.select("node", *name)
+        if used.count() <= BROADCAST_ROWS:
+            wanted, known = F.broadcast(wanted), F.broadcast(known)
+        around = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+        # a repeated row gives its set again, and its links again, which changes nothing
+        sets = scratch.save(_sets(around, width).join(known, name).select("node", "blob"))
+        return scratch.save(_verified(pairs, sets, t))
+
+    sketches, lengths = nodes.select("node", "n", "sketch"), nodes.select("node", "n")
+    starred = two.union(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    starred = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    starred = starred.join(lengths.alias("x"), F.col("a") == F.col("x.node")).join(lengths.alias("y"), F.col("b") == F.col("y.node")).where(_length("x", "y", t)).select("a", "b")
+    both = starred.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
+    links = linked(both.where(_suffix("x", "y", t)).select("a", "b"))
     first = scratch.save(components(links, scratch))
 
-    placed = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("hub", "size")
+    # every pair with a hub has been seen; of the others, those that span components are left
+    placed = shared.where("node <> hub").join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("hub")
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_rows = scratch.save(placed.join(mixed, "token", "left_semi").join(seen.select("node", "sketch"), "node"))
+    open_rows = scratch.save(placed.join(mixed, "token", "left_semi").join(sketches.drop("n"), "node"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    crossing = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _passes("x", "y", t))
-    pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = scratch.save(_verified(pairs, sets, t))
-    if more.isEmpty():
-        final = first
-    else:
-        final = scratch.save(components(links.union(more), scratch))
+    crossing = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _positional("x", "y", t) & _suffix("x", "y", t))
+    more = linked(crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    final = first if more.isEmpty() else scratch.save(components(links.union(more), scratch))
 
     placed = nodes.select("node", "least_id", *name).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
