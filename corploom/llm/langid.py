@@ -178,7 +178,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame, scratch: Scratch) -> DataF
 
 
 def keep_known(docs: DataFrame, model: TextModel, scratch: Scratch, least: float = 0.5, scale: float = 50.0, strength: float = 5.0) -> DataFrame:
-    """docs (with text, lang and source) without rows in no known language; all columns stay.
+    """docs (with text, lang and source) without rows in no known language; all columns stay. Only a row for each source is kept in scratch.
 
     lang is the declared language and source stands for the host. A row goes if it has no letters, or if the fused
     posterior of the known languages is below least: no language explains the text better than chance does, and
@@ -192,7 +192,7 @@ def keep_known(docs: DataFrame, model: TextModel, scratch: Scratch, least: float
     base = [(n + 1) / (sum(total) + len(names)) for n in total]
     counted = _counts(seen.where("host IS NOT NULL"), "host", names)
     size = sum((F.col(f"host_{k}") for k in range(len(names))), F.lit(0.0))
-    priors = scratch.save(counted.select(F.col("host").alias("_host"), F.array(*[F.log((F.col(f"host_{k}") + strength * p) / (size + strength)) for k, p in enumerate(base)]).alias("_prior")))
+    priors = scratch.save(counted.select(F.col("host").alias("_host"), F.array(*[F.log((F.col(f"host_{k}") + strength * p) / (size + strength)) for k, p in enumerate(base)]).alias("_prior")), keep=True)
     if priors.count() <= 200_000:  # a few dozen bytes each; beyond, Spark shuffles
         priors = F.broadcast(priors)
     fallback = np.log(np.array(base))
@@ -215,5 +215,5 @@ def keep_known(docs: DataFrame, model: TextModel, scratch: Scratch, least: float
                 mask.append(bool(1 - p[-1] / p.sum() >= least))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    joined = docs.join(priors, F.col("source").cast("string") == F.col("_host"), "left").select(*[docs[c] for c in docs.columns], "_prior")
+    joined = docs.join(priors, docs["source"].cast("string") == priors["_host"], "left").select(*[docs[c] for c in docs.columns], priors["_prior"].alias("_corploom_prior"))
     return joined.mapInArrow(run, docs.schema)

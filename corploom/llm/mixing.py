@@ -81,22 +81,22 @@ def _thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("below"))
 
 
-def plan(sized: DataFrame, scratch: Scratch, cap: int = 3) -> DataFrame:
+def plan(sized: DataFrame, scratch: Scratch, cap: int = 3, keep: bool = False) -> DataFrame:
     """One row for each source of sized (source, hash, size): source_size, target, passes and below. A row is taken
     passes times, and once more if its hash is less than below."""
     shares = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budgets = shares.withColumn("passes", passes).withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
     below = _thresholds(sized, budgets).withColumnRenamed("source", "s")
-    return scratch.save(budgets.join(below, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("plan_source"), "source_size", "target", "passes", "below"))
+    return scratch.save(budgets.join(below, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("plan_source"), "source_size", "target", "passes", "below"), keep)
 
 
-def with_copies(rows: DataFrame, plan: DataFrame, source: Column, row: Column, cap: int = 3) -> DataFrame:
-    """rows joined with their source's plan and copies, the times the mix takes them. Plans of a bounded number of sources are
-    broadcast, so that rows needn't move; beyond it Spark shuffles."""
+def with_copies(rows: DataFrame, plan: DataFrame, source: Column, row: Column, cap: int = 3) -> tuple[DataFrame, Column]:
+    """rows joined with their source's plan, and a column of it: the times the mix takes each row. Plans of a bounded number of
+    sources are broadcast, so that rows needn't move; beyond it Spark shuffles."""
     if plan.count() <= 200_000:
         plan = F.broadcast(plan)
-    return rows.join(plan, source.eqNullSafe(F.col("plan_source"))).withColumn("copies", F.least(F.col("passes") + (row < F.col("below")).cast("long"), F.lit(cap)))
+    return rows.join(plan, source.eqNullSafe(plan["plan_source"])), F.least(plan["passes"] + (row < plan["below"]).cast("long"), F.lit(cap))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -113,5 +113,5 @@ def mix(docs: DataFrame, scratch: Scratch, cap: int = 3) -> DataFrame:
     empty result. Columns other than doc_id, text and source are ignored.
     """
     sized = scratch.save(sizes(docs))
-    joined = with_copies(sized, plan(sized, scratch, cap), F.col("source"), F.col("hash"), cap)
-    return scratch.save(joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")), keep=True)
+    joined, copies = with_copies(sized, plan(sized, scratch, cap), F.col("source"), F.col("hash"), cap)
+    return scratch.save(joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")), keep=True)

@@ -44,6 +44,7 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/corploom-{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.loose: list[str] = []
+        self.tables: dict[int, str] = {}
 
     def __enter__(self) -> "Scratch":
         return self
@@ -61,10 +62,13 @@ class Scratch:
             atexit.register(_delete_quietly, self.spark, self.root)
         else:
             self.loose.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        """Delete every table that isn't kept, now."""
-        for path in self.loose:
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(out)] = path
+        return out
+
+    def discard(self, df: DataFrame) -> None:
+        """Delete df, a table that save() returned and nothing will read again, before the end."""
+        path = self.tables.pop(id(df), None)
+        if path in self.loose:
+            self.loose.remove(path)
             _delete_quietly(self.spark, path)
-        self.loose = []

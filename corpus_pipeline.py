@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs in a language that docs themselves declare and teach."""
     with Scratch(spark, "languages") as scratch:
-        return scratch.save(langid.keep_known(docs, langid.fit_text(docs), scratch), keep=True)
+        return langid.keep_known(docs, langid.fit_text(docs), scratch)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,25 +31,26 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     with Scratch(spark, "groups") as scratch:
         groups = near_groups(docs, scratch, width=5, threshold="0.8").where("doc_id IS NOT NULL")
-        by_id = scratch.save(groups.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("stays")))
+        # ids and flags alone are kept; texts are read once more when the result is
+        by_id = scratch.save(groups.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("stays")), keep=True)
         lost = by_id.where("NOT stays").select(F.col("doc_id").alias("_id"))
         if lost.count() <= 1_000_000:  # 8 bytes each; beyond, Spark shuffles
             lost = F.broadcast(lost)
-        kept = docs.join(lost, F.col("doc_id") == F.col("_id"), "left_anti")
+        kept = docs.join(lost, docs["doc_id"] == lost["_id"], "left_anti")
         again = by_id.where("stays AND times > 1").select(F.col("doc_id").alias("_id"))
         if not again.isEmpty():
-            twice = kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
-            one = twice.groupBy("doc_id", F.xxhash64("text").alias("_same")).agg(F.min_by(F.struct(*docs.columns), F.struct("source", "lang")).alias("_row")).select("_row.*")
-            kept = kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(one)
-        return scratch.save(kept, keep=True)
+            twice = kept.join(again, kept["doc_id"] == again["_id"], "left_semi")
+            one = twice.groupBy("doc_id", F.xxhash64("text").alias("_corploom_same")).agg(F.min_by(F.struct(*docs.columns), F.struct("source", "lang")).alias("_corploom_row")).select("_corploom_row.*")
+            kept = kept.join(again, kept["doc_id"] == again["_id"], "left_anti").unionByName(one)
+        return kept
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as often as the mix takes them (0 to 3 times); texts stay where they are read."""
     with Scratch(spark, "mix") as scratch:
-        plan = mixing.plan(scratch.save(mixing.sizes(docs)), scratch)
-        copied = mixing.with_copies(docs, plan, docs["source"].cast("string"), mixing.row_hash(docs["doc_id"]))
-        return scratch.save(copied.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns]), keep=True)
+        plan = mixing.plan(scratch.save(mixing.sizes(docs)), scratch, keep=True)
+        joined, copies = mixing.with_copies(docs, plan, docs["source"].cast("string"), mixing.row_hash(docs["doc_id"]))
+        return joined.select(F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_corploom_copy"), *[docs[c] for c in docs.columns]).drop("_corploom_copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
