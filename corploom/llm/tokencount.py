@@ -7,6 +7,7 @@ on the best path, so that words that share a prefix share the work. A word's ter
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Trie nodes in one task; beyond, the trie starts anew (counts don't depend on it).
-MOST_NODES = 400_000
+#: Trie nodes and remembered words in one task; beyond, either starts anew (counts don't depend on it).
+MOST_NODES, MOST_WORDS = 250_000, 500_000
 
 
 def unigram_pieces(path: str) -> dict[str, float]:
@@ -35,46 +36,52 @@ def unigram_pieces(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Nodes hold, for the prefix they stand for, the best score and the fewest pieces among best paths."""
+    """Nodes hold, for the prefix they stand for, the best score, the fewest pieces among best paths, and the pieces that have begun
+    on the way here and may go on: (node where it begins, place in the trie of pieces)."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        self.root: dict = {}
+        for piece, score in pieces.items():
+            at = self.root
+            for c in piece:
+                at = at.setdefault(c, {})
+            at[""] = score
         self.floor = min(pieces.values(), default=0.0) - 10.0
         self.clear()
 
     def clear(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
+        #: (node, character) in one number -> node
+        self.next: dict[int, int] = {}
         self.score: list[float] = [0.0]
         self.count: list[int] = [0]
+        self.open: list[list[tuple[int, dict]]] = [[(0, self.root)]]
 
     def add(self, word: str) -> int:
         """The number of tokens of word; nodes that weren't there yet are scored."""
-        path, node, at = [0], 0, 0
-        for at, c in enumerate(word):
-            child = self.next[node].get(c)
+        node, nexts, score, count, opened = 0, self.next, self.score, self.count, self.open
+        for c in word:
+            edge = node * 0x110000 + ord(c)
+            child = nexts.get(edge)
             if child is None:
-                break
-            path.append(child)
+                child = len(score)
+                # a character that no piece covers falls back to its bytes
+                size = len(c.encode("utf-8", "surrogatepass"))
+                best, fewest, going = score[node] + self.floor * size, count[node] + size, []
+                for begin, place in opened[node]:
+                    further = place.get(c)
+                    if further is not None:
+                        going.append((begin, further))
+                        p = further.get("")
+                        if p is not None:
+                            s, n = score[begin] + p, count[begin] + 1
+                            if s > best or s == best and n < fewest:
+                                best, fewest = s, n
+                going.append((child, self.root))
+                nexts[edge] = child
+                score.append(best)
+                count.append(fewest)
+                opened.append(going)
             node = child
-        else:
-            return self.count[node]
-        pieces, score, count = self.pieces, self.score, self.count
-        for end in range(at + 1, len(word) + 1):
-            # a character that no piece covers falls back to its bytes
-            size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            best, fewest = score[path[end - 1]] + self.floor * size, count[path[end - 1]] + size
-            for begin in range(max(0, end - self.longest), end):
-                p = pieces.get(word[begin:end])
-                if p is not None:
-                    s, n = score[path[begin]] + p, count[path[begin]] + 1
-                    if s > best or s == best and n < fewest:
-                        best, fewest = s, n
-            self.next[node][word[end - 1]] = node = len(self.next)
-            self.next.append({})
-            score.append(best)
-            count.append(fewest)
-            path.append(node)
         return count[node]
 
 
@@ -86,25 +93,28 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        find = re.compile(r"[^\x20\x09-\x0D]+").findall
-        trie, known = Trie(unigram_pieces(path)), {}
-        for batch in batches:
-            words, tokens = [], []
-            for text in batch.column(1):
-                found = find(text.as_py() or "")
-                total = 0
-                for w in found:
-                    n = known.get(w)
-                    if n is None:
-                        if len(trie.next) > MOST_NODES or len(known) > MOST_NODES:
+        # the trie has no cycles, and collecting garbage would walk all of it again and again
+        gc.disable()
+        try:
+            trie, known = Trie(unigram_pieces(path)), {}
+            count_of = known.__getitem__
+            for batch in batches:
+                words, tokens = [], []
+                for text in batch.column(1):
+                    # bytes split at [\x20\x09-\x0D] alone
+                    found = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                    new = set(found).difference(known)
+                    if len(known) + len(new) > MOST_WORDS:
+                        known.clear()
+                        new = set(found)
+                    for w in new:
+                        if len(trie.next) > MOST_NODES:
                             trie.clear()
-                            known.clear()
-                        n = known[w] = trie.add(MARK + w)
-                    total += n
-                words.append(len(found))
-                tokens.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+                        known[w] = trie.add(MARK + w.decode("utf-8", "surrogatepass"))
+                    words.append(len(found))
+                    tokens.append(sum(map(count_of, found)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
