@@ -15,20 +15,34 @@ def _ordered(value: str, by: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(by, value))), lambda s: s[value])
 
 
+def _shifted(rows: DataFrame, keys: list[str], at: str, inputs: str, targets: str, size: int | None = None) -> DataFrame:
+    """(keys.., inputs, targets) of groups that hold one token more than they have inputs: all but the last, and all but the first."""
+    whole = rows.groupBy(*keys).agg(_ordered("token_id", at).alias("_t"))
+    whole = whole.where(F.size("_t") > 1) if size is None else whole.where(F.size("_t") == size + 1)
+    n = F.size("_t") - 1
+    return whole.select(*keys, F.slice("_t", F.lit(1), n).alias(inputs), F.slice("_t", F.lit(2), n).alias(targets))
+
+
+def _with_first_of_next(rows: DataFrame, at: str, size: int, group: str) -> DataFrame:
+    """rows with their group of size places, and once more the first of each group as the last of the one before."""
+    own = F.floor(F.col(at) / size)
+    twice = F.when((F.col(at) % size == 0) & (F.col(at) > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    return rows.select("*", F.explode(twice).alias(group))
+
+
 def ordered_batches(stream: DataFrame, n_tokens: int, bsz: int, bptt: int, ext_len: int = 0) -> DataFrame:
     """(batch_id, b, input, target): column b of bsz holds n_tokens div bsz successive tokens; batches cover bptt steps, the
     last may be short; target is the next token. input has ext_len tokens more in front where there are any."""
     n_step = n_tokens // bsz
     at = stream.where(F.col("gpos") < n_step * bsz).select((F.col("gpos") % n_step).alias("t"), F.floor(F.col("gpos") / n_step).cast("int").alias("b"), "token_id")
-    inputs = at.where(F.col("t") < n_step - 1).withColumn("batch_id", F.floor(F.col("t") / bptt).cast("int"))
+    out = _shifted(_with_first_of_next(at, "t", bptt, "batch_id"), ["batch_id", "b"], "t", "input", "target").withColumn("batch_id", F.col("batch_id").cast("int"))
     if ext_len:
-        reach = -(-ext_len // bptt)
-        again = inputs.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(reach)))).withColumn("batch_id", F.col("batch_id") + F.col("_k"))
-        inputs = again.where(((F.col("_k") == 0) | (F.col("t") >= F.col("batch_id") * bptt - ext_len)) & (F.col("batch_id") * bptt < n_step - 1)).drop("_k")
-    targets = at.where(F.col("t") > 0).withColumn("t", F.col("t") - 1).withColumn("batch_id", F.floor(F.col("t") / bptt).cast("int"))
-    x = inputs.groupBy("batch_id", "b").agg(_ordered("token_id", "t").alias("input"))
-    y = targets.groupBy("batch_id", "b").agg(_ordered("token_id", "t").alias("target"))
-    return x.join(y, ["batch_id", "b"])
+        first = F.col("batch_id") * bptt
+        later = at.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(-(-ext_len // bptt)))))
+        before = later.withColumn("batch_id", (F.floor(F.col("t") / bptt) + F.col("_k")).cast("int")).where((F.col("t") >= first - ext_len) & (first < n_step - 1))
+        context = before.groupBy("batch_id", "b").agg(_ordered("token_id", "t").alias("_x"))
+        out = out.join(context, ["batch_id", "b"], "left").withColumn("input", F.when(F.col("_x").isNotNull(), F.concat("_x", "input")).otherwise(F.col("input"))).drop("_x")
+    return out
 
 
 def batchify(stream: DataFrame, n_tokens: int, bsz: int, start: int = 0) -> DataFrame:
@@ -52,10 +66,8 @@ def pass_start(n_tokens: int, bsz: int, pass_id: int, seed: int = 0) -> int:
 
 def fixed_windows(rows: DataFrame, n_step: int, seq_len: int) -> DataFrame:
     """(batch_id, row, inputs, target) from batchify's rows: whole windows of seq_len with a next token each."""
-    n_batch = (n_step - 1) // seq_len
-    nxt = F.lead("token_id").over(Window.partitionBy("row").orderBy("col"))
-    out = rows.withColumn("_next", nxt).where(F.col("col") < n_batch * seq_len).withColumn("batch_id", F.floor(F.col("col") / seq_len).cast("int"))
-    return out.groupBy("batch_id", "row").agg(_ordered("token_id", "col").alias("inputs"), F.transform(F.array_sort(F.collect_list(F.struct("col", "_next"))), lambda s: s["_next"]).alias("target"))
+    out = _shifted(_with_first_of_next(rows, "col", seq_len, "batch_id"), ["batch_id", "row"], "col", "inputs", "target", seq_len)
+    return out.where(F.col("batch_id") < (n_step - 1) // seq_len).withColumn("batch_id", F.col("batch_id").cast("int"))
 
 
 def chunk(stream: DataFrame, seq_len: int, eos: int | None = None, double: bool = False, keys: tuple[str, ...] = (), features: tuple[str, ...] = ("token_id",), tail: str = "drop") -> DataFrame:
@@ -77,12 +89,8 @@ def chunk(stream: DataFrame, seq_len: int, eos: int | None = None, double: bool
 
 def overlapping(stream: DataFrame, seq_len: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., seq_no, inputs, target): windows of seq_len + 1 that move by seq_len; the short last one is dropped."""
-    own = stream.select(*keys, "gpos", "token_id")
-    # a window's last target is the next window's first input: only those rows are sent twice
-    first = own.where((F.col("gpos") % seq_len == 0) & (F.col("gpos") > 0)).withColumn("seq_no", (F.col("gpos") / seq_len).cast("long") - 1)
-    both = own.withColumn("seq_no", F.floor(F.col("gpos") / seq_len).cast("long")).unionByName(first)
-    tokens = both.groupBy(*keys, "seq_no").agg(_ordered("token_id", "gpos").alias("_t")).where(F.size("_t") == seq_len + 1)
-    return tokens.select(*keys, "seq_no", F.slice("_t", 1, seq_len).alias("inputs"), F.slice("_t", 2, seq_len).alias("target"))
+    rows = _with_first_of_next(stream.select(*keys, "gpos", "token_id"), "gpos", seq_len, "seq_no")
+    return _shifted(rows, [*keys, "seq_no"], "gpos", "inputs", "target", seq_len)
 
 
 def full_batches(rows: DataFrame, index: str, n: int) -> DataFrame:
@@ -139,10 +147,8 @@ def variable_batches(stream: DataFrame, n_tokens: int, bsz: int, bounds: DataFra
     """(batch_id, b, input, target) with the bounds' lengths: a range join of steps with bounds."""
     n_step = n_tokens // bsz
     at = stream.where(F.col("gpos") < n_step * bsz).select((F.col("gpos") % n_step).alias("t"), F.floor(F.col("gpos") / n_step).cast("int").alias("b"), "token_id")
-    at = at.withColumn("_next", F.lead("token_id").over(Window.partitionBy("b").orderBy("t")))
-    steps = bounds.select("batch_id", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("len") - 1)).alias("t"))
-    joined = at.join(steps, "t")
-    return joined.groupBy("batch_id", "b").agg(_ordered("token_id", "t").alias("input"), F.transform(F.array_sort(F.collect_list(F.struct("t", "_next"))), lambda s: s["_next"]).alias("target"))
+    steps = bounds.select("batch_id", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("len"))).alias("t"))
+    return _shifted(at.join(steps, "t"), ["batch_id", "b"], "t", "input", "target")
 
 
 def slot_batches(sentences: list[list[int]], bsz: int, bptt: int, ext_len: int = 0, fill: int = -1) -> Iterator[tuple[list[list[int]], list[list[int]]]]:

@@ -57,7 +57,7 @@ def build_vocab(counts: DataFrame, specials: list[str] = (), max_size: int | Non
     top = counts.where(F.col("cnt") >= min_freq).withColumn("_k", -F.col("cnt"))
     if max_size is not None:
         top = top.orderBy("_k", "first_pos").limit(max_size)
-    ranked = indexed(top.where(~F.col("token").isin(list(specials))), "_k", "_rank", tie="first_pos")
+    ranked = indexed(top.where(~F.col("token").isin(list(specials))), "_k", "_rank", tie="first_pos", most=max_size)
     ranked = ranked.select("token", (F.col("_rank") + len(specials)).cast("int").alias("token_id"), "cnt")
     if not specials:
         return ranked
@@ -78,13 +78,14 @@ def vocab_from_lines(lines: DataFrame, specials_after: list[str] = ()) -> DataFr
     return indexed(kept, "line_no", "token_id").select("token", F.col("token_id").cast("int").alias("token_id"))
 
 
-def _side(vocab: DataFrame) -> DataFrame:
-    return F.broadcast(vocab) if vocab.count() <= BROADCAST_TOKENS else vocab
+def _side(vocab: DataFrame, most: int | None) -> DataFrame:
+    """Broadcast if it has at most BROADCAST_TOKENS rows: known by most, or counted."""
+    return F.broadcast(vocab) if (vocab.count() if most is None else most) <= BROADCAST_TOKENS else vocab
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int | None = None) -> DataFrame:
-    """tokens with token_id: unk_id for unknown ones, or null without one (see require_known)."""
-    ids = _side(vocab.select("token", "token_id"))
+def encode(tokens: DataFrame, vocab: DataFrame, unk_id: int | None = None, most: int | None = None) -> DataFrame:
+    """tokens with token_id: unk_id for unknown ones, or null without one (see encode_strict). most: a bound of the vocabulary's rows, if one is known."""
+    ids = _side(vocab.select("token", "token_id"), most)
     out = tokens.join(ids, "token", "left")
     return out if unk_id is None else out.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)))
 
@@ -104,9 +105,9 @@ def encode_arrays(rows: DataFrame, tokens: str, vocab: DataFrame, key: list[str]
     return rows.join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
-def decode(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+def decode(ids: DataFrame, vocab: DataFrame, most: int | None = None) -> DataFrame:
     """ids (.., token_id) with token; an id out of bounds raises."""
-    out = ids.join(_side(vocab.select("token_id", "token")), "token_id", "left")
+    out = ids.join(_side(vocab.select("token_id", "token"), most), "token_id", "left")
     return out.withColumn("token", F.when(F.col("token").isNotNull(), F.col("token")).otherwise(F.raise_error(F.concat(F.lit("no such id: "), F.col("token_id").cast("string")))))
 
 

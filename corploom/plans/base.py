@@ -39,7 +39,7 @@ def documents_vocab(spark: SparkSession, sf_dir: str, max_size: int = 5000) -> D
 
 def encoded_stream(spark: SparkSession, sf_dir: str, max_size: int = 5000) -> DataFrame:
     """(gpos, token_id)."""
-    return vocab.encode(token_stream(spark, sf_dir), documents_vocab(spark, sf_dir, max_size), 0).select("gpos", "token_id")
+    return vocab.encode(token_stream(spark, sf_dir), documents_vocab(spark, sf_dir, max_size), 0, max_size + len(SPECIALS)).select("gpos", "token_id")
 
 
 def hashed_ids(words: Column, size: int = 1000, first: int = 10) -> Column:

@@ -47,7 +47,7 @@ def encode_unk(spark, d):
 
 @query(f"WITH {base.sql_ids()}, v AS (SELECT token_id, token FROM vocab) SELECT gpos, token FROM ids JOIN v USING (token_id)")
 def decode_ids(spark, d):
-    return vocab.decode(base.encoded_stream(spark, d), base.documents_vocab(spark, d)).select("gpos", "token")
+    return vocab.decode(base.encoded_stream(spark, d), base.documents_vocab(spark, d), 5002).select("gpos", "token")
 
 
 @query(f"""WITH {base.sql_ids()}, n AS (SELECT count(*) // 16 AS n_step FROM ids),

@@ -229,7 +229,8 @@ def step_log_windows(spark, d):
 def _words(spark, d):
     """Words spelled by at most four hashed pieces whose first has an id below 300 and no other: (word, pieces)."""
     piece = lambda c, k: (F.conv(F.substring(F.md5(F.concat(c, F.lit(str(k)))), 1, 6), 16, 10).cast("bigint") % 60 + 300).cast("int")
-    t = base.documents_vocab(spark, d, 400).where("token_id > 1")
+    # at most 402 rows, which several joins use
+    t = spark.createDataFrame(base.documents_vocab(spark, d, 400).collect(), "token string, token_id int, cnt long").where("token_id > 1")
     n = F.length("token") % 4
     first = (F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("bigint") % 300).cast("int")
     return t.select(F.col("token").alias("word"), F.slice(F.array(first, *[piece(F.col("token"), k) for k in range(3)]), F.lit(1), n + 1).alias("pieces"))
