@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +100,37 @@ def gelu(x: Column) -> Column:
     return x * 0.5 * (1 + F.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x * x * x)))
 
 
+def gelu_erf(x: Column) -> Column:
+    """The exact form; Spark has no erf."""
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else 0.5 * v * (1 + math.erf(v / math.sqrt(2))))
+
+    return run(x.cast("double"))
+
+
+def relu(x: Column) -> Column:
+    return F.greatest(x, F.lit(0).cast("double"))
+
+
+def softmax(a: Column) -> Column:
+    top = F.array_max(a)
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.transform(a, lambda x: F.exp(x - top) / total)
+
+
+def top_k(a: Column, k: int) -> Column:
+    """Places of the k largest elements, larger first, ties to the smaller place."""
+    ranked = F.array_sort(F.transform(a, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
+    return F.transform(F.slice(ranked, 1, k), lambda s: s["i"])
+
+
+def segment_sizes(segment: Column) -> Column:
+    """Map from each segment to its number of places, without 0."""
+    ids = F.array_sort(F.array_distinct(F.filter(segment, lambda s: s != 0)))
+    return F.map_from_arrays(ids, F.transform(ids, lambda k: F.size(F.filter(segment, lambda s: s == k))))
+
+
 def log_softmax(a: Column) -> Column:
     top = F.array_max(a)
     total = F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top)))

@@ -83,8 +83,8 @@ def strict_ids(tokens: Column, vocab: list[str]) -> Column:
     return _each("array<int>", make)(tokens)
 
 
-def sentencepiece_pieces(text: Column, model_path: str) -> Column:
-    """Pieces; one that ends in a digit and a comma is encoded again without the comma, which then stands alone."""
+def sentencepiece_pieces(text: Column, model_path: str, sample: bool = False, nbest: int = 64, alpha: float = 0.1) -> Column:
+    """Pieces, or with sample a draw among the nbest; one that ends in a digit and a comma is encoded again without the comma, which then stands alone."""
 
     def make() -> Callable[[str], list[str]]:
         import sentencepiece
@@ -93,7 +93,8 @@ def sentencepiece_pieces(text: Column, model_path: str) -> Column:
 
         def pieces(s: str) -> list[str]:
             out: list[str] = []
-            for p in model.encode(s, out_type=str):
+            drawn = {"enable_sampling": True, "nbest_size": nbest, "alpha": alpha} if sample else {}
+            for p in model.encode(s, out_type=str, **drawn):
                 if len(p) > 1 and p[-1] == "," and p[-2].isdigit():
                     again = model.encode(p[:-1].replace("▁", ""), out_type=str)
                     if not p.startswith("▁") and again and again[0].startswith("▁"):

@@ -115,6 +115,15 @@ def edit_examples(rows: DataFrame, spec: EditSpec) -> DataFrame:
     )
 
 
+def replaced_alignment(gen_index: Column, gen_tgt_mask: Column, dec_edit_index: Column, edit_label: Column, spec: EditSpec) -> Column:
+    """(place among the generator's masked tokens, place in the decoder, place among the decoder's edited tokens) of each replaced token: the
+    k-th replaced token on either side is one original token; what was cut on one side has no row."""
+    gen = F.filter(F.transform(gen_tgt_mask, lambda m, i: F.when(m == 1, i)), lambda i: i.isNotNull())
+    dec = F.filter(F.transform(dec_edit_index, lambda at, j: F.when(F.get(edit_label, at) == spec.rep_label, F.struct(at.alias("dec"), j.alias("edit")))), lambda s: s.isNotNull())
+    n = F.least(F.size(gen), F.size(dec))
+    return F.zip_with(F.slice(gen, F.lit(1), n), F.slice(dec, F.lit(1), n), lambda g, d: F.struct(g.alias("gen"), d["dec"].alias("dec"), d["edit"].alias("edit")))
+
+
 def operations(n: int, add: list[int], delete: list[int], replace: list[int]) -> str:
     """One letter for each step: a for each token added before a place, then the place's own d, r or o."""
     return "".join("a" * add.count(k) + ("d" if k in delete else "r" if k in replace else "o") for k in range(n))
