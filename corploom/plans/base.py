@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corploom.functions import text as tx
-from corploom.operators import positions, vocab
+from corploom.operators import positions, vocab, windows
 
 EOS = "<eos>"
 SPECIALS = ["<unk>", EOS]
@@ -47,6 +47,12 @@ def hashed_ids(words: Column, size: int = 1000, first: int = 10) -> Column:
     return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % size + first).cast("int"))
 
 
+def encoded_documents(spark: SparkSession, sf_dir: str, max_size: int = 5000) -> DataFrame:
+    """(doc_id, ids, offset): documents as ids, with their places in the stream of all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
+    return windows.encoded_arrays(windows.with_offsets(docs, "doc_id", "w"), "w", documents_vocab(spark, sf_dir, max_size), 0)
+
+
 def n_tokens(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "documents").agg(F.sum(F.size(tx.words(F.col("text"))))).first()[0] or 0
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corploom.functions import arrays
 from corploom.functions import text as tx
 from corploom.functions import tokenizers as tk
-from corploom.operators import batching, combinators, metrics, positions, vocab
+from corploom.operators import batching, combinators, metrics, positions, vocab, windows
 from corploom.plans import base
 from corploom.plans.base import table
 from corploom.sources import records, sinks
@@ -56,7 +56,7 @@ x AS (SELECT t // 32 AS batch_id, b, list(token_id ORDER BY t) AS input FROM pla
 y AS (SELECT (t - 1) // 32 AS batch_id, b, list(token_id ORDER BY t) AS target FROM placed WHERE t > 0 GROUP BY 1, 2)
 SELECT CAST(batch_id AS INTEGER) AS batch_id, CAST(b AS INTEGER) AS b, array_to_string(input, ' ') AS input, array_to_string(target, ' ') AS target FROM x JOIN y USING (batch_id, b)""")
 def lm_ordered_batches(spark, d):
-    out = batching.ordered_batches(base.encoded_stream(spark, d), base.n_tokens(spark, d), 16, 32)
+    out = windows.ordered(base.encoded_documents(spark, d), "ids", base.n_tokens(spark, d), 16, 32)
     return out.select("batch_id", "b", F.array_join("input", " ").alias("input"), F.array_join("target", " ").alias("target"))
 
 
@@ -66,20 +66,30 @@ nx AS (SELECT *, lead(token_id) OVER (PARTITION BY r ORDER BY c) AS nxt FROM pla
 SELECT CAST(c // 64 AS INTEGER) AS batch_id, CAST(r AS INTEGER) AS row, array_to_string(list(token_id ORDER BY c), ' ') AS inputs, array_to_string(list(nxt ORDER BY c), ' ') AS target
 FROM nx WHERE c < ((n_step - 1) // 64) * 64 GROUP BY 1, 2""")
 def batchify_windows(spark, d):
+    out = windows.ordered(base.encoded_documents(spark, d), "ids", base.n_tokens(spark, d), 8, 64, whole=True)
+    return out.select("batch_id", F.col("b").alias("row"), F.array_join("input", " ").alias("inputs"), F.array_join("target", " ").alias("target"))
+
+
+@query(f"""WITH {base.sql_ids()}, n AS (SELECT count(*) // 8 AS n_step, count(*) % 8 AS rest FROM ids),
+placed AS (SELECT (gpos - greatest(rest - 1, 0)) // n_step AS r, (gpos - greatest(rest - 1, 0)) % n_step AS c, token_id, n_step FROM ids, n WHERE gpos >= greatest(rest - 1, 0) AND gpos - greatest(rest - 1, 0) < n_step * 8),
+nx AS (SELECT *, lead(token_id) OVER (PARTITION BY r ORDER BY c) AS nxt FROM placed)
+SELECT CAST(c // 64 AS INTEGER) AS batch_id, CAST(r AS INTEGER) AS row, array_to_string(list(token_id ORDER BY c), ' ') AS inputs, array_to_string(list(nxt ORDER BY c), ' ') AS target
+FROM nx WHERE c < ((n_step - 1) // 64) * 64 GROUP BY 1, 2""")
+def batchify_second_pass(spark, d):
     n = base.n_tokens(spark, d)
-    rows = batching.batchify(base.encoded_stream(spark, d), n, 8, batching.pass_start(n, 8, 0))
+    rows = batching.batchify(base.encoded_stream(spark, d), n, 8, batching.pass_start(n, 8, 1))
     return batching.fixed_windows(rows, n // 8, 64).select("batch_id", "row", F.array_join("inputs", " ").alias("inputs"), F.array_join("target", " ").alias("target"))
 
 
 @query(f"""WITH {base.sql_ids()} SELECT CAST(gpos // 127 AS BIGINT) AS seq_no, array_to_string(list_append(list(token_id ORDER BY gpos), 1), ' ') AS token_ids FROM ids GROUP BY 1 HAVING count(*) = 127""")
 def chunk_sequences(spark, d):
-    return batching.chunk(base.encoded_stream(spark, d), 128, eos=1).select("seq_no", F.array_join("token_id", " ").alias("token_ids"))
+    return windows.chunks(base.encoded_documents(spark, d), "ids", 128, eos=1).select("seq_no", F.array_join("ids", " ").alias("token_ids"))
 
 
 @query(f"""WITH {base.sql_ids()}, nx AS (SELECT gpos, token_id, lead(token_id) OVER (ORDER BY gpos) AS nxt FROM ids)
 SELECT CAST(gpos // 128 AS BIGINT) AS seq_no, array_to_string(list(token_id ORDER BY gpos), ' ') AS inputs, array_to_string(list(nxt ORDER BY gpos), ' ') AS target FROM nx WHERE nxt IS NOT NULL GROUP BY 1 HAVING count(*) = 128""")
 def lm_overlap_windows(spark, d):
-    return batching.overlapping(base.encoded_stream(spark, d), 128).select("seq_no", F.array_join("inputs", " ").alias("inputs"), F.array_join("target", " ").alias("target"))
+    return windows.overlapping(base.encoded_documents(spark, d), "ids", 128).select("seq_no", F.array_join("inputs", " ").alias("inputs"), F.array_join("target", " ").alias("target"))
 
 
 @query(f"""WITH {base.SQL_HASHED}, lane AS (SELECT *, doc_id % 8 AS shard, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id, p) - 1 AS g FROM h),

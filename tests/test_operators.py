@@ -246,3 +246,18 @@ def test_memory_stream(spark, tmp_path):
     q.stop()
     got = {r["t"]: list(r["memory"]) for r in spark.table("mem").collect()}
     assert got == {t: [x * 10 for x in range(t % 2, t, 2)][-2:] for t in range(8)}
+
+
+def test_windows_of_arrays_are_those_of_rows(spark):
+    from corploom.operators import windows
+
+    rng = random.Random(6)
+    for sizes in ([3, 0, 1, 17, 2, 9, 5], [40], [0, 1]):
+        rows = [(k * 2, [rng.randrange(100) for _ in range(n)]) for k, n in enumerate(sizes)]
+        df = spark.createDataFrame(rows, "k long, ids array<int>")
+        placed, stream = windows.with_offsets(df, "k", "ids"), positions.stream_positions(df, "k", "ids", "token_id")
+        n, same = sum(sizes), lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+        assert same(windows.chunks(placed, "ids", 4, 1), batching.chunk(stream, 4, eos=1).select("seq_no", "token_id"))
+        assert same(windows.overlapping(placed, "ids", 4), batching.overlapping(stream, 4))
+        for bsz, steps in ((2, 4), (3, 2), (1, 100)):
+            assert same(windows.ordered(placed, "ids", n, bsz, steps), batching.ordered_batches(stream, n, bsz, steps).select("batch_id", "b", "input", "target"))
