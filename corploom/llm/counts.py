@@ -41,6 +41,6 @@ def count_table(df: DataFrame, size: int, indices: Callable[[pa.RecordBatch], It
     schema = "slice int, counts binary"
     parts = max(1, min(size // SLICE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     out = np.zeros(size, dtype=np.int64)
-    for row in df.mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(add, schema).toLocalIterator():
+    for row in df.mapInArrow(count, schema).repartition(parts, "slice").mapInArrow(add, schema).collect():  # size counters in all
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], dtype="<i8")
     return out
