@@ -261,3 +261,22 @@ def test_windows_of_arrays_are_those_of_rows(spark):
         assert same(windows.overlapping(placed, "ids", 4), batching.overlapping(stream, 4))
         for bsz, steps in ((2, 4), (3, 2), (1, 100)):
             assert same(windows.ordered(placed, "ids", n, bsz, steps), batching.ordered_batches(stream, n, bsz, steps).select("batch_id", "b", "input", "target"))
+
+
+def test_prefixes_and_windows_of_streams(spark, tmp_path):
+    rows = [(0, t, x) for t, x in enumerate([9, 1, 5, 6, 2, 7])]
+    for n in (0, 1):
+        spark.createDataFrame(rows[3 * n : 3 * n + 3], "b int, t int, x int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("b int, t int, x int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = state.prefix_stream(stream, "b", "t", "x", [1, 2]).writeStream.format("memory").queryName("pre").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["t"]: r["prefix"] for r in spark.table("pre").collect()}
+    assert got == {0: None, 1: [1], 2: [1, 5], 3: [1, 5, 6], 4: [2], 5: [2, 7]}
+    spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id, 0) AS ts, double(id) AS v FROM range(30)").coalesce(1).write.parquet(f"{tmp_path}/ev")
+    ev = spark.readStream.schema("ts timestamp, v double").parquet(f"{tmp_path}/ev")
+    q = state.loss_windows(ev, "ts", "v").writeStream.format("memory").queryName("win").option("checkpointLocation", f"{tmp_path}/cp2").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    closed = sorted((r["window"]["start"].minute, r["mean_value"], r["n"]) for r in spark.table("win").collect())
+    assert closed[:2] == [(0, 2.0, 5), (5, 7.0, 5)] and all(n == 5 for _, _, n in closed)
