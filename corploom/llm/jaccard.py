@@ -36,6 +36,13 @@ SKETCH, SKETCHED = 8, 1024
 BROADCAST_ROWS = 500_000
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what comes out of one stays small too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
@@ -54,7 +61,7 @@ def _signatures(docs: DataFrame, width: int, t: Fraction, table: np.ndarray) ->
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             sizes, sums, others, sketches, prefixes = [], [], [], [], []
             for _, s in document_shingles(batch.column(1), width):
                 n = len(s)
@@ -75,7 +82,7 @@ def _signatures(docs: DataFrame, width: int, t: Fraction, table: np.ndarray) ->
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             n, a, b, blobs = [], [], [], []
             for _, s in document_shingles(batch.column(1), width):
                 n.append(len(s))

@@ -118,3 +118,15 @@ def test_chat_rotation(spark):
     for x in got.collect():
         assert texts[x["conv_id"], x["perspective"]]["text"][x["start"] :].startswith(x["rendered"])
     assert rotate(df.limit(0)).collect() == []
+
+
+def test_shingles_of_sliced_columns():
+    import pyarrow as pa
+
+    texts = [None if k % 5 == 0 else " ".join(f"w{j}" for j in range(k, k + 6)) for k in range(40)]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for a, n in ((0, 40), (7, 20), (39, 1), (10, 0)):
+            got = [(k, s.tolist()) for k, s in document_shingles(column.slice(a, n), 3)]
+            assert got == [(k, s.tolist()) for k, s in document_shingles(pa.array(texts[a : a + n], kind), 3)] and len(got) == n
+            assert sorted(x for part in flat_shingles(column.slice(a, n), 3) for x in part.tolist()) == sorted(x for part in flat_shingles(pa.array(texts[a : a + n], kind), 3) for x in part.tolist())
