@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,14 +49,45 @@ def duplicate_spellings(words: DataFrame) -> DataFrame:
     return words.groupBy("pieces").agg(F.array_sort(F.collect_list("word")).alias("words")).where(F.size("words") > 1)
 
 
-def allowed_next(inputs: DataFrame, words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
-    """(b, t, next_token, any_token) for inputs (b, t, input) with unique heads: the steps that the pieces since the last head allow, after an
-    end piece also all heads; any_token is 1, with next_token null, where no head has been seen."""
+def _since_head(inputs: DataFrame, flag: DataFrame) -> DataFrame:
+    """inputs with is_head, is_end, _word (0 before the first head) and prefix, the pieces since the last head."""
     w = Window.partitionBy("b").orderBy("t")
-    marked = inputs.join(flag.select(F.col("token_id").alias("input"), "is_head", "is_end"), "input", "left").na.fill(0, ["is_head", "is_end"])
+    # at most a vocabulary of pieces
+    marked = inputs.join(F.broadcast(flag.select(F.col("token_id").alias("input"), "is_head", "is_end")), "input", "left").na.fill(0, ["is_head", "is_end"])
     marked = marked.withColumn("_word", F.sum("is_head").over(w))
     run = Window.partitionBy("b", "_word").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    at = marked.withColumn("prefix", F.collect_list("input").over(run))
+    return marked.withColumn("prefix", F.collect_list("input").over(run))
+
+
+def sets_by_prefix(words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
+    """(prefix, allowed) of every prefix and whole word: the tokens of allowed_next in one array, made once for all places with that prefix."""
+    whole = words.select(F.col("pieces").alias("prefix"), F.lit(None).cast("int").alias("next_token"))
+    steps = prefixes(words, specials).unionByName(whole).groupBy("prefix").agg(F.collect_set("next_token").alias("_next"))
+    heads = flag.where("is_head = 1").agg(F.collect_list("token_id").alias("_heads"))
+    ends = F.broadcast(flag.where("is_end = 1").select(F.col("token_id").alias("_last"), F.lit(1).alias("_end")))  # at most a vocabulary of pieces
+    marked = steps.withColumn("_last", F.get("prefix", F.size("prefix") - 1)).join(ends, "_last", "left").crossJoin(F.broadcast(heads))  # one row
+    return marked.select("prefix", F.sort_array(F.when(F.col("_end") == 1, F.array_union("_next", "_heads")).otherwise(F.col("_next"))).alias("allowed"))
+
+
+def with_sets(inputs: DataFrame, flag: DataFrame, sets: DataFrame) -> DataFrame:
+    """inputs with the columns of sets (prefix, ..) for the pieces since the last head, null before the first head and where they spell no prefix of a word."""
+    at = _since_head(inputs, flag).withColumn("prefix", F.when(F.col("_word") > 0, F.col("prefix")))
+    return at.join(sets, "prefix", "left").select(*inputs.columns, *[c for c in sets.columns if c != "prefix"])
+
+
+def nll_of_sets(rows: DataFrame, logit: Callable[[Column], Column], n_tokens: int) -> DataFrame:
+    """(b, t, nll) of rows (b, t, target, allowed): as renormalised_nll, with logit(token) for n_tokens tokens; disallowed ones are never made. A null set allows all."""
+    open_ = F.coalesce("allowed", F.sequence(F.lit(0), F.lit(n_tokens - 1)))
+    made = rows.withColumn("_open", open_).withColumn("_logits", F.transform("_open", logit)).withColumn("_m", F.array_max("_logits"))
+    norm = F.col("_m") + F.log(F.aggregate("_logits", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_m"))))
+    x = F.when(F.array_contains("_open", F.col("target")), logit(F.col("target")))
+    return made.select("b", "t", F.coalesce(norm - x, F.lit(float("inf"))).alias("nll"))
+
+
+def allowed_next(inputs: DataFrame, words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
+    """(b, t, next_token, any_token) for inputs (b, t, input) with unique heads: the steps that the pieces since the last head allow, after an
+    end piece also all heads; any_token is 1, with next_token null, where no head has been seen."""
+    at = _since_head(inputs, flag)
     steps = prefixes(words, specials)
     inside = at.where("_word > 0").join(steps, "prefix").select("b", "t", "next_token")
     ended = at.where("_word > 0 AND is_end = 1").select("b", "t").crossJoin(F.broadcast(flag.where("is_head = 1").select(F.col("token_id").alias("next_token"))))  # at most a vocabulary
@@ -61,10 +95,10 @@ def allowed_next(inputs: DataFrame, words: DataFrame, flag: DataFrame, specials:
     return inside.unionByName(ended).distinct().withColumn("any_token", F.lit(0)).unionByName(free)
 
 
-def allowed_next_by_end(inputs: DataFrame, words: pd.DataFrame | DataFrame, specials: list[int] = ()) -> DataFrame:
-    """allowed_next for vocabularies with unique ends: a word starts after an end piece. Sequential in t, so one task a stream b; the trie goes
-    to every worker and is as large as the vocabulary."""
-    spelled = [list(r["pieces"]) for r in words.select("pieces").toLocalIterator()]
+def allowed_sets_by_end(inputs: DataFrame, words: DataFrame, specials: list[int] = ()) -> DataFrame:
+    """(b, t, allowed) with the tokens of allowed_next in one array (null before the first end), for vocabularies with unique ends: a word starts after an end piece. Sequential in t, so one task a
+    stream b; the trie goes to every worker and is as large as the vocabulary."""
+    spelled = [list(r["pieces"]) for r in words.select("pieces").distinct().toLocalIterator()]
     heads = sorted({p[0] for p in spelled} | set(specials))
     ends = {p[-1] for p in spelled} | set(specials)
     trie: dict = {}
@@ -76,21 +110,31 @@ def allowed_next_by_end(inputs: DataFrame, words: pd.DataFrame | DataFrame, spec
             node.setdefault(s, {})
     for s in specials:
         trie[s] = {h: {} for h in heads}
+    nowhere: dict = {}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out, node = [], None
-        for r in group.sort_values("t").itertuples():
-            found = None if node is None else node.get(r.input, {})
-            nexts = None if node is None else set(found)
-            ended = r.input in ends
-            if nexts is None:
-                out.append((r.b, r.t, None, 1))
+        group = group.sort_values("t")
+        out, node, made = [], None, {}
+        for x in group["input"]:
+            found = None if node is None else node.get(x, nowhere)
+            ended = x in ends
+            if found is None:
+                out.append(None)
             else:
-                out += [(r.b, r.t, x, 0) for x in sorted(nexts | (set(heads) if ended else set()))]
+                key = (id(found), ended)
+                if key not in made:
+                    made[key] = np.array(sorted(set(found) | (set(heads) if ended else set())), dtype=np.int32)
+                out.append(made[key])
             node = trie if ended else found
-        return pd.DataFrame(out, columns=["b", "t", "next_token", "any_token"]).astype({"next_token": "Int32"})
+        return pd.DataFrame({"b": group["b"], "t": group["t"], "allowed": out})
+
+    return inputs.groupBy("b").applyInPandas(run, f"b {dict(inputs.dtypes)['b']}, t int, allowed array<int>")
+
 
-    return inputs.groupBy("b").applyInPandas(run, "b int, t int, next_token int, any_token int")
+def allowed_next_by_end(inputs: DataFrame, words: DataFrame, specials: list[int] = ()) -> DataFrame:
+    """allowed_sets_by_end with a row for each allowed token: (b, t, next_token, any_token)."""
+    sets = allowed_sets_by_end(inputs, words, specials)
+    return sets.select("b", "t", F.explode_outer("allowed").alias("next_token"), F.col("allowed").isNull().cast("int").alias("any_token")).where("any_token = 1 OR next_token IS NOT NULL")
 
 
 def renormalised_nll(logits: DataFrame, targets: DataFrame, allowed: DataFrame) -> DataFrame:

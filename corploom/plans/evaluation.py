@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corploom.functions import text as tx
 from corploom.functions.rng import keyed_uniform
 from corploom.operators import combinators, knn, metrics, renorm, sampling
 from corploom.plans import base
@@ -226,14 +227,23 @@ def step_log_windows(spark, d):
     return metrics.log_windows(table(spark, d, "events"), "event_id", 500, ["event_type"], "value").withColumn("mean_value", F.round("mean_value", 6))
 
 
+def _pieces(word):
+    piece = lambda k: (F.conv(F.substring(F.md5(F.concat(word, F.lit(str(k)))), 1, 6), 16, 10).cast("bigint") % 60 + 300).cast("int")
+    first = (F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("bigint") % 300).cast("int")
+    return F.slice(F.array(first, *[piece(k) for k in range(3)]), F.lit(1), F.length(word) % 4 + 1)
+
+
 def _words(spark, d):
     """Words spelled by at most four hashed pieces whose first has an id below 300 and no other: (word, pieces)."""
-    piece = lambda c, k: (F.conv(F.substring(F.md5(F.concat(c, F.lit(str(k)))), 1, 6), 16, 10).cast("bigint") % 60 + 300).cast("int")
     # at most 402 rows, which several joins use
     t = spark.createDataFrame(base.documents_vocab(spark, d, 400).collect(), "token string, token_id int, cnt long").where("token_id > 1")
-    n = F.length("token") % 4
-    first = (F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("bigint") % 300).cast("int")
-    return t.select(F.col("token").alias("word"), F.slice(F.array(first, *[piece(F.col("token"), k) for k in range(3)]), F.lit(1), n + 1).alias("pieces"))
+    return t.select(F.col("token").alias("word"), _pieces(F.col("token")).alias("pieces"))
+
+
+def _all_words(spark, d):
+    """(word, pieces) of every word of all documents."""
+    words = table(spark, d, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
+    return words.select("word", _pieces(F.col("word")).alias("pieces"))
 
 
 _WORDS = f"""WITH {base.SQL_STREAM}, {base.SQL_VOCAB.replace('{size}', '400')}, wp AS (SELECT token AS word, list_concat([CAST(('0x' || substr(md5(token), 1, 6))::BIGINT % 300 AS INTEGER)],
@@ -292,11 +302,58 @@ def renorm_nll(spark, d):
     return renorm.renormalised_nll(logits, targets, allowed).select("b", "t", F.round("nll", 6).alias("nll"))
 
 
+def _text_stream(spark, d, spell=_pieces):
+    """Pieces of all words of each document, in order: (b, t, input, target), b is the document."""
+    pieces = table(spark, d, "documents").select(F.col("doc_id").alias("b"), F.flatten(F.transform(tx.words(F.col("text")), spell)).alias("ps")).where(F.size("ps") > 0)
+    pairs = F.arrays_zip(F.col("ps").alias("input"), F.slice("ps", F.lit(2), F.size("ps")).alias("target"))
+    return pieces.select("b", F.posexplode(pairs).alias("t", "z")).select("b", "t", "z.input", "z.target")
+
+
+_ALL_WORDS = _WORDS.replace(_WORDS[: _WORDS.index(", wp AS")], f"WITH {base.SQL_WORDS}, vocab AS (SELECT DISTINCT token FROM words)").replace(" WHERE token_id > 1", "")
+
+
+@query(SQL["trie_prefixes"].replace(_WORDS, _ALL_WORDS))
+def trie_prefixes_whole(spark, d):
+    return renorm.prefixes(_all_words(spark, d)).select(F.array_join("prefix", " ").alias("prefix"), "next_token")
+
+
+@query(SQL["head_end_flags"].replace(_WORDS, _ALL_WORDS))
+def head_end_flags_whole(spark, d):
+    return renorm.flags(_all_words(spark, d))
+
+
+@query(SQL["duplicate_spellings"].replace(_WORDS, _ALL_WORDS))
+def duplicate_spellings_whole(spark, d):
+    return renorm.duplicate_spellings(_all_words(spark, d)).select(F.array_join("pieces", " ").alias("pieces"), F.array_join("words", " ").alias("words"))
+
+
+def _summed(sets, *columns):
+    total = F.aggregate("allowed", F.lit(0).cast("long"), lambda s, x: s + x)
+    return sets.select(*columns, F.size("allowed").cast("long").alias("n_allowed"), total.alias("sum_allowed"))
+
+
+@query()
+def allowed_next_whole(spark, d):
+    words = _all_words(spark, d)
+    flag = renorm.flags(words)
+    return renorm.with_sets(_text_stream(spark, d).select("b", "t", "input"), flag, _summed(renorm.sets_by_prefix(words, flag), "prefix")).drop("input")
+
+
+@query()
+def renorm_nll_whole(spark, d):
+    words = _all_words(spark, d)
+    flag = renorm.flags(words)
+    rows = renorm.with_sets(_text_stream(spark, d).where("target IS NOT NULL"), flag, renorm.sets_by_prefix(words, flag))
+    logit = lambda v: 3 * keyed_uniform(4, "renorm", F.col("b"), F.col("t"), v)
+    return renorm.nll_of_sets(rows, logit, 360).select("b", "t", F.round("nll", 6).alias("nll"))
+
+
 @query()
 def allowed_next_by_end(spark, d):
-    words = _words(spark, d).select("word", F.reverse("pieces").alias("pieces"))
-    out = renorm.allowed_next_by_end(_stream(spark, d).select("b", "t", "input"), words)
-    return out.groupBy("b", "t").agg(F.count("*").alias("n_allowed"), F.sum("next_token").alias("sum_allowed"), F.max("any_token").alias("any_token"))
+    words = _all_words(spark, d).select("word", F.reverse("pieces").alias("pieces"))
+    sets = renorm.allowed_sets_by_end(_text_stream(spark, d, lambda w: F.reverse(_pieces(w))).select("b", "t", "input"), words)
+    free = F.col("allowed").isNull()
+    return _summed(sets, "b", "t", free.cast("int").alias("any_token")).withColumn("n_allowed", F.when(F.col("any_token") == 1, 1).otherwise(F.col("n_allowed")))
 
 
 @query("SELECT vec_id, CAST((vec_id * 7919 + label) % 3 = 0 AS INTEGER) AS picked, round(tanh(embedding[1]), 6) AS act, round(embedding[1] * 0.5 * (1 + tanh(sqrt(2 / pi()) * (embedding[1] + 0.044715 * pow(embedding[1], 3)))), 6) AS gelu FROM embeddings")

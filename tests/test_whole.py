@@ -3,7 +3,9 @@
 import os
 
 from corploom.functions import text as tx
-from corploom.plans import examples
+from corploom.functions.rng import keyed_uniform
+from corploom.operators import renorm
+from corploom.plans import evaluation, examples
 from pyspark.sql import functions as F
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -16,3 +18,21 @@ def test_sequences_hold_every_word(spark):
     assert sum(x != examples.EOS for r in got for x in r["token_ids"]) == n  # hashed ids begin at 10
     for name in ("permutation_lm", "sampled_spans", "span_mask_topped_up", "edit_sampled", "edit_span_sampled", "edit_noise", "mass_decoder_whole", "sentinel_corruption_whole", "array_functions_whole"):
         assert examples.QUERIES[name](spark, SF).select("seq_id").distinct().count() == len(got), name
+
+
+def test_renormalisation_of_every_piece(spark, tmp_path):
+    texts = [(1, "to be or not to be"), (2, "<eos> " + " ".join(f"w{k}{'x' * (k % 5)}" for k in range(40))), (3, " "), (4, "a")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d, q = str(tmp_path), evaluation.QUERIES
+    words, stream = evaluation._all_words(spark, d), evaluation._text_stream(spark, d).cache()
+    assert words.count() == 46 and {r["b"]: r["n"] for r in stream.groupBy("b").agg(F.count("*").alias("n")).collect()} == {i: sum(len(w) % 4 + 1 for w in t.split()) for i, t in texts if t.split()}
+    by_row = renorm.allowed_next(stream, words, renorm.flags(words)).cache()
+    key = lambda df: {(r["b"], r["t"]): tuple(r[2:]) for r in df.collect()}
+    want = key(by_row.where("any_token = 0").groupBy("b", "t").agg(F.count("*"), F.sum("next_token")))
+    assert key(q["allowed_next_whole"](spark, d)) == want and len(want) == stream.count()
+    logits = stream.select("b", "t", F.explode(F.sequence(F.lit(0), F.lit(359))).alias("token_id")).withColumn("logit", 3 * keyed_uniform(4, "renorm", F.col("b"), F.col("t"), F.col("token_id")))
+    nll = key(renorm.renormalised_nll(logits, stream.where("target IS NOT NULL").select("b", "t", "target"), by_row).withColumn("nll", F.round("nll", 6)))
+    got = key(q["renorm_nll_whole"](spark, d))
+    assert got.keys() == nll.keys() and len(got) == stream.where("target IS NOT NULL").count() and max(t for _, t in got) > 20
+    assert all(abs(got[k][0] - nll[k][0]) < 2e-6 for k in got)
+    assert q["allowed_next_by_end"](spark, d).select("b", "t").distinct().count() == stream.count()
