@@ -73,6 +73,14 @@ def dot_products(spark, d):
     return q.join(e.where("vec_id % 5 = 0"), "label").select("query_id", "vec_id", F.round(knn.dot(F.col("q"), F.col("embedding")), 6).alias("product"))
 
 
+@query(SQL["dot_products"].replace(" AND e.vec_id % 5 = 0", ""))
+def dot_products_whole(spark, d):
+    """All stored vectors of a query's label are scored."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return q.join(e, "label").select("query_id", "vec_id", F.round(knn.dot(F.col("q"), F.col("embedding")), 6).alias("product"))
+
+
 @query()
 def knn_ivf(spark, d):
     store = table(spark, d, "embeddings")
@@ -138,7 +146,15 @@ def smoothed_cross_entropy(spark, d):
 
 @query(f"WITH {_LOGITS} SELECT vec_id, token_id, round(greatest(logit - 2, 0) - (logit - 2) * CASE WHEN token_id = label THEN 1 ELSE 0 END + ln(1 + exp(-abs(logit - 2))), 6) AS loss FROM logits WHERE token_id < 3")
 def binary_loss(spark, d):
-    rows = _logits(spark, d).where("token_id < 3")
+    return _binary_loss(_logits(spark, d).where("token_id < 3"))
+
+
+@query(SQL["binary_loss"].replace(" WHERE token_id < 3", ""))
+def binary_loss_whole(spark, d):
+    return _binary_loss(_logits(spark, d))
+
+
+def _binary_loss(rows):
     y = (F.col("token_id") == F.col("label")).cast("double")
     return rows.select("vec_id", "token_id", F.round(metrics.binary_cross_entropy(F.col("logit") - 2, y), 6).alias("loss"))
 

@@ -36,3 +36,9 @@ def test_renormalisation_of_every_piece(spark, tmp_path):
     assert got.keys() == nll.keys() and len(got) == stream.where("target IS NOT NULL").count() and max(t for _, t in got) > 20
     assert all(abs(got[k][0] - nll[k][0]) < 2e-6 for k in got)
     assert q["allowed_next_by_end"](spark, d).select("b", "t").distinct().count() == stream.count()
+
+
+def test_all_vectors_are_scored(spark):
+    labels = [r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").select("label").collect()]
+    assert evaluation.QUERIES["dot_products_whole"](spark, SF).count() == sum(labels.count(x) for x in labels[::100])
+    assert evaluation.QUERIES["binary_loss_whole"](spark, SF).count() == 10 * len(labels)
