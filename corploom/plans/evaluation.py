@@ -216,8 +216,8 @@ def layer_decay(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(sampling.layer_decay(name, 12, 0.8), 9).alias("rate"), sampling.decays_weight(name).cast("int").alias("decays"))
 
 
-def _checkpoints(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 400").select((F.col("vec_id") % 8).alias("step"), F.when(F.col("vec_id") % 40 < 8, "global_step").otherwise(F.concat(F.lit("w"), (F.floor(F.col("vec_id") / 8) % 5).cast("string"))).alias("var_name"), F.posexplode("embedding").alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
+def _checkpoints(spark, d, which="vec_id < 400"):
+    return table(spark, d, "embeddings").where(which).select((F.col("vec_id") % 8).alias("step"), F.when(F.col("vec_id") % 40 < 8, "global_step").otherwise(F.concat(F.lit("w"), (F.floor(F.col("vec_id") / 8) % 5).cast("string"))).alias("var_name"), F.posexplode("embedding").alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("""WITH c AS (SELECT vec_id % 8 AS step, CASE WHEN vec_id % 40 < 8 THEN 'global_step' ELSE 'w' || (vec_id // 8) % 5 END AS var_name, unnest(range(len(embedding))) AS idx, unnest(embedding) AS value FROM embeddings WHERE vec_id < 400)
@@ -226,6 +226,11 @@ def ckpt_average(spark, d):
     return metrics.checkpoint_average(_checkpoints(spark, d), 5).withColumn("value", F.round("value", 6))
 
 
+@query(SQL["ckpt_average"].replace(" WHERE vec_id < 400", ""))
+def ckpt_average_whole(spark, d):
+    return metrics.checkpoint_average(_checkpoints(spark, d, "true"), 5).withColumn("value", F.round("value", 6))
+
+
 @query(f"WITH {_LOSS}, e AS (SELECT batch AS step, avg(loss) AS ppl FROM losses GROUP BY 1) SELECT step, round(ppl, 6) AS ppl FROM e WHERE step BETWEEN 2 AND 50 ORDER BY e.ppl, step LIMIT 1")
 def best_checkpoint(spark, d):
     evals = _losses(spark, d).groupBy(F.col("batch").alias("step")).agg(F.avg("loss").alias("ppl"))

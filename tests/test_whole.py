@@ -42,3 +42,13 @@ def test_all_vectors_are_scored(spark):
     labels = [r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").select("label").collect()]
     assert evaluation.QUERIES["dot_products_whole"](spark, SF).count() == sum(labels.count(x) for x in labels[::100])
     assert evaluation.QUERIES["binary_loss_whole"](spark, SF).count() == 10 * len(labels)
+
+
+def test_every_vector_enters_the_average(spark, tmp_path):
+    rows = [(i, [float(i)], 0) for i in range(1000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["var_name"]: r["value"] for r in evaluation.QUERIES["ckpt_average_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {"w1", "w2", "w3", "w4"}
+    for k in range(1, 5):
+        of = [i for i in range(1000) if i % 8 >= 3 and i % 40 >= 8 and i // 8 % 5 == k]
+        assert abs(got[f"w{k}"] - sum(of) / len(of)) < 1e-5
