@@ -242,6 +242,15 @@ def padded_batch(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(arrays.pad(head, 50, "<pad>"), " ").alias("padded"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents), r AS (SELECT doc_id, ws, unnest(range(greatest((len(ws) + 49) // 50, 1))) AS k FROM w)
+SELECT doc_id, CAST(k AS INTEGER) AS row_id, array_to_string(list_concat(ws[k * 50 + 1:k * 50 + 50], list_transform(range(greatest(k * 50 + 50 - len(ws), 0)), lambda i: '<pad>')), ' ') AS padded FROM r""")
+def padded_batch_whole(spark, d):
+    """Whole texts in rows of 50 words, the last one padded."""
+    docs = table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("ws"))
+    starts = F.transform(arrays.indices(F.greatest(F.ceil(F.size("ws") / 50), F.lit(1)).cast("int")), lambda k: F.slice("ws", k * 50 + 1, F.lit(50)))
+    return docs.select("doc_id", F.posexplode(starts).alias("row_id", "row")).select("doc_id", "row_id", F.array_join(arrays.pad(F.col("row"), 50, "<pad>"), " ").alias("padded"))
+
+
 @query()
 def wordpiece_tokens(spark, d):
     vocabulary = ["<unk>", *[chr(c) for c in range(97, 123)], *["##" + chr(c) for c in range(97, 123)], "the", "##the", "##er", "##on", "an", "##an"]

@@ -5,7 +5,7 @@ import os
 from corploom.functions import text as tx
 from corploom.functions.rng import keyed_uniform
 from corploom.operators import renorm
-from corploom.plans import evaluation, examples
+from corploom.plans import corpus, evaluation, examples
 from pyspark.sql import functions as F
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -52,3 +52,12 @@ def test_every_vector_enters_the_average(spark, tmp_path):
     for k in range(1, 5):
         of = [i for i in range(1000) if i % 8 >= 3 and i % 40 >= 8 and i // 8 % 5 == k]
         assert abs(got[f"w{k}"] - sum(of) / len(of)) < 1e-5
+
+
+def test_padded_rows_hold_whole_texts(spark):
+    got = {}
+    for r in corpus.QUERIES["padded_batch_whole"](spark, SF).orderBy("doc_id", "row_id").collect():
+        row = r["padded"].split(" ")
+        assert len(row) == 50
+        got.setdefault(r["doc_id"], []).extend(x for x in row if x != "<pad>")
+    assert got == {r["doc_id"]: list(r["w"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", tx.words(F.col("text")).alias("w")).collect()}
