@@ -48,7 +48,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).drop("passages")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op7_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corploom.llm.folds import fold, labelled
+from corploom.llm.scratch import Scratch
 from corploom.llm.words import document_shingles, signed
 
 _WORD = re.compile(r"\w+")
@@ -60,7 +61,7 @@ class ToxicityModel:
             word = m[0]
             s = cache.get(word)
             if s is None:
-                if len(cache) > 500_000:
+                if len(cache) > 200_000:
                     cache.clear()
                 s = cache[word] = self.log_odds(word) - self.drift
             if s > 0:
@@ -81,24 +82,34 @@ def maximal_segments(hits: list[tuple[int, float, int, int]], drift: float) -> l
 
     hits: (token number, positive score, first character, end) in order. Returns (score, first character, end).
     """
-    # each candidate: sum before it, sum to its end, first character, end
-    stack: list[tuple[float, float, int, int]] = []
+    # candidates in order, each with the sum before it, the sum to its end, its characters, and the place of the nearest earlier one with a
+    # smaller sum before it. What a later candidate steps over on that chain has no smaller sum before it than the later one, so nobody steps over it again
+    before: list[float] = []
+    upto: list[float] = []
+    chars: list[tuple[int, int]] = []
+    smaller: list[int] = []
     total, last = 0.0, 0
     for number, s, a, b in hits:
         total -= drift * (number - last - 1)
         last = number
         left, total = total, total + s
-        right = total
-        while stack:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= left:
-                k -= 1
-            if k < 0 or stack[k][1] >= right:
+        at = len(before) - 1
+        while at >= 0:
+            if before[at] >= left:
+                at = smaller[at]
+            elif upto[at] < total:  # the two and all between become one
+                left, a = before[at], chars[at][0]
+                for x in (before, upto, chars):
+                    del x[at:]
+                at = smaller[at]
+                del smaller[len(before) :]
+            else:
                 break
-            left, a = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((left, right, a, b))
-    return [(r - x, a, b) for x, r, a, b in stack]
+        before.append(left)
+        upto.append(total)
+        chars.append((a, b))
+        smaller.append(at)
+    return [(r - x, a, b) for x, r, (a, b) in zip(before, upto, chars, strict=True)]
 
 
 def _decay(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -135,8 +146,15 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lo), pa.array(hi)], names=["doc_id", "text", "label", "fold", "lo", "hi"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int = 3, most_stems: int = 2000, column: str = "toxic") -> ToxicityModel:
-    """Learn from at most about most labelled rows outside fold 0; of near copies one counts. No such rows: a model that rejects nothing. Of prefixes the most_stems strongest count."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int = 3, column: str = "toxic") -> ToxicityModel:
+    """Learn from at most about most labelled rows outside fold 0; of near copies one counts. No such rows: a model that rejects nothing.
+
+    Every prefix and word with enough evidence counts; the bound on rows bounds their number."""
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        return _fit(docs, labels, scratch, most, least_docs, column)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int, least_docs: int, column: str) -> ToxicityModel:
     rows = labelled(labels, column, most)
     # a side of most rows at the most
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "label", "fold")
@@ -145,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int
     row = F.struct("doc_id", "text", "label", "fold", "lo", "hi")
     for end in ("lo", "hi"):
         known = known.groupBy(end).agg(F.min(row).alias("r")).select("r.*")
+    known = scratch.save(known.select("text", "label", "fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -162,24 +181,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int
 
     counted = known.where(F.col("fold") != _CALIBRATION_FOLD).select("text", "label").mapInArrow(count, "word string, c1 long, c0 long")
     counted = counted.groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    counted.persist()
-    try:
-        totals = counted.where("word = '#'").first()
-        if totals is None or not totals["c1"] or not totals["c0"]:
-            return ToxicityModel({})
-        scale = totals["c1"] / totals["c0"]
-        words = counted.where("word <> '#'")
-        starts = F.filter(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in _PREFIXES]), lambda x: x.isNotNull())
-        kinds = words.select(F.explode(starts).alias("prefix"), ((F.col("c1") > 0) & (F.col("c0") == 0)).cast("long").alias("c1"), (F.col("c0") > 0).cast("long").alias("c0"))
-        kinds = kinds.groupBy("prefix").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-        strong = kinds.where(f"c1 >= {least_docs} AND c1 >= {4 * scale} * c0").withColumn("excess", F.col("c1") - scale * F.col("c0"))
-        stems = {r["prefix"]: (float(r["c1"]), r["c0"] * scale) for r in strong.orderBy(F.col("excess").desc(), "prefix").limit(most_stems).collect()}
-        marked = words.where(f"c1 >= {least_docs} AND c1 >= {2 * scale} * c0")
-        if stems:  # and what clean documents have of such words
-            marked = marked.unionByName(words.where(F.exists(starts, lambda x: x.isin(list(stems)))).where("c0 > 0")).distinct()
-        model = ToxicityModel(stems | {"=" + r["word"]: (float(r["c1"]), r["c0"] * scale) for r in marked.toLocalIterator()})
-    finally:
-        counted.unpersist()
+    counted = scratch.save(counted)
+    totals = counted.where("word = '#'").first()
+    if totals is None or not totals["c1"] or not totals["c0"]:
+        return ToxicityModel({})
+    scale = totals["c1"] / totals["c0"]
+    words = counted.where("word <> '#'")
+    starts = F.filter(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in _PREFIXES]), lambda x: x.isNotNull())
+    kinds = words.select(F.explode(starts).alias("prefix"), ((F.col("c1") > 0) & (F.col("c0") == 0)).cast("long").alias("c1"), (F.col("c0") > 0).cast("long").alias("c0"))
+    kinds = kinds.groupBy("prefix").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    strong = scratch.save(kinds.where(f"c1 >= {least_docs} AND c1 >= {4 * scale} * c0"))
+    features_ = {r["prefix"]: (float(r["c1"]), r["c0"] * scale) for r in strong.toLocalIterator()}
+    # and what clean documents have of words that begin so
+    shared = words.where("c0 > 0").withColumn("prefix", F.explode(starts)).join(strong.select("prefix"), "prefix", "left_semi").select("word", "c1", "c0")
+    marked = words.where(f"c1 >= {least_docs} AND c1 >= {2 * scale} * c0").unionByName(shared).distinct()
+    model = ToxicityModel(features_ | {"=" + r["word"]: (float(r["c1"]), r["c0"] * scale) for r in marked.toLocalIterator()})
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}

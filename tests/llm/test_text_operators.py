@@ -311,3 +311,58 @@ def test_token_counts(spark):
     want = [(k, len((t or "").split()), sum(viterbi("▁" + w, pieces, floor) for w in (t or "").split())) for k, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert tokencount.token_counts(spark.createDataFrame([], "doc_id long, text string"), path).collect() == []
+
+
+def test_maximal_segments_in_linear_time():
+    import time
+
+    for hits in ([(2 * k + 1, 0.9, k, k + 1) for k in range(200_000)], [(2 * k + 1, 1 + k * 1e-6, k, k + 1) for k in range(200_000)], [(3 * k + 1, 3.0 - k % 5, k, k + 1) for k in range(200_000)]):
+        began = time.perf_counter()
+        toxicity.maximal_segments(hits, 1.0)
+        assert time.perf_counter() - began < 5
+
+
+def test_toxicity_counts_against_brute_force(spark):
+    """Counts of words by documents, of prefixes by words, and the decay of the background scores, from nested loops over rows outside folds 0 and 4."""
+    docs, labels = labelled_corpus(600)
+    truth = {x[0]: x[2] for x in labels}
+    model = toxicity.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    fold = {k: zlib.crc32(str(k).encode()) % 5 for k in truth}
+    seen = {1: {}, 0: {}}
+    n = {1: 0, 0: 0}
+    for k, text, *_ in docs:
+        if fold[k] not in (0, 4):
+            n[truth[k]] += 1
+            for w in set(text.lower().replace("!", " ").split()):
+                seen[truth[k]][w] = seen[truth[k]].get(w, 0) + 1
+    scale = n[1] / n[0]
+    every = set(seen[0]) | set(seen[1])
+    prefixes = {}
+    for w in every:
+        for k in (3, 4, 5, 6):
+            if len(w) > k:
+                c = prefixes.setdefault(w[:k], [0, 0])
+                c[0] += w in seen[1] and w not in seen[0]
+                c[1] += w in seen[0]
+    strong = {p: (float(a), b * scale) for p, (a, b) in prefixes.items() if a >= 3 and a >= 4 * scale * b}
+    want = dict(strong)
+    for w in every:
+        a, b = seen[1].get(w, 0), seen[0].get(w, 0)
+        if a >= 3 and a >= 2 * scale * b or b > 0 and any(len(w) > k and w[:k] in strong for k in (3, 4, 5, 6)):
+            want["=" + w] = (float(a), b * scale)
+    assert strong and model.counts.keys() == want.keys()
+    assert all(model.counts[f] == pytest.approx(want[f]) for f in want)
+    for word in ("zgrumla", "vilewort", "zgrumxyz", "the"):
+        p = 0.5
+        for f in toxicity.features(word):
+            if f in want:
+                p = (want[f][0] + 8 * p) / (sum(want[f]) + 8)
+        assert model.log_odds(word) == pytest.approx(float(np.log(p / (1 - p))))
+    clean = [model.segments(text, {}) for k, text, *_ in docs if fold[k] == 4 and not truth[k]]
+    assert model.rate == pytest.approx((sum(len(s) for s, _ in clean) + 1) / sum(m for _, m in clean))
+
+
+def test_decay_solves_its_equation():
+    scores, n = np.array([-1.5, 2.0, 6.0]), np.array([1000.0, 20.0, 1.0])
+    root = toxicity._decay(scores, n)
+    assert (n / n.sum() * np.exp(root * scores)).sum() == pytest.approx(1, abs=1e-6) and root > 0
