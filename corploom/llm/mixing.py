@@ -16,6 +16,8 @@ from corploom.llm.scratch import Scratch
 
 #: Bits of the hash that one histogram resolves, and how many rounds: 15 * 4 = 60 bits of md5 in all.
 DIGIT_BITS, ROUNDS = 15, 4
+#: Repeats of one row that one task makes again.
+RUN = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -100,18 +102,58 @@ def with_copies(rows: DataFrame, plan: DataFrame, source: Column, row: Column, c
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, hash) of each row of docs."""
+    """(doc_id, source, size, hash) of each row of docs; the hash is that of the row's id and text, so rows without an id have hashes of their own."""
     ids = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-    return ids.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
+    return ids.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+
+
+def told_apart(hash_: Column, number: Column) -> Column:
+    """The hash of repeat number (from 0) of a row: the first keeps its own."""
+    return F.when(number == 0, hash_).otherwise(row_hash(hash_, number))
+
+
+def repeats_apart(sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """sized (doc_id, source, size, hash) with a hash of its own for each repeat of a row. Repeats are counted before they move, and
+    many of one row are made again by many tasks."""
+    classes = scratch.save(sized.groupBy("source", "doc_id", "hash", "size").agg(F.count("*").alias("times")).where("times > 1"))
+    most = classes.agg(F.max("times")).first()[0]
+    if most is None:
+        return sized
+    keys = classes.select(F.col("source").alias("_s"), F.col("hash").alias("_h"))
+    if keys.count() <= 200_000:
+        keys = F.broadcast(keys)
+    single = sized.join(keys, sized["source"].eqNullSafe(keys["_s"]) & (sized["hash"] == keys["_h"]), "left_anti")
+    runs = classes.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN))))
+    if most > RUN:
+        runs = runs.repartition("hash", "run")
+    number = F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("times")) - 1))
+    again = runs.withColumn("number", number).select("doc_id", "source", "size", told_apart(F.col("hash"), F.col("number")).alias("hash"))
+    return single.unionByName(again)
+
+
+def numbered(docs: DataFrame, hash_: str) -> DataFrame:
+    """docs with column hash_, the hash of repeats_apart() for each row. Only rows whose id and text repeat are numbered."""
+    source = F.col("source").cast("string")
+    hashed = docs.withColumn(hash_, row_hash(F.col("doc_id"), F.col("text")))
+    keys = hashed.groupBy(source.alias("_s"), F.col(hash_).alias("_corploom_h")).agg(F.count("*").alias("_n")).where("_n > 1").select("_s", "_corploom_h")
+    n = keys.count()
+    if not n:
+        return hashed
+    if n <= 200_000:
+        keys = F.broadcast(keys)
+    same = source.eqNullSafe(keys["_s"]) & (F.col(hash_) == keys["_corploom_h"])
+    again = hashed.join(keys, same, "left_semi")
+    number = F.row_number().over(Window.partitionBy(source, hash_).orderBy(hash_)) - 1
+    return hashed.join(keys, same, "left_anti").unionByName(again.withColumn(hash_, told_apart(F.col(hash_), number)))
 
 
 def mix(docs: DataFrame, scratch: Scratch, cap: int = 3) -> DataFrame:
     """docs' rows as (doc_id, source, size, source_size, target, copies, taken), taken the words that the mix takes, repeats counted.
 
     Every row is in it, also with taken 0. Null text has size 0; a null source is a source of its own; a null
-    doc_id counts as a value. Rows of one id have one hash and are taken or left together. An empty input gives an
-    empty result. Columns other than doc_id, text and source are ignored.
+    doc_id counts as a value. Rows are taken by a hash of id and text; repeats of one row are told apart and taken or left each
+    by itself. An empty input gives an empty result. Columns other than doc_id, text and source are ignored.
     """
-    sized = scratch.save(sizes(docs))
+    sized = repeats_apart(scratch.save(sizes(docs)), scratch)
     joined, copies = with_copies(sized, plan(sized, scratch, cap), F.col("source"), F.col("hash"), cap)
     return scratch.save(joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")), keep=True)

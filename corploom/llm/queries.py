@@ -86,10 +86,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _OP2 = r"""
-WITH sized AS (
+WITH rows_ AS (
   SELECT doc_id, source, CAST(coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', chr(1), 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS BIGINT) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\N')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\N') || '|' || coalesce(text, '\N')), 1, 15))::BIGINT AS h,
+         row_number() OVER (PARTITION BY source, doc_id, text) - 1 AS number
   FROM documents),
+sized AS (SELECT doc_id, source, size, CASE WHEN number = 0 THEN h ELSE ('0x' || substr(md5(h || '|' || number), 1, 15))::BIGINT END AS h FROM rows_),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight

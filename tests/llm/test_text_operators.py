@@ -366,3 +366,30 @@ def test_decay_solves_its_equation():
     scores, n = np.array([-1.5, 2.0, 6.0]), np.array([1000.0, 20.0, 1.0])
     root = toxicity._decay(scores, n)
     assert (n / n.sum() * np.exp(root * scores)).sum() == pytest.approx(1, abs=1e-6) and root > 0
+
+
+def test_mixing_meets_targets_of_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    rows = [(None, words(rng, rng.randint(1, 12)), "en", "none", 0) for _ in range(200)] + [(7, "one two three", "en", "same", 0)] * 300
+    rows += [(1000 + k, words(rng, 10), "en", "rest", 0) for k in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+
+    def run():
+        with Scratch(spark, "t") as s:
+            return sorted(map(tuple, mixing.mix(df, s).collect()), key=str)
+
+    got = run()
+    assert len(got) == len(rows) and got == run()
+    want = water_fill({s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in ("none", "same", "rest")})
+    for s, target in want.items():
+        assert abs(sum(r[6] for r in got if r[1] == s) - target) <= 12, s
+    numbered = mixing.numbered(df.withColumn("size", F.lit("clash")), "_h").select("source", "_h").collect()
+    assert len(numbered) == len(set(numbered)) == len(rows)
+
+
+def test_mixing_makes_many_repeats_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    df = spark.createDataFrame([(1, "a b", "en", "s", 0)] * 50 + [(2, "c", "en", "s", 0)], DOCS)
+    with Scratch(spark, "t") as s:
+        got = mixing.repeats_apart(s.save(mixing.sizes(df)), s).collect()
+    assert len(got) == 51 and len({r["hash"] for r in got}) == 51 and sum(r["size"] for r in got) == 101
