@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corploom.llm.counts import count_table
+from corploom.llm.counts import SLICE, count_table
 from corploom.llm.scratch import Scratch
 from corploom.llm.words import CHUNK_BYTES, text_chunks
 
-#: Counters a language: hashed byte trigrams.
-BUCKETS = 1 << 16
+#: Bits of the buckets that byte trigrams are hashed to, and of all counters of all languages: many languages get fewer buckets each.
+BUCKET_BITS, LEAST_BITS, TABLE_BITS = 16, 8, 23
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -34,16 +34,46 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 _FOLD[~_LETTER[_FOLD]] = 32
 
-_DROP = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Elements whose content isn't text; what ends them.
+_HIDDEN = re.compile(rb"(?:script|style|nav)(?![\w\x80-\xff])", re.IGNORECASE)
+_CLOSED = re.compile(rb"</(script|style|nav)\s*>", re.IGNORECASE)
+
+
+def visible_bytes(html: bytes) -> bytes:
+    """The text of a page: no scripts, styles, navigation, comments or tags, a space for each. One pass; what is never closed is an ordinary tag."""
+    ends: dict[bytes, list[tuple[int, int]]] = {}
+    for m in _CLOSED.finditer(html):
+        ends.setdefault(m[1].lower(), []).append(m.span())
+    turn = dict.fromkeys(ends, 0)
+    out, at, last_comment = [], 0, html.rfind(b"-->")
+    while (tag := html.find(b"<", at)) >= 0:
+        end = -1
+        hidden = _HIDDEN.match(html, tag + 1)
+        if hidden:
+            name = hidden[0].lower()
+            spans = ends.get(name, [])
+            while turn.get(name, 0) < len(spans) and spans[turn[name]][0] < hidden.end():
+                turn[name] += 1
+            if turn.get(name, 0) < len(spans):
+                end = spans[turn[name]][1]
+        elif html.startswith(b"<!--", tag) and last_comment >= tag + 4:
+            end = html.find(b"-->", tag + 4) + 3
+        if end < 0:
+            end = html.find(b">", tag) + 1
+            if not end:  # no tag is closed from here on
+                break
+        out.append(html[at:tag])
+        at = end
+    out.append(html[at:])
+    return b" ".join(out)
 
 
 def visible(html: str) -> str:
-    """The text of a page: no scripts, styles, navigation, comments or tags."""
-    return _DROP.sub(" ", html)
+    return visible_bytes(html.encode()).decode()
 
 
-def trigrams(raw: np.ndarray) -> np.ndarray:
-    """Bucket of every byte trigram that has a letter, over letters lower-cased and all else as single spaces."""
+def trigrams(raw: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
+    """Bucket (of 2**bits) of every byte trigram that has a letter, over letters lower-cased and all else as single spaces."""
     b = _FOLD[raw]
     keep = np.ones(len(b), dtype=bool)
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
@@ -52,7 +82,7 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
     code = code[(b[:-2] != 32) | (b[2:] != 32) | (b[1:-1] != 32)]
-    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    return ((code * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 @dataclass
@@ -64,25 +94,30 @@ class TextModel:
 
     def log_likelihoods(self, raw: np.ndarray) -> tuple[np.ndarray, int]:
         """Sums over the trigrams, and how many there are."""
-        out, n = np.zeros(len(self.table)), 0
+        out, n, bits = np.zeros(len(self.table)), 0, self.table.shape[1].bit_length() - 1
         for at in range(0, max(1, len(raw)), CHUNK_BYTES):
-            t = trigrams(raw[at : at + CHUNK_BYTES + 2])
+            t = trigrams(raw[at : at + CHUNK_BYTES + 2], bits)
             n += len(t)
             out += self.table[:, t].sum(axis=1, dtype=np.float64)
         return out, n
 
 
 def fit_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", smoothing: float = 0.5) -> TextModel:
-    """Counts over all rows with a language. The table's size is set by the number of languages."""
+    """Counts over all rows with a language. All languages together have at most 2**TABLE_BITS counters, so that more than 128 of them
+    have fewer buckets each; more than 32,768 are refused, for they are no languages."""
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     languages = sorted(r["lang"] for r in known.select("lang").distinct().toLocalIterator())
+    bits = max(LEAST_BITS, min(BUCKET_BITS, TABLE_BITS - max(0, len(languages) - 1).bit_length()))
+    if len(languages) << bits > 1 << TABLE_BITS:
+        raise ValueError(f"{len(languages)} different languages are declared")
+    size = 1 << bits
     place = {x: k for k, x in enumerate(languages)}
 
     def indices(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         codes = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
         for first, rows, raw, offsets in text_chunks(batch.column(1)):
             for k in range(rows):
-                yield trigrams(raw[offsets[k] : offsets[k + 1]]) + codes[first + k] * BUCKETS
+                yield trigrams(raw[offsets[k] : offsets[k + 1]], bits) + codes[first + k] * size
 
     def gathered(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         waiting: list[np.ndarray] = []
@@ -94,9 +129,9 @@ def fit_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sm
         if waiting:
             yield np.concatenate(waiting)
 
-    counts = count_table(known, max(1, len(languages)) * BUCKETS, gathered).reshape(-1, BUCKETS)[: len(languages)].astype(np.float64)
-    logs = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * BUCKETS))
-    return TextModel(languages, np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS))]).astype(np.float32))
+    counts = count_table(known, -(-max(1, len(languages)) * size // SLICE) * SLICE, gathered)[: len(languages) * size].reshape(-1, size).astype(np.float64)
+    logs = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * size))
+    return TextModel(languages, np.vstack([logs, np.full((1, size), -np.log(size))]).astype(np.float32))
 
 
 def _table_of(likelihoods: np.ndarray, n: int, scale: float) -> list[float]:
@@ -113,7 +148,7 @@ def text_evidence(rows: DataFrame, model: TextModel, html: bool, scale: float =
             tens, best = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                x = _table_of(*model.log_likelihoods(np.frombuffer((visible(text) if html else text).encode(), dtype=np.uint8)), scale)
+                x = _table_of(*model.log_likelihoods(np.frombuffer(visible_bytes(text.encode()) if html else text.encode(), dtype=np.uint8)), scale)
                 tens.append(x)
                 best.append(names[int(np.argmax(x))] if x else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(tens, pa.list_(pa.float64())), pa.array(best, pa.string())], names=["key", "declared", "host", "tens", "best"])
@@ -122,98 +157,151 @@ def text_evidence(rows: DataFrame, model: TextModel, html: bool, scale: float =
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The host of an address in lower case; null where there is none."""
+    found = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.when(found != "", found)
 
 
 def declared_of(html: Column) -> Column:
     """The first subtag of the html element's lang, in lower case; null without one."""
-    found = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?\\s*([A-Za-z]{2,8})", 1))
+    found = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<html\\b[^<>]*?\\blang\\s*=\\s*[\"']?\\s*([A-Za-z]{2,8})", 1))
     return F.when(found != "", found)
 
 
-def _counts(rows: DataFrame, by: str, languages: list[str]) -> DataFrame:
-    """One row for each value of by: how many of its rows each language is the likeliest of (map-side sums)."""
-    return rows.groupBy(by).agg(*[F.sum((F.col("best") == x).cast("double")).alias(f"{by}_{k}") for k, x in enumerate(languages)])
+@dataclass
+class Fusion:
+    """Evidence of one page as log-probabilities. Counts are of the pages' likeliest languages by their text, each without the page itself.
 
+    totals: how many pages each language is the likeliest of.
+    """
 
-def fuse(evidence: DataFrame, model: TextModel, strength: float = 5.0) -> DataFrame:
-    """evidence (key, declared, host, tens, best) as (key, lang, posterior, text_lang); lang is und without any evidence of a known language."""
+    names: list[str]
+    totals: np.ndarray
+    strength: float = 5.0
+
+    def vector(self, counts: list[tuple[str, int]] | None, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.names))
+        for name, n in counts or ():
+            out[self.place[name]] = n
+        return np.maximum(out - own, 0)
+
+    def __post_init__(self) -> None:
+        self.place = {x: k for k, x in enumerate(self.names)}
+
+    def logs(self, tens: list[float] | None, best: str | None, declared: str | None, declared_counts: list | None, levels: list) -> np.ndarray:
+        """ln P(language, evidence) up to a constant: the priors of levels (suffix, domain, host; None or empty where there is none) are smoothed each
+        towards the one before, the first towards that of all pages; what is missing adds nothing."""
+        own = np.zeros(len(self.names))
+        if best is not None:
+            own[self.place[best]] = 1
+        every = np.maximum(self.totals - own, 0)
+        prior = (every + 1) / (every.sum() + len(self.names))
+        for counts in levels:
+            if counts:
+                n = self.vector(counts, own)
+                prior = (n + self.strength * prior) / (n.sum() + self.strength)
+        out = np.log(prior)
+        if declared:
+            # of all pages in a language, those with this declaration
+            as_said = np.full(len(self.names), 0.5)
+            if declared in self.place:
+                as_said[self.place[declared]] = self.strength
+            out = out + np.log((self.vector(declared_counts, own) + as_said) / (every + self.strength + 0.5 * len(self.names)))
+        return out if not tens else out + np.array(tens)
+
+
+def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, sent to all executors if it has few rows (some dozen bytes each); otherwise Spark shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _counts(seen: DataFrame, by: str, out: str) -> DataFrame:
+    """(by, out): for each value of by the likeliest languages of its rows, and of how many each (map-side sums)."""
+    counted = seen.where(F.col(by).isNotNull()).groupBy(by, "best").agg(F.sum("n").alias("n"))
+    return counted.groupBy(by).agg(F.collect_list(F.struct("best", "n")).alias(out))
+
+
+def _totals(seen: DataFrame, names: list[str]) -> np.ndarray:
+    found = {r["best"]: r["n"] for r in seen.groupBy("best").agg(F.sum("n").alias("n")).collect()}  # a row for each language
+    return np.array([float(found.get(x, 0)) for x in names])
+
+
+def fuse(evidence: DataFrame, model: TextModel, scratch: Scratch, strength: float = 5.0) -> DataFrame:
+    """evidence (key, declared, host, tens, best) as (key, lang, posterior, text_lang); lang is und, with the posterior that the priors
+    give it, where there is no text, no declaration and no host."""
     names = [*model.languages, UNKNOWN]
-    parts = F.split(F.coalesce("host", F.lit("")), "\\.")
-    rows = evidence.withColumn("suffix", F.element_at(parts, -1)).withColumn("domain", F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.element_at(parts, -1)))
-    rows = rows.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("declared", F.coalesce("declared", F.lit("")))
-    seen = rows.where(F.col("best").isNotNull())
-    out = rows
-    for by in ("declared", "suffix", "domain", "host"):
-        out = out.join(_counts(seen, by, names), by, "left")
-    totals = seen.agg(*[F.sum((F.col("best") == x).cast("double")).alias(f"all_{k}") for k, x in enumerate(names)])
-    out = out.crossJoin(F.broadcast(totals))  # one row
-    own = [F.coalesce((F.col("best") == x).cast("double"), F.lit(0.0)) for x in names]
-    n = lambda by, k: F.greatest(F.coalesce(F.col(f"{by}_{k}"), F.lit(0.0)) - own[k], F.lit(0.0))
-    size = lambda by: sum((n(by, k) for k in range(len(names))), F.lit(0.0))
-    prior = [(n("all", k) + 1) / (size("all") + len(names)) for k in range(len(names))]
+    seen = scratch.save(evidence.where("best IS NOT NULL").groupBy("declared", "host", "best").agg(F.count("*").alias("n")))
+    parts = F.split("host", "\\.")
+    placed = seen.withColumn("suffix", F.element_at(parts, -1)).withColumn("domain", F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.element_at(parts, -1)))
+    hosts = evidence.select("host").where("host IS NOT NULL").distinct()
+    hosts = hosts.withColumn("suffix", F.element_at(parts, -1)).withColumn("domain", F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.element_at(parts, -1)))
     for by in ("suffix", "domain", "host"):
-        prior = [(n(by, k) + strength * p) / (size(by) + strength) for k, p in enumerate(prior)]
-    logs = []
-    for k, x in enumerate(names):
-        # of all pages in language k, those with this declaration, and with this suffix; an undeclared page says nothing
-        declared = F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log((n("declared", k) + F.when(F.col("declared") == x, F.lit(strength)).otherwise(F.lit(0.5))) / (n("all", k) + strength + 0.5 * len(names))))
-        logs.append(F.log(prior[k]) + declared + F.when(F.size("tens") > 0, F.col("tens")[k]).otherwise(F.lit(0.0)))
-    out = out.select("key", F.col("best").alias("text_lang"), F.array(*logs).alias("logs"))
-    top = F.array_max("logs")
-    posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return out.select("key", F.element_at(F.array(*map(F.lit, names)), F.array_position("logs", top).cast("int")).alias("lang"), posterior.alias("posterior"), F.coalesce("text_lang", F.lit(UNKNOWN)).alias("text_lang"))
+        hosts = hosts.join(_small(_counts(placed, by, f"{by}_counts")), by, "left")
+    hosts = scratch.save(hosts.select("host", "suffix_counts", "domain_counts", "host_counts"))
+    fusion = Fusion(names, _totals(seen, names), strength)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, posterior, texts = [], [], []
+            for r in batch.to_pylist():
+                pairs = lambda c: [(x["best"], x["n"]) for x in r[c] or ()]  # noqa: B023, E731
+                logs = fusion.logs(r["tens"], r["best"], r["declared"], pairs("declared_counts"), [pairs(c) for c in ("suffix_counts", "domain_counts", "host_counts")])
+                p = np.exp(logs - logs.max())
+                k = int(np.argmax(logs)) if r["tens"] or r["declared"] or r["host"] else len(names) - 1
+                lang.append(names[k])
+                posterior.append(float(p[k] / p.sum()))
+                texts.append(r["best"] or UNKNOWN)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(posterior, pa.float64()), pa.array(texts, pa.string())], names=["key", "lang", "posterior", "text_lang"])
+
+    joined = evidence.join(_small(_counts(seen, "declared", "declared_counts")), "declared", "left").join(_small(hosts), "host", "left")
+    return joined.select("key", "host", "declared", "tens", "best", "declared_counts", "suffix_counts", "domain_counts", "host_counts").mapInArrow(run, "key long, lang string, posterior double, text_lang string")
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(page_id, lang, posterior, text_lang) of each row of pages (page_id, url, html); texts of docs teach the languages.
 
-    A null or empty page has no text and no declaration, a null url no host and no suffix: what is missing counts for
-    nothing, and the priors decide. Repeated rows get equal results; columns of other names are ignored.
+    A null or empty page has no text and no declaration, a null or malformed url no host and no suffix: what is missing counts for
+    nothing, and a page with none of them is und. Repeated rows get equal results; columns of other names are ignored. Pages with one id
+    are identified each by itself. An empty table gives no rows.
     """
     model = fit_text(docs)
     rows = pages.select(F.col("page_id").cast("long").alias("key"), F.col("html").alias("text"), declared_of(F.col("html")).alias("declared"), host_of(F.col("url")).alias("host"))
-    fused = fuse(scratch.save(text_evidence(rows, model, html=True)), model)
+    fused = fuse(scratch.save(text_evidence(rows, model, html=True)), model, scratch)
     return scratch.save(fused.withColumnRenamed("key", "page_id"), keep=True)
 
 
 def keep_known(docs: DataFrame, model: TextModel, scratch: Scratch, least: float = 0.5, scale: float = 50.0, strength: float = 5.0) -> DataFrame:
-    """docs (with text, lang and source) without rows in no known language; all columns stay. Only a row for each source is kept in scratch.
+    """docs (with text, lang and source) without rows in no known language; all columns stay. Only counts are kept in scratch.
 
-    lang is the declared language and source stands for the host. A row goes if it has no letters, or if the fused
+    The fusion is that of pages: lang is the declared language and source stands for the host. A row goes if it has no letters, or if the
     posterior of the known languages is below least: no language explains the text better than chance does, and
     neither declaration nor source outweighs that. Null lang or source is no evidence.
     """
     names = [*model.languages, UNKNOWN]
-    place = {x: k for k, x in enumerate(model.languages)}
     rows = docs.select(F.lit(None).cast("long").alias("key"), "text", F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"))
-    seen = scratch.save(text_evidence(rows, model, html=False, scale=scale).select("host", "best").where("best IS NOT NULL"))
-    total = [r or 0.0 for r in seen.agg(*[F.sum((F.col("best") == x).cast("double")) for x in names]).first()]
-    base = [(n + 1) / (sum(total) + len(names)) for n in total]
-    counted = _counts(seen.where("host IS NOT NULL"), "host", names)
-    size = sum((F.col(f"host_{k}") for k in range(len(names))), F.lit(0.0))
-    priors = scratch.save(counted.select(F.col("host").alias("_host"), F.array(*[F.log((F.col(f"host_{k}") + strength * p) / (size + strength)) for k, p in enumerate(base)]).alias("_prior")), keep=True)
-    if priors.count() <= 200_000:  # a few dozen bytes each; beyond, Spark shuffles
-        priors = F.broadcast(priors)
-    fallback = np.log(np.array(base))
+    evidence = text_evidence(rows, model, html=False, scale=scale).select("declared", "host", "best").where("best IS NOT NULL")
+    seen = scratch.save(evidence.groupBy("declared", "host", "best").agg(F.count("*").alias("n")))
+    fusion = Fusion(names, _totals(seen, names), strength)
+    tables = [scratch.save(_counts(seen, by, f"_corploom_{by}").withColumnRenamed(by, f"_key_{by}"), keep=True) for by in ("declared", "host")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = []
             given = batch.schema.names
-            prior = batch.column(len(given) - 1)
-            batch = batch.select(list(range(len(given) - 1)))
-            for text, lang, p in zip(batch.column(given.index("text")), batch.column(given.index("lang")), prior, strict=True):
+            *kept, declared, host = range(len(given))
+            mask = []
+            pairs = lambda x: [(p["best"], p["n"]) for p in x.as_py() or ()]
+            for text, lang, d, h in zip(batch.column(given.index("text")), batch.column(given.index("lang")), batch.column(declared), batch.column(host), strict=True):
                 x = _table_of(*model.log_likelihoods(np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)), scale)
                 if not x:
                     mask.append(False)
                     continue
-                p = np.array(x) + (fallback if p.as_py() is None else np.array(p.as_py()))
-                if lang.as_py() in place:
-                    p[place[lang.as_py()]] += np.log(20.0)
-                p = np.exp(p - p.max())
+                lang = lang.as_py()
+                logs = fusion.logs(x, names[int(np.argmax(x))], None if lang is None else str(lang), pairs(d), [pairs(h)])
+                p = np.exp(logs - logs.max())
                 mask.append(bool(1 - p[-1] / p.sum() >= least))
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            yield batch.select(kept).filter(pa.array(mask, pa.bool_()))
 
-    joined = docs.join(priors, docs["source"].cast("string") == priors["_host"], "left").select(*[docs[c] for c in docs.columns], priors["_prior"].alias("_corploom_prior"))
+    declared, host = map(_small, tables)
+    joined = docs.join(declared, docs["lang"].cast("string") == declared["_key_declared"], "left").join(host, docs["source"].cast("string") == host["_key_host"], "left")
+    joined = joined.select(*[docs[c] for c in docs.columns], declared["_corploom_declared"], host["_corploom_host"])
     return joined.mapInArrow(run, docs.schema)

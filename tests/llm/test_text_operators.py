@@ -393,3 +393,71 @@ def test_mixing_makes_many_repeats_again(spark, monkeypatch):
     with Scratch(spark, "t") as s:
         got = mixing.repeats_apart(s.save(mixing.sizes(df)), s).collect()
     assert len(got) == 51 and len({r["hash"] for r in got}) == 51 and sum(r["size"] for r in got) == 101
+
+
+def test_visible_text_in_linear_time():
+    import re
+    import time
+
+    drop = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(4)
+    bits = ["<script>", "</script>", "<SCRIPT src=x>", "</Script >", "<nav", ">", "</nav>", "<style>", "</style\n>", "<!--", "-->", "<", "a", "é b", "<p>", "<navy>", "</", "<!-->"]
+    for _ in range(3000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert langid.visible(html) == drop.sub(" ", html), html
+    for tag in ("<script>", "<!--", "<nav", "</script ", "<"):
+        began = time.perf_counter()
+        langid.visible(tag * 50_000)
+        assert time.perf_counter() - began < 3, tag
+
+
+def fused_by_hand(rows, at, names):
+    """The stated law for row at of rows (declared, host, tens, best), by loops over all other rows."""
+    declared, host, tens, best = rows[at]
+    others = [r for k, r in enumerate(rows) if k != at and r[3] is not None]
+    tail = lambda h, k: ".".join(h.split(".")[-k:]) if h else None
+    out = {}
+    for x in names:
+        p = (sum(r[3] == x for r in others) + 1) / (len(others) + len(names))
+        if host:
+            for k in (1, 2, 99):
+                mine = [r for r in others if tail(r[1], k) == tail(host, k)]
+                p = (sum(r[3] == x for r in mine) + 5 * p) / (len(mine) + 5)
+        log = math.log(p)
+        if declared:
+            n = sum(r[3] == x and r[0] == declared for r in others)
+            log += math.log((n + (5 if declared == x else 0.5)) / (sum(r[3] == x for r in others) + 5 + 0.5 * len(names)))
+        out[x] = log + (tens[names.index(x)] if tens else 0)
+    top = max(out.values())
+    total = sum(math.exp(v - top) for v in out.values())
+    lang = "und" if not (tens or declared or host) else max(names, key=lambda x: out[x])
+    return lang, math.exp(out[lang] - top) / total
+
+
+def test_fusion_against_brute_force(spark):
+    rng = random.Random(6)
+    names = ["aa", "bb", "und"]
+    rows = []
+    for _ in range(80):
+        tens = [rng.uniform(-4, 0) for _ in names] if rng.random() < 0.8 else []
+        rows.append((rng.choice([None, "aa", "bb", "zz"]), rng.choice([None, "a.x.aa", "b.x.aa", "c.y.bb", "solo", "aa"]), tens, names[tens.index(max(tens))] if tens else None))
+    rows += [(None, None, [], None)] * 2
+    model = langid.TextModel(["aa", "bb"], np.zeros((3, 256), dtype=np.float32))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "key long, declared string, host string, tens array<double>, best string")
+    with Scratch(spark, "t") as s:
+        got = {r["key"]: r for r in langid.fuse(df, model, s).collect()}
+    for k in range(len(rows)):
+        lang, p = fused_by_hand(rows, k, names)
+        assert got[k]["lang"] == lang and got[k]["posterior"] == pytest.approx(p), rows[k]
+
+
+def test_pages_of_odd_shapes(spark):
+    _, say = tongues()
+    docs = [(k, say(x, 100), x, "s", 0) for k in range(30) for x in ("aa", "bb", "cc")]
+    long = "<p>" + say("bb", 60_000) + "</p>"
+    pages = [(1, None, None), (2, None, ""), (3, "http://h.bb/", long), (3, "http://h.bb/", long), (4, None, "<p>" + say("cc", 40)), (5, "no address", "<script>" * 2000)] + [(10 + k, None, "<p>" + say("aa", 40)) for k in range(20)]
+    with Scratch(spark, "t") as s:
+        got = [tuple(r) for r in langid.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("best", F.lit("clash")), spark.createDataFrame(docs, DOCS), s).collect()]
+    by = {r[0]: r for r in got}
+    assert len(got) == len(pages) and by[1][1] == by[2][1] == by[5][1] == "und" and by[3][1] == "bb" and by[4][1] == "cc"
+    assert len([r for r in got if r[0] == 3]) == 2 and len({r for r in got if r[0] == 3}) == 1
