@@ -16,7 +16,11 @@ from corploom.llm.folds import fold, labelled
 from corploom.llm.scratch import Scratch
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_DELETE_LETTERS = str.maketrans("", "", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_ASCII = re.compile(r"[\x00-\x7F]+")
+#: Kinds of ASCII characters: 1 lower case, 2 upper case, 3 digits, 4 symbols, 5 marks.
+_KIND = np.zeros(256, dtype=np.int64)
+for _kind, _of in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b"#$%&*@^~|<>{}[]=+_\\"), (5, b".,;:!?'\"()-")):
+    _KIND[list(_of)] = _kind
 
 NAMES = ("log_words", "mean_word", "spread_word", "upper", "digit", "symbol", "mark", "other", "distinct", "top_word", "same_next", "line_words", "line_repeat", "long_word", "short_word", "lone_symbol")
 
@@ -29,13 +33,13 @@ def statistics(text: str | None) -> list[float]:
     if not n:
         return [0.0] * len(NAMES)
     chars = sum(map(len, words))
-    rest = text.translate(_DELETE_LETTERS)
-    ascii_letters = len(text) - len(rest)
-    lower = sum(map(text.count, "aeiounrst"))  # nine of the commonest letters stand for lower case
-    upper = sum(map(text.count, "AEIOUNRST"))
-    digit = sum(c.isdigit() for c in rest) if any(map(rest.__contains__, "0123456789")) else 0
-    symbol = sum(map(rest.count, "#$%&*@^~|<>{}[]=+_\\"))
-    mark = sum(map(rest.count, ".,;:!?'\"()-"))
+    raw = text.encode("utf-8", "surrogatepass")
+    seen = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
+    lower, upper, digit, symbol, mark = np.bincount(_KIND, weights=seen, minlength=6)[1:].tolist()
+    ascii_letters = lower + upper
+    if len(raw) > len(text):  # letters and digits of other scripts
+        rest = _ASCII.sub("", text)
+        lower, upper, digit = (n + sum(map(f, rest)) for n, f in ((lower, str.islower), (upper, str.isupper), (digit, str.isdigit)))
     counts = Counter(words)
     lengths = np.fromiter(map(len, words), dtype=np.float64, count=n)
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
@@ -50,7 +54,7 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass
 class Discriminant:
-    """Class means, Cholesky factors of the shrunk covariances, their log-determinants and log-priors; class 1 first wins by log density."""
+    """Class means, inverses of the Cholesky factors of the shrunk covariances (made once), log-determinants of the factors, and log-priors."""
 
     means: np.ndarray
     factors: np.ndarray
@@ -59,10 +63,10 @@ class Discriminant:
     temper: float = 0.25
 
     def log_density_difference(self, x: np.ndarray) -> np.ndarray:
-        """ln p(x | 1) + ln p(1) - ln p(x | 0) - ln p(0) of each row, by Mahalanobis distances: one triangular solve a class."""
+        """ln p(x | 1) + ln p(1) - ln p(x | 0) - ln p(0) of each row, by Mahalanobis distances: one product with the cached factor a class."""
         out = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.factors[k] @ (x - self.means[k]).T
             out.append(-0.5 * (z * z).sum(axis=0) - self.log_dets[k] + self.log_priors[k])
         return out[1] - out[0]
 
@@ -79,7 +83,7 @@ def discriminant(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: f
     pooled = (covs * (n / total)[:, None, None]).sum(axis=0) if n.sum() else np.eye(d)
     pooled = (1 - shrink) * pooled + shrink * np.diag(np.diag(pooled)) + ridge * np.eye(d)
     factors = np.array([np.linalg.cholesky((1 - shrink) * c + shrink * pooled + ridge * np.eye(d)) for c in covs])
-    return Discriminant(means, factors, np.array([np.log(np.diag(f)).sum() for f in factors]), np.log((n + 1) / (n.sum() + 2)))
+    return Discriminant(means, np.linalg.inv(factors), np.array([np.log(np.diag(f)).sum() for f in factors]), np.log((n + 1) / (n.sum() + 2)))
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:

@@ -3,15 +3,18 @@
 A text's pre-tokens are its words with a word mark in front. Distinct ones go into a trie; the best unigram score of
 every prefix is computed once at its node from the scores of shorter prefixes on the path, with the number of pieces
 on the best path, so that words that share a prefix share the work. A word's terminal node holds its count.
+A piece's probability is its share of all pieces that the corpus uses: vocabularies that are ranked by merges carry no probabilities.
 """
 
 from __future__ import annotations
 
 import gc
 import math
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +24,55 @@ MARK = "▁"
 MOST_NODES, MOST_WORDS = 250_000, 500_000
 
 
-def unigram_pieces(path: str) -> dict[str, float]:
-    """piece -> log-probability from the normal pieces of a sentencepiece model file.
-
-    Ranked vocabularies carry scores that aren't probabilities, so the law is Zipf's: piece r of n (from 0, in order of
-    ids) has ln(1 / (r + 1) / H) with H the sum of 1 / (r + 1).
-    """
+def _model(path: str):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=str(Path(path)))
-    names = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
-    total = math.log(sum(1 / (r + 1) for r in range(len(names))))
-    return {x: -math.log(r + 1) - total for r, x in enumerate(names)}
+    return sentencepiece.SentencePieceProcessor(model_file=str(Path(path)))
+
+
+def unigram_pieces(path: str, counts: np.ndarray | None = None) -> dict[str, float]:
+    """piece -> log-probability of the normal pieces of a sentencepiece model file.
+
+    counts: how often each id is used. A piece has (count + 1/2) of all counts and halves. Without counts all pieces are alike.
+    """
+    model = _model(path)
+    names = {k: model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))}
+    used = np.zeros(max(names, default=0) + 1) if counts is None else np.asarray(counts, dtype=np.float64)
+    total = math.log(sum(used[k] + 0.5 for k in names) or 1.0)
+    return {x: math.log(used[k] + 0.5) - total for k, x in names.items()}
+
+
+def piece_counts(docs: DataFrame, path: str) -> np.ndarray:
+    """How often each id of the model file's vocabulary is used over all texts of docs, by the file's own segmentation. A task splits each
+    different word once for its repeats; what it keeps of words is bounded."""
+    size = _model(path).get_piece_size()
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(path)
+        seen: Counter = Counter()
+        total = np.zeros(size, dtype=np.int64)
+
+        def flush() -> None:
+            found = list(seen.items())
+            for at in range(0, len(found), 20_000):
+                part = found[at : at + 20_000]
+                ids = model.encode([w.decode("utf-8", "replace") for w, _ in part])
+                times = np.repeat([n for _, n in part], [len(x) for x in ids])
+                total[:] += np.bincount(np.fromiter((i for x in ids for i in x), dtype=np.int64, count=len(times)), weights=times, minlength=size).astype(np.int64)
+            seen.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update((text.as_py() or "").encode("utf-8", "surrogatepass").split())
+                if len(seen) > MOST_WORDS:
+                    flush()
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0], pa.int64())], names=["id", "n"])
+
+    out = np.zeros(size, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(used, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each piece at the most
+        out[r["id"]] = r["n"]
+    return out
 
 
 class Trie:
@@ -86,17 +126,20 @@ class Trie:
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_words, n_tokens) of each row of docs (doc_id, text), in one narrow pass.
+    """(doc_id, n_words, n_tokens) of each row of docs (doc_id, text), in two narrow passes: one counts how often each piece is used over
+    all texts, which gives the probabilities, the other scores.
 
     Words are runs of characters outside [\\x20\\x09-\\x0D]. Null and empty texts have none and 0 tokens. Repeated rows get
     equal counts, a null id stays null; other columns are ignored.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(unigram_pieces(path, piece_counts(docs, path)))  # a vocabulary
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the trie has no cycles, and collecting garbage would walk all of it again and again
         gc.disable()
         try:
-            trie, known = Trie(unigram_pieces(path)), {}
+            trie, known = Trie(shared.value), {}
             count_of = known.__getitem__
             for batch in batches:
                 words, tokens = [], []

@@ -302,11 +302,21 @@ def viterbi(word, pieces, floor):
 
 
 def test_token_counts(spark):
+    """Probabilities are the shares of pieces that all texts use, counted here word by word."""
+    import sentencepiece
+
     path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = tokencount.unigram_pieces(path)
-    floor = min(pieces.values()) - 10
     rng = random.Random(4)
-    rows = [(k, words(rng, 40) + " ünïcode 漢字 😀 x1,2") for k in range(40)] + [(None, "abc abc"), (50, None), (51, ""), (51, " \n")]
+    rows = [(k, words(rng, 40) + " ünïcode 漢字 😀 x1,2") for k in range(40)] + [(None, "abc abc"), (50, None), (51, ""), (51, " \n"), (52, "long" * 60), (52, "long" * 60)]
+    model = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    counts = np.zeros(model.get_piece_size())
+    for _, t in rows:
+        for w in (t or "").split():
+            for i in model.encode(w):
+                counts[i] += 1
+    pieces = tokencount.unigram_pieces(path, counts)
+    assert sum(map(math.exp, pieces.values())) == pytest.approx(1)
+    floor = min(pieces.values()) - 10
     got = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("z")), path).collect()
     want = [(k, len((t or "").split()), sum(viterbi("▁" + w, pieces, floor) for w in (t or "").split())) for k, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
@@ -461,3 +471,39 @@ def test_pages_of_odd_shapes(spark):
     by = {r[0]: r for r in got}
     assert len(got) == len(pages) and by[1][1] == by[2][1] == by[5][1] == "und" and by[3][1] == "bb" and by[4][1] == "cc"
     assert len([r for r in got if r[0] == 3]) == 2 and len({r for r in got if r[0] == 3}) == 1
+
+
+def test_statistics_count_all_letters_and_digits():
+    at = dict(zip(quality.NAMES, range(len(quality.NAMES)), strict=True))
+    assert quality.statistics("KGB WYZ HDM")[at["upper"]] == quality.statistics("TEN ARE OUT")[at["upper"]] == 1
+    assert quality.statistics("ÄÖ ЖЫ")[at["upper"]] == 1 and quality.statistics("äö жы")[at["upper"]] == 0
+    assert quality.statistics("٣٤٥")[at["digit"]] == quality.statistics("345")[at["digit"]] == 1
+    for text in ("a#b $c", "x.y, (z)", "Ab1 cD2 é٣"):
+        got, n = quality.statistics(text), sum(map(len, text.split()))
+        assert got[at["digit"]] == pytest.approx((sum(c.isdigit() for c in text) / n) ** 0.5)
+        assert got[at["upper"]] == pytest.approx((sum(c.isupper() for c in text) / max(1, sum(c.isupper() or c.islower() for c in text))) ** 0.5)
+        assert got[at["symbol"]] == pytest.approx((sum(c in "#$%&*@^~|<>{}[]=+_\\" for c in text) / n) ** 0.5)
+        assert got[at["mark"]] == pytest.approx((sum(c in ".,;:!?'\"()-" for c in text) / n) ** 0.5)
+
+
+def test_quality_scores_against_brute_force(spark):
+    """Means, covariances and densities by loops over the labelled rows outside fold 0."""
+    docs, labels = labelled_corpus(300)
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    with Scratch(spark, "t") as s:
+        got = {r["doc_id"]: r["score"] for r in quality.score(d, lab, s).collect()}
+    x = {k: np.array(quality.statistics(t)) for k, t, *_ in docs}
+    label = {k: q for k, q, _ in labels if zlib.crc32(str(k).encode()) % 5}
+    rows = [np.array([x[k] for k in label if label[k] == c]) for c in (0, 1)]
+    n, d_ = [len(r) for r in rows], len(quality.NAMES)
+    covs = [np.cov(r.T, bias=True) for r in rows]
+    pooled = sum(c * m for c, m in zip(covs, n, strict=True)) / sum(n)
+    pooled = 0.85 * pooled + 0.15 * np.diag(np.diag(pooled)) + 1e-4 * np.eye(d_)
+    for k, v in x.items():
+        logs = []
+        for c in (0, 1):
+            cov = 0.85 * covs[c] + 0.15 * pooled + 1e-4 * np.eye(d_)
+            e = v - rows[c].mean(axis=0)
+            logs.append(-0.5 * e @ np.linalg.solve(cov, e) - 0.5 * np.linalg.slogdet(cov)[1] + math.log((n[c] + 1) / (sum(n) + 2)))
+        want = 1 / (1 + math.exp(-min(40, max(-40, 0.25 * (logs[1] - logs[0])))))
+        assert got[k] == pytest.approx(want, abs=1e-6)
