@@ -56,7 +56,7 @@ def _sketch(h: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, width: int, t: Fraction, table: np.ndarray) -> DataFrame:
-    """(doc_id, n, fp_a, fp_b, sketch, prefix): the set's size, two sums of hashes that name it, its sketch and its rare-first prefix."""
+    """(doc_id, text_hash, n, fp_a, fp_b, sketch, prefix): the set's size, two sums of hashes that name it, its sketch and its rare-first prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +75,9 @@ def _signatures(docs: DataFrame, width: int, t: Fraction, table: np.ndarray) ->
                 else:
                     prefixes.append(np.zeros(0, dtype=np.int64))
                     sketches.append([0] * SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "fp_a", "fp_b", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(others, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n", "fp_a", "fp_b", "sketch", "prefix"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, fp_a long, fp_b long, sketch array<long>, prefix array<long>")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, n long, fp_a long, fp_b long, sketch array<long>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -146,7 +146,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs; component_id is the least doc_id that links reach.
+    """(doc_id, n_shingles, component_id, text_hash, group) for each row of docs; component_id is the least doc_id that links reach, group a number
+    of the component (null without shingles) that rows without ids have too, and text_hash is xxhash64 of the text.
 
     Rows link when the Jaccard similarity of their sets of width-word shingles is at least threshold (a decimal
     string, used exactly). Null, empty and blank texts have no shingles and link with nothing: their component is
@@ -209,12 +210,12 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: st
 
     placed = nodes.select("node", "least_id", *name).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    members = placed.join(least, "component").select(*name, "component_id")
-    out = signed_docs.select("doc_id", *name).join(members, name, "left")
-    return scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), keep=True)
+    members = placed.join(least, "component").select(*name, "component_id", F.col("component").alias("group"))
+    out = signed_docs.select("doc_id", "text_hash", *name).join(members, name, "left")
+    return scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "group"), keep=True)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: str = "0.8", **columns: str) -> DataFrame:
-    """near_groups with tables of its own."""
+    """(doc_id, n_shingles, component_id) of near_groups, with tables of its own."""
     with Scratch(docs.sparkSession, "jaccard") as scratch:
-        return near_groups(docs, scratch, width, threshold, **columns)
+        return near_groups(docs, scratch, width, threshold, **columns).select("doc_id", "n_shingles", "component_id")

@@ -63,3 +63,17 @@ def test_empty(spark, corpus, tmp_path):
         stage(spark, docs, d).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.count() == 0
+
+
+def test_copies_are_told_by_id_and_text(spark, tmp_path):
+    """One id on different texts, near copies under one id, rows without an id, rows without words."""
+    stage = dict(pipeline.STAGES)["near_copies"]
+    w = [f"w{k}" for k in range(60)]
+    other = [f"v{k}" for k in range(60)]
+    a, near_a, b, near_b = " ".join(w), " ".join([*w[:-1], "x"]), " ".join(other), " ".join([*other[:-1], "y"])
+    docs = [(5, a, "en", "s", 0), (5, near_a, "en", "s", 0), (3, b, "en", "s", 0), (5, near_b, "en", "s", 0), (None, near_b, "en", "s", 0), (9, " ", "en", "s", 0), (9, " ", "en", "s", 0), (None, "only this text has no id", "en", "s", 0), (8, None, "en", "s", 0), (6, a, "en", "s", 0), (3, b, "en", "s", 0)]
+    got = sorted((tuple(r)[:2] for r in stage(spark, spark.createDataFrame(docs, DOCS), "").collect()), key=str)
+    # one of the two texts of id 5 stays for the first group, 3 for the second
+    first = [r for r in got if r[0] == 5]
+    assert len(first) == 1 and first[0][1] in (a, near_a)
+    assert [r for r in got if r[0] != 5] == sorted([(3, b), (9, " "), (9, " "), (None, "only this text has no id"), (8, None)], key=str)
