@@ -25,32 +25,39 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of docs for each group of near copies (five words, Jaccard 0.8): the one whose id names the group.
+    """One row of docs for each group of near copies (five words, Jaccard 0.8): the least by id (none last) and hash of the text.
 
-    Rows that repeat both id and text count as one. Rows without an id, and rows without words, stay.
+    A row is told by its id and its text, so one id on several texts stands for several rows, and rows without an id belong to
+    groups too. Of rows that repeat both, one stays. Rows without words have no copies and stay.
     """
     with Scratch(spark, "groups") as scratch:
-        groups = near_groups(docs, scratch, width=5, threshold="0.8").where("doc_id IS NOT NULL")
-        # ids and flags alone are kept; texts are read once more when the result is
-        by_id = scratch.save(groups.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("stays")), keep=True)
-        lost = by_id.where("NOT stays").select(F.col("doc_id").alias("_id"))
-        if lost.count() <= 1_000_000:  # 8 bytes each; beyond, Spark shuffles
+        # ids and hashes alone are kept; texts are read once more when the result is
+        rows = near_groups(docs, scratch).where("group IS NOT NULL").groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+        rows = scratch.save(rows)
+        first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))).alias("first")).select("group", "first.i", "first.h")
+        named = rows.join(first, "group").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "times", (F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).alias("stays"))
+        named = scratch.save(named, keep=True)
+        lost = named.where("NOT stays").select("_id", "_hash")
+        if lost.count() <= 1_000_000:  # 16 bytes each; beyond, Spark shuffles
             lost = F.broadcast(lost)
-        kept = docs.join(lost, docs["doc_id"] == lost["_id"], "left_anti")
-        again = by_id.where("stays AND times > 1").select(F.col("doc_id").alias("_id"))
+        same = lambda df, keys: df["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.xxhash64(df["text"]) == keys["_hash"])
+        kept = docs.join(lost, same(docs, lost), "left_anti")
+        again = named.where("stays AND times > 1").select("_id", "_hash")
         if not again.isEmpty():
-            twice = kept.join(again, kept["doc_id"] == again["_id"], "left_semi")
+            twice = kept.join(again, same(kept, again), "left_semi")
             one = twice.groupBy("doc_id", F.xxhash64("text").alias("_corploom_same")).agg(F.min_by(F.struct(*docs.columns), F.struct("source", "lang")).alias("_corploom_row")).select("_corploom_row.*")
-            kept = kept.join(again, kept["doc_id"] == again["_id"], "left_anti").unionByName(one)
+            kept = kept.join(again, same(kept, again), "left_anti").unionByName(one)
         return kept
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as often as the mix takes them (0 to 3 times); texts stay where they are read."""
+    """docs as often as the mix takes them (0 to 3 times); texts stay where they are read, but for rows that repeat."""
     with Scratch(spark, "mix") as scratch:
-        plan = mixing.plan(scratch.save(mixing.sizes(docs)), scratch, keep=True)
-        joined, copies = mixing.with_copies(docs, plan, docs["source"].cast("string"), mixing.row_hash(docs["doc_id"]))
-        return joined.select(F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_corploom_copy"), *[docs[c] for c in docs.columns]).drop("_corploom_copy")
+        sized = mixing.repeats_apart(scratch.save(mixing.sizes(docs)), scratch)
+        plan = mixing.plan(sized, scratch, keep=True)
+        numbered = mixing.numbered(docs, "_corploom_hash")
+        joined, copies = mixing.with_copies(numbered, plan, numbered["source"].cast("string"), numbered["_corploom_hash"])
+        return joined.select(F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_corploom_copy"), *[numbered[c] for c in docs.columns]).drop("_corploom_copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
