@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.functions.arrays import indices
+from corploom.functions.rng import keyed_uniform
+from corploom.operators.positions import offsets
 
 
 def _ordered(value: str, by: str) -> Column:
@@ -124,23 +128,15 @@ def device_of(row: Column, bsz: int, devices: int, first: int | None = None) ->
 
 
 def variable_bounds(spark, n_step: int, bptt: int, seed: int = 0, std: float = 5.0, least: int = 5, max_deviation: int = 3) -> DataFrame:
-    """(batch_id, begin, len): keyed normal lengths about bptt (half of it once in twenty), from least to bptt + max_deviation * std."""
-    import hashlib
-    import math
-
-    def u(tag: str, k: int) -> float:
-        return int(hashlib.md5(f"{seed}|{tag}|{k}".encode()).hexdigest()[:8], 16) / 2**32
-
-    rows, i, k = [], 0, 0
-    while i < n_step - 2:
-        base = bptt if u("base", k) < 0.95 else bptt / 2
-        normal = math.sqrt(-2 * math.log(1 - u("n1", k))) * math.cos(2 * math.pi * u("n2", k))
-        size = min(bptt + int(max_deviation * std), max(least, int(base + std * normal)))
-        size = min(size, n_step - 1 - i)
-        rows.append((k, i, size))
-        i += size
-        k += 1
-    return spark.createDataFrame(rows, "batch_id int, begin long, len int")
+    """(batch_id, begin, len): keyed normal lengths about bptt (half of it once in twenty), from least to bptt + max_deviation * std. A length depends on its
+    number alone, so all are drawn at once and begins are their sums."""
+    u = lambda tag: keyed_uniform(seed, tag, F.col("batch_id"))
+    base = F.when(u("base") < 0.95, F.lit(float(bptt))).otherwise(F.lit(bptt / 2))
+    normal = F.sqrt(-2 * F.log(1 - u("n1"))) * F.cos(2 * math.pi * u("n2"))
+    most = -(-max(0, n_step) // least)
+    sizes = spark.range(most).withColumnRenamed("id", "batch_id").withColumn("size", F.least(F.lit(bptt + int(max_deviation * std)), F.greatest(F.lit(least), (base + std * normal).cast("int"))).cast("long"))
+    placed = offsets(sizes, "batch_id", "size", rows=most).where(F.col("offset") < n_step - 2)
+    return placed.select(F.col("batch_id").cast("int").alias("batch_id"), F.col("offset").alias("begin"), F.least(F.col("size"), n_step - 1 - F.col("offset")).cast("int").alias("len"))
 
 
 def variable_batches(stream: DataFrame, n_tokens: int, bsz: int, bounds: DataFrame) -> DataFrame:
@@ -151,31 +147,40 @@ def variable_batches(stream: DataFrame, n_tokens: int, bsz: int, bounds: DataFra
     return _shifted(at.join(steps, "t"), ["batch_id", "b"], "t", "input", "target")
 
 
-def slot_batches(sentences: list[list[int]], bsz: int, bptt: int, ext_len: int = 0, fill: int = -1) -> Iterator[tuple[list[list[int]], list[list[int]]]]:
-    """(data rows, target rows) a batch: bsz slots filled in turn from one stream of sentences; a sentence gives its neighbours as
-    (input, target) pairs. The batch in which the stream ends before every slot is full is dropped."""
-    stream = iter(sentences)
-    rest: list[list[int]] = [[] for _ in range(bsz)]
-    kept: list[list[int]] = [[] for _ in range(bsz)]
+def slot_sentences(pairs: np.ndarray, bsz: int, bptt: int) -> tuple[list[list[slice]], int]:
+    """(runs of sentences of each slot, number of whole batches). pairs: how many (input, target) pairs each sentence of the stream gives.
+
+    A slot that lacks x pairs for its next bptt takes the shortest run of coming sentences with at least x; slots take in turn, and the batch in which the
+    stream lasts for some of them only is no batch.
+    """
+    upto = np.concatenate(([0], np.cumsum(pairs)))
+    over = [0] * bsz  # pairs that a slot has beyond its whole batches
+    taken: list[list[slice]] = [[] for _ in range(bsz)]
+    next_, batches = 0, 0
     while True:
-        data = [[fill] * bptt for _ in range(bsz)]
-        target = [[fill] * bptt for _ in range(bsz)]
-        for i in range(bsz):
-            done = 0
-            while done < bptt:
-                while len(rest[i]) <= 1:
-                    got = next(stream, None)
-                    if got is None:
-                        return
-                    rest[i] = list(got)
-                n = min(len(rest[i]) - 1, bptt - done)
-                data[i][done : done + n] = rest[i][:n]
-                target[i][done : done + n] = rest[i][1 : n + 1]
-                rest[i] = rest[i][n:]
-                done += n
-        yield [k + d for k, d in zip(kept, data, strict=True)], target
-        if ext_len:
-            kept = [(k + d)[-ext_len:] for k, d in zip(kept, data, strict=True)]
+        for slot in range(bsz):
+            lacks = bptt - over[slot]
+            if lacks > 0:
+                end = int(np.searchsorted(upto, upto[next_] + lacks))
+                if end == len(upto):
+                    return taken, batches
+                taken[slot].append(slice(next_, end))
+                over[slot] += int(upto[end] - upto[next_])
+                next_ = end
+            over[slot] -= bptt
+        batches += 1
+
+
+def slot_batches(sentences: list[list[int]], bsz: int, bptt: int, ext_len: int = 0) -> Iterator[tuple[list[list[int]], list[list[int]]]]:
+    """(data rows, target rows) a batch: bsz slots filled in turn from one stream of sentences; a sentence gives its neighbours as
+    (input, target) pairs. Data rows have up to ext_len earlier inputs of their slot in front. The batch in which the stream ends before every slot is full is dropped."""
+    sentences = [s for s in sentences if len(s) > 1]
+    taken, batches = slot_sentences(np.array([len(s) - 1 for s in sentences], dtype=np.int64), bsz, bptt)
+    own = [[s for run in runs for s in sentences[run]] for runs in taken]
+    inputs = [[x for s in mine for x in s[:-1]] for mine in own]
+    targets = [[x for s in mine for x in s[1:]] for mine in own]
+    for at in range(0, batches * bptt, bptt):
+        yield [x[max(0, at - ext_len) : at + bptt] for x in inputs], [x[at : at + bptt] for x in targets]
 
 
 def shuffled_batches(sentences: DataFrame, shard: str, order: str, ids: str, bsz: int, bptt: int, ext_len: int = 0) -> DataFrame:

@@ -54,7 +54,9 @@ def sample_edits(rows: DataFrame, seq_len: int, spec: EditSpec, seed: int = 0) -
 
 
 def sample_span_edits(rows: DataFrame, spans: DataFrame, seq_len: int, spec: EditSpec, min_tok: int = 1, max_tok: int = 5, seed: int = 0) -> DataFrame:
-    """As sample_edits, each span deleted or replaced as a whole (by the two ratios) and insertions in runs of min_tok to max_tok places."""
+    """As sample_edits, each span deleted or replaced as a whole (by the two ratios) and insertions in runs of min_tok to max_tok places.
+
+    Runs stand at keyed places that are neither edited nor right after an edited place nor eos, while all of them together are shorter than ceil(seq_len * ins_ratio)."""
     share = spec.del_ratio / max(1e-9, spec.del_ratio + spec.rep_ratio)
     kinds = spans.withColumn("_del", keyed_uniform(seed, "kind", F.col("seq_id"), F.col("span_rank")) < share)
     steps = kinds.select("seq_id", "_del", F.explode(F.sequence("beg", F.col("end") - 1)).alias("pos"))
@@ -62,13 +64,13 @@ def sample_span_edits(rows: DataFrame, spans: DataFrame, seq_len: int, spec: Edi
     able = F.col("_del").isNotNull() & (F.col("token_id") != spec.eos)
     out = out.withColumn("is_del", able & F.col("_del")).withColumn("is_rep", able & ~F.col("_del")).drop("_del").na.fill(False, ["is_del", "is_rep"])
     w = Window.partitionBy("seq_id")
-    free = ~F.col("is_del") & ~F.col("is_rep") & ~F.coalesce(F.lag("is_del").over(w.orderBy("pos")), F.lit(False)) & (F.col("token_id") != spec.eos)
+    free = ~F.col("is_del") & ~F.col("is_rep") & ~F.coalesce(F.lag(F.col("is_del") | F.col("is_rep")).over(w.orderBy("pos")), F.lit(False)) & (F.col("token_id") != spec.eos)
     out = out.withColumn("_free", free)
     order = F.row_number().over(w.orderBy((~F.col("_free")).cast("int"), keyed_uniform(seed, "run_at", F.col("seq_id"), F.col("pos")), "pos"))
     size = (F.floor(keyed_uniform(seed, "run", F.col("seq_id"), F.col("pos")) * (max_tok - min_tok + 1)) + min_tok).cast("int")
     out = out.withColumn("_o", order).withColumn("_size", F.when(F.col("_free"), size).otherwise(0))
-    before = F.coalesce(F.sum("_size").over(w.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("n_ins", F.when(before < math.ceil(seq_len * spec.ins_ratio), F.col("_size")).otherwise(0).cast("int")).drop("_free", "_o", "_size")
+    total = F.sum("_size").over(w.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("n_ins", F.when(total < math.ceil(seq_len * spec.ins_ratio), F.col("_size")).otherwise(0).cast("int")).drop("_free", "_o", "_size")
 
 
 def next_type(index: Column, types: Column, n: int) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +49,19 @@ def duplicate_spellings(words: DataFrame) -> DataFrame:
     return words.groupBy("pieces").agg(F.array_sort(F.collect_list("word")).alias("words")).where(F.size("words") > 1)
 
 
-def _since_head(inputs: DataFrame, flag: DataFrame) -> DataFrame:
-    """inputs with is_head, is_end, _word (0 before the first head) and prefix, the pieces since the last head."""
+def _longest(words: DataFrame) -> int:
+    return words.agg(F.max(F.size("pieces"))).first()[0] or 0
+
+
+def _spelled(inputs: DataFrame, flag: DataFrame, longest: int, by_end: bool = False) -> DataFrame:
+    """inputs with is_head, is_end, _word and prefix: the pieces since the last head, or since the last end piece before. _word is 0 and prefix null before the first
+    one. A run longer than any word (and one special) shows no more than that of its pieces."""
     w = Window.partitionBy("b").orderBy("t")
     # at most a vocabulary of pieces
     marked = inputs.join(F.broadcast(flag.select(F.col("token_id").alias("input"), "is_head", "is_end")), "input", "left").na.fill(0, ["is_head", "is_end"])
-    marked = marked.withColumn("_word", F.sum("is_head").over(w))
-    run = Window.partitionBy("b", "_word").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("prefix", F.collect_list("input").over(run))
+    number = F.coalesce(F.sum("is_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if by_end else F.sum("is_head").over(w)
+    run = Window.partitionBy("b", "_word").orderBy("t").rowsBetween(-longest - 1, 0)
+    return marked.withColumn("_word", number).withColumn("prefix", F.when(F.col("_word") > 0, F.collect_list("input").over(run)))
 
 
 def sets_by_prefix(words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
@@ -69,72 +74,70 @@ def sets_by_prefix(words: DataFrame, flag: DataFrame, specials: list[int] = ())
     return marked.select("prefix", F.sort_array(F.when(F.col("_end") == 1, F.array_union("_next", "_heads")).otherwise(F.col("_next"))).alias("allowed"))
 
 
-def with_sets(inputs: DataFrame, flag: DataFrame, sets: DataFrame) -> DataFrame:
-    """inputs with the columns of sets (prefix, ..) for the pieces since the last head, null before the first head and where they spell no prefix of a word."""
-    at = _since_head(inputs, flag).withColumn("prefix", F.when(F.col("_word") > 0, F.col("prefix")))
+def with_sets(inputs: DataFrame, flag: DataFrame, sets: DataFrame, longest: int) -> DataFrame:
+    """inputs with the columns of sets (prefix, ..) for the pieces since the last head, null before the first head (longest: _longest(words)) and where they spell no prefix of a word."""
+    at = _spelled(inputs, flag, longest)
     return at.join(sets, "prefix", "left").select(*inputs.columns, *[c for c in sets.columns if c != "prefix"])
 
 
-def nll_of_sets(rows: DataFrame, logit: Callable[[Column], Column], n_tokens: int) -> DataFrame:
-    """(b, t, nll) of rows (b, t, target, allowed): as renormalised_nll, with logit(token) for n_tokens tokens; disallowed ones are never made. A null set allows all."""
-    open_ = F.coalesce("allowed", F.sequence(F.lit(0), F.lit(n_tokens - 1)))
-    made = rows.withColumn("_open", open_).withColumn("_logits", F.transform("_open", logit)).withColumn("_m", F.array_max("_logits"))
-    norm = F.col("_m") + F.log(F.aggregate("_logits", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_m"))))
-    x = F.when(F.array_contains("_open", F.col("target")), logit(F.col("target")))
-    return made.select("b", "t", F.coalesce(norm - x, F.lit(float("inf"))).alias("nll"))
+def nll_of_sets(rows: DataFrame, logit: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], n_tokens: int) -> DataFrame:
+    """(b, t, nll) of rows (b, t, target, allowed): as renormalised_nll, with logit(b, t, token) of arrays for n_tokens tokens; logits of disallowed tokens are never
+    made. A null set allows all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(n_tokens)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                b, t, target = (np.asarray(part.column(k)) for k in range(3))
+                sets = part.column(3)
+                size = np.asarray(sets.value_lengths().fill_null(n_tokens))
+                tokens = np.asarray(sets.flatten())
+                if sets.null_count:
+                    tokens = np.concatenate([every if x is None else np.array(x, dtype=np.int64) for x in sets.to_pylist()])
+                row = np.repeat(np.arange(len(size)), size)
+                x = logit(b[row], t[row], tokens)
+                top, hit = np.full(len(size), -np.inf), np.full(len(size), -np.inf)
+                np.maximum.at(top, row, x)
+                own = tokens == target[row]
+                hit[row[own]] = x[own]
+                total = np.bincount(row, weights=np.exp(x - top[row]), minlength=len(size))
+                with np.errstate(divide="ignore"):
+                    nll = np.where(np.isfinite(hit), top + np.log(total) - hit, np.inf)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nll)], names=["b", "t", "nll"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select("b", "t", "target", "allowed").mapInArrow(run, f"b {kinds['b']}, t {kinds['t']}, nll double")
 
 
 def allowed_next(inputs: DataFrame, words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
     """(b, t, next_token, any_token) for inputs (b, t, input) with unique heads: the steps that the pieces since the last head allow, after an
     end piece also all heads; any_token is 1, with next_token null, where no head has been seen."""
-    at = _since_head(inputs, flag)
-    steps = prefixes(words, specials)
-    inside = at.where("_word > 0").join(steps, "prefix").select("b", "t", "next_token")
-    ended = at.where("_word > 0 AND is_end = 1").select("b", "t").crossJoin(F.broadcast(flag.where("is_head = 1").select(F.col("token_id").alias("next_token"))))  # at most a vocabulary
-    free = at.where("_word = 0").select("b", "t", F.lit(None).cast("int").alias("next_token"), F.lit(1).alias("any_token"))
-    return inside.unionByName(ended).distinct().withColumn("any_token", F.lit(0)).unionByName(free)
+    at = _spelled(inputs, flag, _longest(words)).join(sets_by_prefix(words, flag, specials), "prefix", "left")
+    return _exploded(at.withColumn("allowed", F.when(F.col("_word") > 0, F.coalesce("allowed", _if_ended(flag)))))
+
+
+def _if_ended(flag: DataFrame) -> Column:
+    """What an end piece allows where its run spells nothing: all heads; otherwise nothing."""
+    heads = sorted(r["token_id"] for r in flag.where("is_head = 1").select("token_id").toLocalIterator())  # at most a vocabulary of pieces
+    none = F.array().cast("array<int>")
+    return F.when(F.col("is_end") == 1, F.from_json(F.lit(str(heads)), "array<int>")).otherwise(none)
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    return sets.select("b", "t", F.explode_outer("allowed").alias("next_token"), F.col("allowed").isNull().cast("int").alias("any_token")).where("any_token = 1 OR next_token IS NOT NULL")
 
 
 def allowed_sets_by_end(inputs: DataFrame, words: DataFrame, specials: list[int] = ()) -> DataFrame:
-    """(b, t, allowed) with the tokens of allowed_next in one array (null before the first end), for vocabularies with unique ends: a word starts after an end piece. Sequential in t, so one task a
-    stream b; the trie goes to every worker and is as large as the vocabulary."""
-    spelled = [list(r["pieces"]) for r in words.select("pieces").distinct().toLocalIterator()]
-    heads = sorted({p[0] for p in spelled} | set(specials))
-    ends = {p[-1] for p in spelled} | set(specials)
-    trie: dict = {}
-    for pieces in spelled:
-        node = trie
-        for p in pieces:
-            node = node.setdefault(p, {})
-        for s in specials:
-            node.setdefault(s, {})
-    for s in specials:
-        trie[s] = {h: {} for h in heads}
-    nowhere: dict = {}
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        out, node, made = [], None, {}
-        for x in group["input"]:
-            found = None if node is None else node.get(x, nowhere)
-            ended = x in ends
-            if found is None:
-                out.append(None)
-            else:
-                key = (id(found), ended)
-                if key not in made:
-                    made[key] = np.array(sorted(set(found) | (set(heads) if ended else set())), dtype=np.int32)
-                out.append(made[key])
-            node = trie if ended else found
-        return pd.DataFrame({"b": group["b"], "t": group["t"], "allowed": out})
-
-    return inputs.groupBy("b").applyInPandas(run, f"b {dict(inputs.dtypes)['b']}, t int, allowed array<int>")
+    """(b, t, allowed) with the tokens of allowed_next in one array (null before the first end), for vocabularies with unique ends: a word starts after an end piece."""
+    flag = flags(words, specials)
+    at = _spelled(inputs, flag, _longest(words), by_end=True).join(sets_by_prefix(words, flag, specials), "prefix", "left")
+    return at.select("b", "t", F.when(F.col("_word") > 0, F.coalesce("allowed", _if_ended(flag))).alias("allowed"))
 
 
 def allowed_next_by_end(inputs: DataFrame, words: DataFrame, specials: list[int] = ()) -> DataFrame:
     """allowed_sets_by_end with a row for each allowed token: (b, t, next_token, any_token)."""
-    sets = allowed_sets_by_end(inputs, words, specials)
-    return sets.select("b", "t", F.explode_outer("allowed").alias("next_token"), F.col("allowed").isNull().cast("int").alias("any_token")).where("any_token = 1 OR next_token IS NOT NULL")
+    return _exploded(allowed_sets_by_end(inputs, words, specials))
 
 
 def renormalised_nll(logits: DataFrame, targets: DataFrame, allowed: DataFrame) -> DataFrame:

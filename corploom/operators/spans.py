@@ -47,15 +47,20 @@ def single_token_mask(rows: DataFrame, num_predict: int, eos: int, seed: int = 0
     return rows.withColumn("is_masked", able & (order <= num_predict))
 
 
-def _length(u: Column, law: SpanLaw) -> Column:
+def length_edges(law: SpanLaw) -> list[tuple[float, int]]:
+    """(upper edge, length): a draw below the edge, and not below an earlier one, gives the length."""
     sizes = range(law.min_tok, law.max_tok + 1)
     weights = [1 / (k + 2) if law.zipf else 1.0 for k in range(len(sizes))]
-    total, run, out = sum(weights), 0.0, F.lit(law.max_tok)
-    edges = []
+    total, run, edges = sum(weights), 0.0, []
     for n, w in zip(sizes, weights, strict=True):
         run += w / total
         edges.append((run, n))
-    for edge, n in reversed(edges[:-1]):
+    return edges
+
+
+def _length(u: Column, law: SpanLaw) -> Column:
+    out = F.lit(law.max_tok)
+    for edge, n in reversed(length_edges(law)[:-1]):
         out = F.when(u < edge, F.lit(n)).otherwise(out)
     return out
 
@@ -130,15 +135,19 @@ def mapping_matrix(index: Column, num_predict: int, seq_len: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(num_predict - 1)), lambda k: F.transform(F.sequence(F.lit(0), F.lit(seq_len - 1)), lambda j: F.coalesce((F.get(index, k) == j).cast("int"), F.lit(0))))
 
 
-def permutation_examples(rows: DataFrame, num_predict: int, mask_id: int, seed: int = 0) -> DataFrame:
-    """(seq_id, input_k, perm_index, target_index, target): a keyed order over masked places; context places have index -1, leaked
-    masked places -2 as context that is still a target. Key j is hidden from query i where perm_mask() says so."""
-    u = keyed_uniform(seed, "perm", F.col("seq_id"), F.col("pos"))
-    order = F.row_number().over(Window.partitionBy("seq_id", "is_masked").orderBy(u, "pos")) - 1
-    context = ~F.col("is_masked")
-    leaked = F.col("is_masked") & (F.col("masked_input") != mask_id)
-    index = F.when(context, F.lit(-1)).when(leaked, F.lit(-2)).otherwise(order)
-    got = rows.withColumn("perm", index).groupBy("seq_id").agg(_collect("masked_input").alias("input_k"), _collect("perm").alias("perm_index"), F.array_sort(F.collect_list(F.when(F.col("is_masked"), F.col("pos")))).alias("target_index"), _collect("token_id", F.col("is_masked")).alias("target"))
+def permutation_examples(rows: DataFrame, num_predict: int, leak: float = 0.1, seed: int = 0) -> DataFrame:
+    """(seq_id, input_k, input_q, perm_index, target_index, target) of corrupt()'s rows with the same leak and seed.
+
+    The key stream reads the original tokens, the query stream the corrupted ones. Masked places have a keyed order; context places have index -1, masked
+    places whose token is leaked -2: they are seen like context and are still targets. Key j is hidden from place i where perm_mask() says so.
+    """
+    place = (F.col("seq_id"), F.col("pos"))
+    order = F.row_number().over(Window.partitionBy("seq_id", "is_masked").orderBy(keyed_uniform(seed, "perm", *place), "pos")) - 1
+    index = F.when(~F.col("is_masked"), F.lit(-1)).when(keyed_uniform(seed, "corrupt", *place) <= leak, F.lit(-2)).otherwise(order)
+    got = rows.withColumn("perm", index).groupBy("seq_id").agg(
+        _collect("token_id").alias("input_k"), _collect("masked_input").alias("input_q"), _collect("perm").alias("perm_index"),
+        F.array_sort(F.collect_list(F.when(F.col("is_masked"), F.col("pos")))).alias("target_index"), _collect("token_id", F.col("is_masked")).alias("target"),
+    )
     return got.withColumn("target", _padded(F.col("target"), num_predict))
 
 
@@ -147,6 +156,12 @@ def perm_mask(index: Column, query: bool) -> Column:
     return F.transform(index, lambda i: F.transform(index, lambda j: ((j >= 0) & ((j >= i) if query else (j > i))).cast("int")))
 
 
+def target_perm_mask(index: Column, targets: Column, query: bool) -> Column:
+    """perm_mask()'s rows at targets' places only."""
+    at = F.transform(targets, lambda t: F.get(index, t))
+    return F.transform(at, lambda i: F.transform(index, lambda j: ((j >= 0) & ((j >= i) if query else (j > i))).cast("int")))
+
+
 def mass_examples(rows: DataFrame, num_predict: int, eos: int, origin_pos: bool = False) -> DataFrame:
     """(seq_id, enc_inp, target, dec_inp, dec_seg, dec_pos): masked tokens are decoded from themselves shifted by one, eos at each span's start."""
     w = Window.partitionBy("seq_id").orderBy("pos")

@@ -203,14 +203,14 @@ def repeat_epochs(spark, d):
     return combinators.repeat(table(spark, d, "documents").select("doc_id"), 3)
 
 
-@query(f"""WITH slots AS (SELECT i AS slot, CASE WHEN {_U.format("'3|mix|' || i")} / 4294967296.0 < 0.5 THEN 0 ELSE 1 END AS stream FROM range(500) r(i)),
+@query(f"""WITH slots AS (SELECT i AS slot, CASE WHEN {_U.format("'3|mix|' || i")} / 4294967296.0 < 0.5 THEN 0 ELSE 1 END AS stream FROM range((SELECT count(*) FROM documents) + (SELECT count(*) FROM embeddings)) r(i)),
 n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY slot) - 1 AS idx FROM slots),
 a AS (SELECT doc_id AS item, doc_id AS idx, 0 AS stream FROM documents UNION ALL SELECT vec_id + 1000000, vec_id, 1 FROM embeddings)
 SELECT slot, CAST(n.stream AS INTEGER) AS stream, item FROM n JOIN a ON n.stream = a.stream AND n.idx = a.idx""")
 def sample_from_datasets(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("doc_id").alias("idx"))
     vecs = table(spark, d, "embeddings").select((F.col("vec_id") + 1000000).alias("item"), F.col("vec_id").alias("idx"))
-    return combinators.sample_from([docs, vecs], "idx", 500, 3).select("slot", "stream", "item")
+    return combinators.sample_from([docs, vecs], "idx", docs.count() + vecs.count(), 3).select("slot", "stream", "item")
 
 
 @query("SELECT CAST(vec_id // 64 AS BIGINT) AS batch_id, CAST(vec_id % 64 AS INTEGER) AS row_id, label FROM embeddings WHERE vec_id < (SELECT count(*) // 64 * 64 FROM embeddings)")
@@ -235,16 +235,9 @@ def hidden_dump(spark, d):
     return sinks.dump_parts(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents)
-SELECT doc_id, array_to_string(list_concat(ws[:50], list_transform(range(greatest(50 - len(ws), 0)), lambda i: '<pad>')), ' ') AS padded FROM w""")
-def padded_batch(spark, d):
-    head = F.slice(tx.words(F.col("text")), 1, 50)
-    return table(spark, d, "documents").select("doc_id", F.array_join(arrays.pad(head, 50, "<pad>"), " ").alias("padded"))
-
-
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents), r AS (SELECT doc_id, ws, unnest(range(greatest((len(ws) + 49) // 50, 1))) AS k FROM w)
 SELECT doc_id, CAST(k AS INTEGER) AS row_id, array_to_string(list_concat(ws[k * 50 + 1:k * 50 + 50], list_transform(range(greatest(k * 50 + 50 - len(ws), 0)), lambda i: '<pad>')), ' ') AS padded FROM r""")
-def padded_batch_whole(spark, d):
+def padded_batch(spark, d):
     """Whole texts in rows of 50 words, the last one padded."""
     docs = table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("ws"))
     starts = F.transform(arrays.indices(F.greatest(F.ceil(F.size("ws") / 50), F.lit(1)).cast("int")), lambda k: F.slice("ws", k * 50 + 1, F.lit(50)))
@@ -270,7 +263,14 @@ def shuffled_slot_batches(spark, d):
     return out.select("shard", "batch_id", "b", F.array_join("input", " ").alias("input"), F.array_join("target", " ").alias("target"))
 
 
-@query()
+_LEN = "('0x' || substr(md5('0|{}|' || k), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"""WITH {base.sql_ids()}, n AS (SELECT count(*) // 16 AS n_step FROM ids),
+sz AS (SELECT k, least(79, greatest(5, CAST(trunc(CASE WHEN {_LEN.format('base')} < 0.95 THEN 64.0::DOUBLE ELSE 32.0::DOUBLE END + 5 * (sqrt(-2 * ln(1 - {_LEN.format('n1')})) * cos(2 * pi() * {_LEN.format('n2')}))) AS BIGINT))) AS s FROM range((SELECT n_step // 5 + 1 FROM n)) r(k)),
+bd AS (SELECT k, s, coalesce(sum(s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg FROM sz), bb AS (SELECT k, beg, beg + least(s, n_step - 1 - beg) AS last FROM bd, n WHERE beg < n_step - 2),
+placed AS (SELECT gpos % n_step AS t, gpos // n_step AS b, token_id FROM ids, n WHERE gpos < n_step * 16)
+SELECT CAST(k AS INTEGER) AS batch_id, CAST(b AS INTEGER) AS b, array_to_string(list(token_id ORDER BY t) FILTER (t < last), ' ') AS input, array_to_string(list(token_id ORDER BY t) FILTER (t > beg), ' ') AS target FROM placed JOIN bb ON t >= beg AND t <= last GROUP BY 1, 2""")
 def variable_bptt(spark, d):
     n = base.n_tokens(spark, d)
     out = batching.variable_batches(base.encoded_stream(spark, d), n, 16, batching.variable_bounds(spark, n // 16, 64))

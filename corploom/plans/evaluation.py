@@ -66,26 +66,22 @@ def mips_augment(spark, d):
     return out.select("vec_id", F.size("embedding").alias("dims"), F.round(F.element_at("embedding", -1), 4).alias("extra"))
 
 
-@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS product FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0 AND e.vec_id % 5 = 0""")
-def dot_products(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    return q.join(e.where("vec_id % 5 = 0"), "label").select("query_id", "vec_id", F.round(knn.dot(F.col("q"), F.col("embedding")), 6).alias("product"))
+_DOTS = "d AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS product FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)"
 
 
-@query(SQL["dot_products"].replace(" AND e.vec_id % 5 = 0", ""))
-def dot_products_whole(spark, d):
-    """All stored vectors of a query's label are scored."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    return q.join(e, "label").select("query_id", "vec_id", F.round(knn.dot(F.col("q"), F.col("embedding")), 6).alias("product"))
+@query(f"WITH {_DOTS}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -sign(product) * sqrt(abs(product)), vec_id) AS rank FROM d QUALIFY rank <= 32) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(product, 6) AS product FROM top")
+def dot_products(spark, d):
+    """The 32 largest products of each query with all stored vectors."""
+    store = table(spark, d, "embeddings")
+    found = knn.search(store.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), store, 32, "dot")
+    return found.select("query_id", "rank", "vec_id", F.round(-F.signum("distance") * F.col("distance") * F.col("distance"), 6).alias("product"))
 
 
 @query()
 def knn_ivf(spark, d):
     store = table(spark, d, "embeddings")
-    indexed, c = knn.build_ivf(store, 16)
-    return knn.search_ivf(store.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), indexed, c, 32, 8).withColumn("distance", F.round("distance", 6))
+    indexed, c = knn.build_ivf(store, 64)
+    return knn.search_ivf(store.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), indexed, c, 32, 44).withColumn("distance", F.round("distance", 6))
 
 
 def _losses(spark, d):
@@ -144,13 +140,8 @@ def smoothed_cross_entropy(spark, d):
     return metrics.cross_entropy(rows.drop("label"), ["vec_id"], table(spark, d, "embeddings").select("vec_id", F.col("label").alias("target")), 0.1).withColumn("nll", F.round("nll", 6))
 
 
-@query(f"WITH {_LOGITS} SELECT vec_id, token_id, round(greatest(logit - 2, 0) - (logit - 2) * CASE WHEN token_id = label THEN 1 ELSE 0 END + ln(1 + exp(-abs(logit - 2))), 6) AS loss FROM logits WHERE token_id < 3")
+@query(f"WITH {_LOGITS} SELECT vec_id, token_id, round(greatest(logit - 2, 0) - (logit - 2) * CASE WHEN token_id = label THEN 1 ELSE 0 END + ln(1 + exp(-abs(logit - 2))), 6) AS loss FROM logits")
 def binary_loss(spark, d):
-    return _binary_loss(_logits(spark, d).where("token_id < 3"))
-
-
-@query(SQL["binary_loss"].replace(" WHERE token_id < 3", ""))
-def binary_loss_whole(spark, d):
     return _binary_loss(_logits(spark, d))
 
 
@@ -216,21 +207,16 @@ def layer_decay(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(sampling.layer_decay(name, 12, 0.8), 9).alias("rate"), sampling.decays_weight(name).cast("int").alias("decays"))
 
 
-def _checkpoints(spark, d, which="vec_id < 400"):
-    return table(spark, d, "embeddings").where(which).select((F.col("vec_id") % 8).alias("step"), F.when(F.col("vec_id") % 40 < 8, "global_step").otherwise(F.concat(F.lit("w"), (F.floor(F.col("vec_id") / 8) % 5).cast("string"))).alias("var_name"), F.posexplode("embedding").alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
+def _checkpoints(spark, d):
+    return table(spark, d, "embeddings").select((F.col("vec_id") % 8).alias("step"), F.when(F.col("vec_id") % 40 < 8, "global_step").otherwise(F.concat(F.lit("w"), (F.floor(F.col("vec_id") / 8) % 5).cast("string"))).alias("var_name"), F.posexplode("embedding").alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-@query("""WITH c AS (SELECT vec_id % 8 AS step, CASE WHEN vec_id % 40 < 8 THEN 'global_step' ELSE 'w' || (vec_id // 8) % 5 END AS var_name, unnest(range(len(embedding))) AS idx, unnest(embedding) AS value FROM embeddings WHERE vec_id < 400)
+@query("""WITH c AS (SELECT vec_id % 8 AS step, CASE WHEN vec_id % 40 < 8 THEN 'global_step' ELSE 'w' || (vec_id // 8) % 5 END AS var_name, unnest(range(len(embedding))) AS idx, unnest(embedding) AS value FROM embeddings)
 SELECT var_name, CAST(idx AS INTEGER) AS idx, round(avg(CAST(value AS DOUBLE)), 6) AS value FROM c WHERE step >= 3 AND var_name <> 'global_step' GROUP BY 1, 2""")
 def ckpt_average(spark, d):
     return metrics.checkpoint_average(_checkpoints(spark, d), 5).withColumn("value", F.round("value", 6))
 
 
-@query(SQL["ckpt_average"].replace(" WHERE vec_id < 400", ""))
-def ckpt_average_whole(spark, d):
-    return metrics.checkpoint_average(_checkpoints(spark, d, "true"), 5).withColumn("value", F.round("value", 6))
-
-
 @query(f"WITH {_LOSS}, e AS (SELECT batch AS step, avg(loss) AS ppl FROM losses GROUP BY 1) SELECT step, round(ppl, 6) AS ppl FROM e WHERE step BETWEEN 2 AND 50 ORDER BY e.ppl, step LIMIT 1")
 def best_checkpoint(spark, d):
     evals = _losses(spark, d).groupBy(F.col("batch").alias("step")).agg(F.avg("loss").alias("ppl"))
@@ -255,20 +241,13 @@ def _pieces(word):
 
 
 def _words(spark, d):
-    """Words spelled by at most four hashed pieces whose first has an id below 300 and no other: (word, pieces)."""
-    # at most 402 rows, which several joins use
-    t = spark.createDataFrame(base.documents_vocab(spark, d, 400).collect(), "token string, token_id int, cnt long").where("token_id > 1")
-    return t.select(F.col("token").alias("word"), _pieces(F.col("token")).alias("pieces"))
-
-
-def _all_words(spark, d):
-    """(word, pieces) of every word of all documents."""
+    """(word, pieces) of every word of all documents, spelled by at most four hashed pieces whose first has an id below 300 and no other."""
     words = table(spark, d, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
     return words.select("word", _pieces(F.col("word")).alias("pieces"))
 
 
-_WORDS = f"""WITH {base.SQL_STREAM}, {base.SQL_VOCAB.replace('{size}', '400')}, wp AS (SELECT token AS word, list_concat([CAST(('0x' || substr(md5(token), 1, 6))::BIGINT % 300 AS INTEGER)],
-list_transform(range(length(token) % 4), lambda k: CAST(('0x' || substr(md5(token || k), 1, 6))::BIGINT % 60 + 300 AS INTEGER))) AS pieces FROM vocab WHERE token_id > 1)"""
+_WORDS = f"""WITH {base.SQL_WORDS}, wp AS (SELECT token AS word, list_concat([CAST(('0x' || substr(md5(token), 1, 6))::BIGINT % 300 AS INTEGER)],
+list_transform(range(length(token) % 4), lambda k: CAST(('0x' || substr(md5(token || k), 1, 6))::BIGINT % 60 + 300 AS INTEGER))) AS pieces FROM (SELECT DISTINCT token FROM words))"""
 
 
 @query(f"{_WORDS}, s AS (SELECT word, pieces, unnest(range(len(pieces))) AS k FROM wp) SELECT DISTINCT array_to_string(pieces[:k], ' ') AS prefix, pieces[k + 1] AS next_token FROM s")
@@ -286,43 +265,6 @@ def duplicate_spellings(spark, d):
     return renorm.duplicate_spellings(_words(spark, d)).select(F.array_join("pieces", " ").alias("pieces"), F.array_join("words", " ").alias("words"))
 
 
-def _stream(spark, d):
-    """Pieces of the vocabulary's words one after the other in 8 streams: (b, t, input, target)."""
-    from pyspark.sql import Window
-
-    w = _words(spark, d).select("word", F.pmod(F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("bigint"), F.lit(8)).cast("int").alias("b"), F.posexplode("pieces").alias("p", "input"))
-    by = Window.partitionBy("b").orderBy(F.encode("word", "UTF-8"), "p")
-    return w.select("b", (F.row_number().over(by) - 1).alias("t"), "input", F.lead("input").over(by).alias("target"))
-
-
-_STREAM = _WORDS + """, pc AS (SELECT word, CAST(('0x' || substr(md5(word), 1, 6))::BIGINT % 8 AS INTEGER) AS b, unnest(pieces) AS input, unnest(range(len(pieces))) AS p FROM wp),
-st AS (SELECT b, row_number() OVER w - 1 AS t, input, lead(input) OVER w AS target FROM pc WINDOW w AS (PARTITION BY b ORDER BY encode(word), p)),
-fl AS (SELECT token_id, max(h) AS is_head, max(e) AS is_end FROM (SELECT pieces[1] AS token_id, 1 AS h, 0 AS e FROM wp UNION ALL SELECT pieces[-1], 0, 1 FROM wp) GROUP BY 1),
-mk AS (SELECT st.*, coalesce(is_end, 0) AS is_end, sum(coalesce(is_head, 0)) OVER (PARTITION BY b ORDER BY t) AS wd FROM st LEFT JOIN fl ON input = token_id),
-px AS (SELECT *, list(input) OVER (PARTITION BY b, wd ORDER BY t) AS prefix FROM mk),
-steps AS (SELECT DISTINCT pieces[:k] AS prefix, pieces[k + 1] AS nx FROM (SELECT pieces, unnest(range(len(pieces))) AS k FROM wp)),
-al AS (SELECT DISTINCT b, t, nx FROM (SELECT b, t, nx FROM px JOIN steps USING (prefix) UNION ALL SELECT b, t, token_id FROM px, fl WHERE px.is_end = 1 AND fl.is_head = 1))"""
-
-
-@query(f"{_STREAM} SELECT CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t, count(*) AS n_allowed, CAST(sum(nx) AS BIGINT) AS sum_allowed FROM al GROUP BY 1, 2")
-def allowed_next(spark, d):
-    words = _words(spark, d)
-    out = renorm.allowed_next(_stream(spark, d), words, renorm.flags(words))
-    return out.where("any_token = 0").groupBy("b", "t").agg(F.count("*").alias("n_allowed"), F.sum("next_token").alias("sum_allowed"))
-
-
-@query(f"""{_STREAM}, lg AS (SELECT b, t, target, CAST(v AS INTEGER) AS v, 3 * {_u(4, 'renorm', 'b', 't', 'v')} AS logit FROM st, range(360) r(v) WHERE t < 20 AND target IS NOT NULL),
-k AS (SELECT lg.* FROM lg JOIN al ON lg.b = al.b AND lg.t = al.t AND lg.v = al.nx)
-SELECT CAST(b AS INTEGER) AS b, CAST(t AS INTEGER) AS t, round(ln(sum(exp(logit))) - max(CASE WHEN v = target THEN logit END), 6) AS nll FROM k GROUP BY 1, 2""")
-def renorm_nll(spark, d):
-    words = _words(spark, d)
-    stream = _stream(spark, d).where("t < 20")
-    allowed = renorm.allowed_next(_stream(spark, d), words, renorm.flags(words)).where("t < 20")
-    targets = stream.where("target IS NOT NULL").select("b", "t", "target")
-    logits = targets.select("b", "t", F.explode(F.sequence(F.lit(0), F.lit(359))).alias("token_id")).withColumn("logit", 3 * keyed_uniform(4, "renorm", F.col("b"), F.col("t"), F.col("token_id")))
-    return renorm.renormalised_nll(logits, targets, allowed).select("b", "t", F.round("nll", 6).alias("nll"))
-
-
 def _text_stream(spark, d, spell=_pieces):
     """Pieces of all words of each document, in order: (b, t, input, target), b is the document."""
     pieces = table(spark, d, "documents").select(F.col("doc_id").alias("b"), F.flatten(F.transform(tx.words(F.col("text")), spell)).alias("ps")).where(F.size("ps") > 0)
@@ -330,48 +272,43 @@ def _text_stream(spark, d, spell=_pieces):
     return pieces.select("b", F.posexplode(pairs).alias("t", "z")).select("b", "t", "z.input", "z.target")
 
 
-_ALL_WORDS = _WORDS.replace(_WORDS[: _WORDS.index(", wp AS")], f"WITH {base.SQL_WORDS}, vocab AS (SELECT DISTINCT token FROM words)").replace(" WHERE token_id > 1", "")
-
-
-@query(SQL["trie_prefixes"].replace(_WORDS, _ALL_WORDS))
-def trie_prefixes_whole(spark, d):
-    return renorm.prefixes(_all_words(spark, d)).select(F.array_join("prefix", " ").alias("prefix"), "next_token")
-
-
-@query(SQL["head_end_flags"].replace(_WORDS, _ALL_WORDS))
-def head_end_flags_whole(spark, d):
-    return renorm.flags(_all_words(spark, d))
-
-
-@query(SQL["duplicate_spellings"].replace(_WORDS, _ALL_WORDS))
-def duplicate_spellings_whole(spark, d):
-    return renorm.duplicate_spellings(_all_words(spark, d)).select(F.array_join("pieces", " ").alias("pieces"), F.array_join("words", " ").alias("words"))
-
-
 def _summed(sets, *columns):
     total = F.aggregate("allowed", F.lit(0).cast("long"), lambda s, x: s + x)
     return sets.select(*columns, F.size("allowed").cast("long").alias("n_allowed"), total.alias("sum_allowed"))
 
 
-@query()
-def allowed_next_whole(spark, d):
-    words = _all_words(spark, d)
+_SETS = _WORDS + """, steps AS (SELECT DISTINCT pieces[:k] AS prefix, pieces[k + 1] AS nx FROM (SELECT pieces, unnest(range(len(pieces))) AS k FROM wp)),
+heads AS (SELECT list(DISTINCT pieces[1]) AS hs, list(DISTINCT pieces[-1]) AS es FROM wp),
+pre AS (SELECT prefix, coalesce(list(nx) FILTER (nx IS NOT NULL), []) AS ns FROM (SELECT prefix, nx FROM steps UNION ALL SELECT DISTINCT pieces, NULL FROM wp) GROUP BY 1),
+ends AS (SELECT unnest(es) AS e FROM heads), sets AS (SELECT prefix, CASE WHEN e IS NOT NULL THEN list_distinct(list_concat(ns, hs)) ELSE ns END AS al FROM pre CROSS JOIN heads LEFT JOIN ends ON prefix[-1] = e),
+pc AS (SELECT doc_id AS b, p, unnest(pieces) AS input, unnest(range(len(pieces))) AS k FROM words JOIN wp ON token = word),
+st AS (SELECT b, row_number() OVER w - 1 AS t, input, sum(CASE WHEN input < 300 THEN 1 ELSE 0 END) OVER w AS wd, lead(input) OVER w AS target FROM pc WINDOW w AS (PARTITION BY b ORDER BY p, k)),
+px AS (SELECT *, list(input) OVER (PARTITION BY b, wd ORDER BY t) AS prefix FROM st)"""
+
+
+@query(f"{_SETS} SELECT b, CAST(t AS INTEGER) AS t, len(al) AS n_allowed, CAST(list_sum(al) AS BIGINT) AS sum_allowed FROM px LEFT JOIN sets USING (prefix)")
+def allowed_next(spark, d):
+    words = _words(spark, d)
     flag = renorm.flags(words)
-    return renorm.with_sets(_text_stream(spark, d).select("b", "t", "input"), flag, _summed(renorm.sets_by_prefix(words, flag), "prefix")).drop("input")
+    return renorm.with_sets(_text_stream(spark, d).select("b", "t", "input"), flag, _summed(renorm.sets_by_prefix(words, flag), "prefix"), renorm._longest(words)).drop("input")
+
+
+def stream_logit(b, t, token):
+    """A supplied logit of each token at a place (b, t), of arrays."""
+    return (b * 7919 + t * 104729 + token.astype("int64") * 1299709) % 1000 * 0.003
 
 
 @query()
-def renorm_nll_whole(spark, d):
-    words = _all_words(spark, d)
+def renorm_nll(spark, d):
+    words = _words(spark, d)
     flag = renorm.flags(words)
-    rows = renorm.with_sets(_text_stream(spark, d).where("target IS NOT NULL"), flag, renorm.sets_by_prefix(words, flag))
-    logit = lambda v: 3 * keyed_uniform(4, "renorm", F.col("b"), F.col("t"), v)
-    return renorm.nll_of_sets(rows, logit, 360).select("b", "t", F.round("nll", 6).alias("nll"))
+    rows = renorm.with_sets(_text_stream(spark, d).where("target IS NOT NULL"), flag, renorm.sets_by_prefix(words, flag), renorm._longest(words))
+    return renorm.nll_of_sets(rows, stream_logit, 360).select("b", "t", F.round("nll", 6).alias("nll"))
 
 
 @query()
 def allowed_next_by_end(spark, d):
-    words = _all_words(spark, d).select("word", F.reverse("pieces").alias("pieces"))
+    words = _words(spark, d).select("word", F.reverse("pieces").alias("pieces"))
     sets = renorm.allowed_sets_by_end(_text_stream(spark, d, lambda w: F.reverse(_pieces(w))).select("b", "t", "input"), words)
     free = F.col("allowed").isNull()
     return _summed(sets, "b", "t", free.cast("int").alias("any_token")).withColumn("n_allowed", F.when(F.col("any_token") == 1, 1).otherwise(F.col("n_allowed")))

@@ -26,17 +26,11 @@ def query(sql: str | None = None):
     return add
 
 
-def sequences(spark, d):
-    """(seq_id, token_ids): the first L hashed ids of every document that has as many. Every tenth place is an end mark."""
-    ids = F.transform(base.hashed_ids(tx.words(F.col("text"))), lambda x, i: F.when(i % 10 == 9, F.lit(EOS)).otherwise(x))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), ids.alias("token_ids")).where(F.size("token_ids") >= L).withColumn("token_ids", F.slice("token_ids", 1, L))
-
-
-#: Words of a whole sequence: the other places are end marks.
+#: Words of a sequence: the other places are end marks.
 WORDS = L - L // 10
 
 
-def whole_sequences(spark, d):
+def sequences(spark, d):
     """(seq_id, token_ids): hashed ids of all words of all documents, in order of doc_id, in sequences of L. Every tenth place is an end
     mark that stands between words; the last sequence is padded with end marks, which no operator masks, deletes or replaces."""
     docs = windows.with_offsets(table(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("w")), "doc_id", "w")
@@ -46,18 +40,16 @@ def whole_sequences(spark, d):
     return cut.select(F.col("w").alias("seq_id"), ids.alias("token_ids"))
 
 
-def rows(spark, d, take=sequences):
-    return spans.places(take(spark, d))
+def rows(spark, d):
+    return spans.places(sequences(spark, d))
 
 
-def typed(spark, d, take=sequences):
-    return rows(spark, d, take).withColumn("type_id", (F.col("pos") % 3 + 1).cast("int"))
+def typed(spark, d):
+    return rows(spark, d).withColumn("type_id", (F.col("pos") % 3 + 1).cast("int"))
 
 
-SEQ = base.SQL_HASHED + f""", n AS (SELECT doc_id FROM h GROUP BY 1 HAVING count(*) >= {L}),
-seq AS (SELECT doc_id AS seq_id, CAST(p AS INTEGER) AS pos, CASE WHEN p % 10 = 9 THEN {EOS} ELSE token_id END AS token_id FROM h JOIN n USING (doc_id) WHERE p < {L})"""
-#: The twin of whole_sequences().
-WHOLE_SEQ = base.SQL_HASHED + f""", hs AS (SELECT row_number() OVER (ORDER BY doc_id, p) - 1 AS g, token_id FROM h), places AS (SELECT unnest(range((SELECT (count(*) + {WORDS - 1}) // {WORDS} * {L} FROM hs))) AS i),
+#: The twin of sequences().
+SEQ = base.SQL_HASHED + f""", hs AS (SELECT row_number() OVER (ORDER BY doc_id, p) - 1 AS g, token_id FROM h), places AS (SELECT unnest(range((SELECT (count(*) + {WORDS - 1}) // {WORDS} * {L} FROM hs))) AS i),
 seq AS (SELECT CAST(i // {L} AS BIGINT) AS seq_id, CAST(i % {L} AS INTEGER) AS pos, CASE WHEN i % {L} % 10 = 9 THEN {EOS} ELSE coalesce(token_id, {EOS}) END AS token_id
 FROM places LEFT JOIN hs ON g = i // {L} * {WORDS} + i % {L} - i % {L} // 10 AND i % {L} % 10 <> 9)"""
 
@@ -75,71 +67,100 @@ cnt AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY span_rank, pos
 sm AS (SELECT seq.*, kept.span_rank IS NOT NULL AS is_masked, CAST(coalesce(span_rank, 0) AS INTEGER) AS segment_id, CAST(coalesce(span_pos, 0) AS INTEGER) AS span_pos FROM seq LEFT JOIN kept ON seq.seq_id = kept.seq_id AND seq.pos = kept.pos)"""
 
 
-def given_spans(spark, d, take=sequences):
+def given_spans(spark, d):
     """Fixed spans, so that what follows them can be checked in SQL."""
-    s = take(spark, d).select("seq_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("span_rank"))
+    s = sequences(spark, d).select("seq_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("span_rank"))
     beg = F.col("span_rank") * 12 + F.col("seq_id") % 5
     return s.withColumn("beg", beg).withColumn("end", beg + 2 + F.col("span_rank") % 3)
 
 
-def span_masked(spark, d, take=sequences):
-    return spans.mask_spans(typed(spark, d, take), given_spans(spark, d, take), P, EOS)
+def span_masked(spark, d):
+    return spans.mask_spans(typed(spark, d), given_spans(spark, d), P, EOS)
 
 
 @query(f"WITH {MASKED} SELECT seq_id, pos, token_id FROM m WHERE is_masked")
-def mlm_single_token(spark, d, take=sequences):
-    return spans.single_token_mask(rows(spark, d, take), P, EOS).where("is_masked").select("seq_id", "pos", "token_id")
+def mlm_single_token(spark, d):
+    return spans.single_token_mask(rows(spark, d), P, EOS).where("is_masked").select("seq_id", "pos", "token_id")
 
 
 @query(f"WITH {CORRUPT} SELECT seq_id, pos, token_id, masked_input FROM c WHERE is_masked")
-def mlm_corruption(spark, d, take=sequences):
-    return spans.corrupt(spans.single_token_mask(rows(spark, d, take), P, EOS), MASK, 1000).where("is_masked").select("seq_id", "pos", "token_id", "masked_input")
+def mlm_corruption(spark, d):
+    return spans.corrupt(spans.single_token_mask(rows(spark, d), P, EOS), MASK, 1000).where("is_masked").select("seq_id", "pos", "token_id", "masked_input")
 
 
 @query(f"""WITH {CORRUPT}, g AS (SELECT seq_id, list(masked_input ORDER BY pos) AS mi, list(token_id ORDER BY pos) FILTER (is_masked) AS t, list(pos ORDER BY pos) FILTER (is_masked) AS i FROM c GROUP BY 1)
 SELECT seq_id, array_to_string(mi, ' ') AS masked_input, array_to_string(list_concat(t, list_transform(range({P} - len(t)), lambda x: 0)), ' ') AS target, array_to_string(i, ' ') AS target_index, CAST(len(t) AS INTEGER) AS n_targets FROM g""")
-def target_mapping(spark, d, take=sequences):
-    out = spans.mlm_examples(spans.corrupt(spans.single_token_mask(rows(spark, d, take), P, EOS), MASK, 1000), P, MASK)
+def target_mapping(spark, d):
+    out = spans.mlm_examples(spans.corrupt(spans.single_token_mask(rows(spark, d), P, EOS), MASK, 1000), P, MASK)
     return out.select("seq_id", F.array_join("masked_input", " ").alias("masked_input"), F.array_join("target", " ").alias("target"), F.array_join("target_index", " ").alias("target_index"), F.size("target_index").alias("n_targets"))
 
 
 @query(f"WITH {SPAN_MASKED} SELECT seq_id, pos, segment_id, span_pos FROM sm WHERE is_masked")
-def span_mask_cap(spark, d, take=sequences):
-    return span_masked(spark, d, take).where("is_masked").select("seq_id", "pos", "segment_id", "span_pos")
+def span_mask_cap(spark, d):
+    return span_masked(spark, d).where("is_masked").select("seq_id", "pos", "segment_id", "span_pos")
 
 
 @query(f"""WITH {SPAN_MASKED}, w AS (SELECT *, lead(span_pos) OVER (PARTITION BY seq_id ORDER BY pos) AS nxt FROM sm WHERE is_masked),
 k AS (SELECT *, span_pos = 0 AS start, sum(CASE WHEN span_pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY pos) - 1 AS r FROM w WHERE nxt IS NOT NULL AND nxt <> 0),
 src AS (SELECT sm.seq_id, list(CASE WHEN k.start THEN 2000 + r ELSE sm.token_id END ORDER BY sm.pos) AS s FROM sm LEFT JOIN k ON sm.seq_id = k.seq_id AND sm.pos = k.pos WHERE k.seq_id IS NULL OR k.start GROUP BY 1),
 tgt AS (SELECT seq_id, list(tok ORDER BY pos, o) AS t FROM (SELECT seq_id, pos, 1 AS o, token_id AS tok FROM k UNION ALL SELECT seq_id, pos, 0, 2000 + r FROM k WHERE start) GROUP BY 1)
-SELECT seq_id, array_to_string(list_concat(s, list_transform(range({L} - len(s)), lambda x: 0)), ' ') AS source, array_to_string(list_concat(list_append(t, {EOS}), list_transform(range({P} - len(t)), lambda x: 0)), ' ') AS target FROM src JOIN tgt USING (seq_id)""")
-def sentinel_corruption(spark, d, take=sequences):
-    out = spans.sentinel_examples(span_masked(spark, d, take), L, P, 2000, EOS)
+SELECT seq_id, array_to_string(list_concat(s, list_transform(range({L} - len(s)), lambda x: 0)), ' ') AS source, array_to_string(list_concat(list_append(coalesce(t, []), {EOS}), list_transform(range({P} - coalesce(len(t), 0)), lambda x: 0)), ' ') AS target FROM src LEFT JOIN tgt USING (seq_id)""")
+def sentinel_corruption(spark, d):
+    out = spans.sentinel_examples(span_masked(spark, d), L, P, 2000, EOS)
     return out.select("seq_id", F.array_join("source", " ").alias("source"), F.array_join("target", " ").alias("target"))
 
 
-@query(f"""WITH {SPAN_MASKED}, w AS (SELECT *, lag(token_id) OVER o AS last, lag(segment_id) OVER o AS lseg FROM sm WHERE is_masked WINDOW o AS (PARTITION BY seq_id ORDER BY pos))
-SELECT seq_id, array_to_string(list(token_id ORDER BY pos), ' ') AS target, array_to_string(list(CASE WHEN lseg IS NULL OR lseg <> segment_id THEN {EOS} ELSE last END ORDER BY pos), ' ') AS dec_inp FROM w GROUP BY 1 HAVING count(*) = {P}""")
+@query(f"""WITH {SPAN_MASKED}, w AS (SELECT *, lag(token_id) OVER o AS last, lag(segment_id) OVER o AS lseg FROM sm WHERE is_masked WINDOW o AS (PARTITION BY seq_id ORDER BY pos)),
+g AS (SELECT seq_id, list(token_id ORDER BY pos) AS t, list(CASE WHEN lseg IS NULL OR lseg <> segment_id THEN {EOS} ELSE last END ORDER BY pos) AS i FROM w GROUP BY 1), a AS (SELECT seq_id, coalesce(t, []) AS t, coalesce(i, []) AS i FROM (SELECT DISTINCT seq_id FROM seq) LEFT JOIN g USING (seq_id))
+SELECT seq_id, array_to_string(list_concat(t, list_transform(range({P} - len(t)), lambda x: 0)), ' ') AS target, array_to_string(list_concat(i, list_transform(range({P} - len(i)), lambda x: 0)), ' ') AS dec_inp FROM a""")
 def mass_decoder(spark, d):
-    out = spans.mass_examples(spans.corrupt(span_masked(spark, d), MASK, 1000), P, EOS).where(F.aggregate(F.transform("dec_seg", lambda s: (s > 0).cast("int")), F.lit(0), lambda a, x: a + x) == P)
+    """Sequences whose spans hide fewer than P places are padded."""
+    out = spans.mass_examples(spans.corrupt(span_masked(spark, d), MASK, 1000), P, EOS)
     return out.select("seq_id", F.array_join("target", " ").alias("target"), F.array_join("dec_inp", " ").alias("dec_inp"))
 
 
-@query()
+@query(f"""WITH {CORRUPT}, o AS (SELECT *, CASE WHEN NOT is_masked THEN -1 WHEN {u(0, 'corrupt', 'seq_id', 'pos')} <= 0.1 THEN -2 ELSE row_number() OVER (PARTITION BY seq_id, is_masked ORDER BY {u(0, 'perm', 'seq_id', 'pos')}, pos) - 1 END AS perm FROM c),
+g AS (SELECT seq_id, list(token_id ORDER BY pos) AS k, list(masked_input ORDER BY pos) AS q, list(perm ORDER BY pos) AS p, list(token_id ORDER BY pos) FILTER (is_masked) AS t, list(perm ORDER BY pos) FILTER (is_masked) AS tp FROM o GROUP BY 1)
+SELECT seq_id, array_to_string(k, ' ') AS input_k, array_to_string(q, ' ') AS input_q, array_to_string(p, ' ') AS perm_index, array_to_string(list_concat(coalesce(t, []), list_transform(range({P} - coalesce(len(t), 0)), lambda x: 0)), ' ') AS target,
+array_to_string(list_transform(coalesce(tp, []), lambda i: len(list_filter(p, lambda j: j >= 0 AND j >= i))), ' ') AS hidden_q, array_to_string(list_transform(coalesce(tp, []), lambda i: len(list_filter(p, lambda j: j >= 0 AND j > i))), ' ') AS hidden_k FROM g""")
 def permutation_lm(spark, d):
-    out = spans.permutation_examples(spans.corrupt(spans.single_token_mask(rows(spark, d, whole_sequences), P, EOS), MASK, 1000), P, MASK)
-    return out.select("seq_id", F.array_join("perm_index", " ").alias("perm_index"), F.array_join("target", " ").alias("target"))
+    """hidden_q, hidden_k: how many keys are hidden from each target's place in either stream."""
+    out = spans.permutation_examples(spans.corrupt(spans.single_token_mask(rows(spark, d), P, EOS), MASK, 1000), P)
+    for name, query_ in (("hidden_q", True), ("hidden_k", False)):
+        out = out.withColumn(name, F.transform(spans.target_perm_mask(F.col("perm_index"), F.col("target_index"), query_), lambda r: F.size(F.filter(r, lambda x: x == 1))))
+    return out.select("seq_id", *[F.array_join(c, " ").alias(c) for c in ("input_k", "input_q", "perm_index", "target", "hidden_q", "hidden_k")])
 
 
-@query()
+def _spans_sql(law: spans.SpanLaw, seed: int, name: str) -> str:
+    """The twin of spans.sample_spans over sequences of L as table name (seq_id, k, beg, end_, span_rank)."""
+    edges, size = spans.length_edges(law), ""
+    for edge, n in edges[:-1]:
+        size += f"WHEN {u(seed, 'len', 'seq_id', 'k')} < {edge!r} THEN {n} "
+    whole = (lambda x: f"CAST(round_even({x}, 0) AS BIGINT)") if law.rounded else (lambda x: f"CAST(trunc({x}) AS BIGINT)")
+    return f"""{name}_n AS (SELECT seq_id, k, CASE {size}ELSE {law.max_tok} END + {int(law.gap == 'length')} AS n FROM (SELECT DISTINCT seq_id FROM seq), range({P}) r(k)),
+{name}_l AS (SELECT *, {whole(f"{u(seed, 'left', 'seq_id', 'k')} * CAST(n AS DOUBLE) * CAST({L / P - 1!r} AS DOUBLE)")} + {int(law.gap == 'left')} AS lft FROM {name}_n),
+{name}_r AS (SELECT *, {whole(f"CAST(n AS DOUBLE) * CAST({L / P!r} AS DOUBLE)")} - lft AS rgt FROM {name}_l),
+{name}_b AS (SELECT *, sum(lft) OVER w + coalesce(sum(rgt) OVER (PARTITION BY seq_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg FROM {name}_r WINDOW w AS (PARTITION BY seq_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT seq_id, CAST(k AS INTEGER) AS k, CAST(beg AS BIGINT) AS beg, CAST(beg + n AS BIGINT) AS end_, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY {u(seed, 'order', 'seq_id', 'k')}, k) AS INTEGER) AS span_rank FROM {name}_b WHERE beg + n {'<=' if law.closed else '<'} {L})"""
+
+
+_LAWS = {"mlm": spans.MLM, "mass": spans.MASS, "sentinel": spans.SENTINEL, "edit": spans.EDIT}
+
+
+@query(f"WITH {SEQ}, {', '.join(_spans_sql(law, 3, name) for name, law in _LAWS.items())} " + " UNION ALL ".join(f"SELECT '{x}' AS law, seq_id, k, beg, end_ AS \"end\", span_rank FROM {x}" for x in _LAWS))
 def sampled_spans(spark, d):
-    parts = [spans.sample_spans(whole_sequences(spark, d), L, P, law, 3).withColumn("law", F.lit(name)) for name, law in (("mlm", spans.MLM), ("mass", spans.MASS), ("sentinel", spans.SENTINEL), ("edit", spans.EDIT))]
+    parts = [spans.sample_spans(sequences(spark, d), L, P, law, 3).withColumn("law", F.lit(name)) for name, law in _LAWS.items()]
     return base.union(parts).select("law", "seq_id", "k", "beg", "end", "span_rank")
 
 
-@query()
+@query(f"""WITH {SEQ}, {_spans_sql(spans.MLM, 0, 'sp')}, hit AS (SELECT seq.seq_id, pos, span_rank FROM seq JOIN sp ON seq.seq_id = sp.seq_id AND pos >= beg AND pos < end_ WHERE token_id <> {EOS}),
+kept AS (SELECT seq_id, pos FROM hit QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY span_rank, pos) <= {P}),
+m AS (SELECT seq.*, kept.pos IS NOT NULL AS spanned FROM seq LEFT JOIN kept ON seq.seq_id = kept.seq_id AND seq.pos = kept.pos),
+o AS (SELECT *, {P} - count(*) FILTER (spanned) OVER (PARTITION BY seq_id) AS rest, token_id <> {EOS} AND NOT spanned AS able FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY CASE WHEN able THEN 0 ELSE 1 END, {u(0, 'single', 'seq_id', 'pos')}, pos) AS place FROM o)
+SELECT seq_id, pos, token_id FROM p WHERE spanned OR able AND place <= rest""")
 def span_mask_topped_up(spark, d):
-    out = spans.span_mask_topped_up(rows(spark, d, whole_sequences), spans.sample_spans(whole_sequences(spark, d), L, P), P, EOS)
+    out = spans.span_mask_topped_up(rows(spark, d), spans.sample_spans(sequences(spark, d), L, P), P, EOS)
     return out.where("is_masked").select("seq_id", "pos", "token_id")
 
 
@@ -152,29 +173,44 @@ en AS (SELECT seq_id, max(e) + 1 AS n FROM placed WHERE NOT is_del AND e < 120 G
 g AS (SELECT en.seq_id, list(CASE WHEN i >= en.n THEN 0 ELSE coalesce(CASE WHEN is_rep THEN {MASK} ELSE token_id END, {MASK}) END ORDER BY i) AS a FROM en, range(120) r(i) LEFT JOIN placed ON placed.seq_id = en.seq_id AND placed.e = i AND NOT is_del GROUP BY 1),
 t AS (SELECT dn.seq_id, list(CASE WHEN i >= dn.n THEN 0 ELSE coalesce(token_id, 4) END ORDER BY i) AS a, list(CASE WHEN i >= dn.n THEN 0 WHEN token_id IS NULL THEN 2 WHEN is_rep THEN 3 WHEN is_del THEN 1 ELSE 0 END ORDER BY i) AS l FROM dn, range(132) r(i) LEFT JOIN placed ON placed.seq_id = dn.seq_id AND placed.dd = i GROUP BY 1)
 SELECT g.seq_id, array_to_string(g.a, ' ') AS gen_inp, array_to_string(t.a, ' ') AS dec_tgt, array_to_string(t.l, ' ') AS edit_label FROM g JOIN t USING (seq_id)""")
-def edit_corruption(spark, d, take=sequences):
+def edit_corruption(spark, d):
     p, token = F.col("pos"), F.col("token_id") != EOS
-    ops = typed(spark, d, take).withColumn("is_del", (p % 11 == 3) & token).withColumn("n_ins", F.when((p % 13 == 5) & (p % 11 != 3) & (p % 11 != 4) & token, 1 + p % 2).otherwise(0).cast("int"))
+    ops = typed(spark, d).withColumn("is_del", (p % 11 == 3) & token).withColumn("n_ins", F.when((p % 13 == 5) & (p % 11 != 3) & (p % 11 != 4) & token, 1 + p % 2).otherwise(0).cast("int"))
     ops = ops.withColumn("is_rep", (p % 7 == 1) & (p % 11 != 3) & (p % 13 != 5) & token)
     out = edits.edit_examples(ops, edits.EditSpec(enc_len=120, dec_len=132, mask_id=MASK, ins_id=4))
     return out.select("seq_id", *[F.array_join(c, " ").alias(c) for c in ("gen_inp", "dec_tgt", "edit_label")])
 
 
-@query()
+#: What ten in a hundred places are: one edit for every tenth of a sequence, rounded up.
+_TENTH = -(-L // 10)
+
+
+@query(f"""WITH {SEQ}, dl AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY {u(7, 'del', 'seq_id', 'pos')} DESC, pos) <= {_TENTH} AND token_id <> {EOS} AS is_del FROM seq),
+barred AS (SELECT *, is_del OR coalesce(lag(is_del) OVER (PARTITION BY seq_id ORDER BY pos), false) OR token_id = {EOS} AS no_ins FROM dl),
+pick AS (SELECT seq_id, dd, arg_max(pos, {u(7, 'ins', 'seq_id', 'dd', 'pos')}) AS pos FROM barred, range({_TENTH}) r(dd) WHERE NOT no_ins GROUP BY 1, 2),
+cnt AS (SELECT seq_id, pos, CAST(count(*) AS INTEGER) AS n FROM pick GROUP BY 1, 2),
+ins AS (SELECT barred.*, coalesce(n, 0) AS n_ins, no_ins OR n IS NOT NULL AS no_rep FROM barred LEFT JOIN cnt ON barred.seq_id = cnt.seq_id AND barred.pos = cnt.pos),
+rp AS (SELECT *, NOT no_rep AND row_number() OVER (PARTITION BY seq_id ORDER BY CASE WHEN no_rep THEN 1 ELSE 0 END, {u(7, 'rep', 'seq_id', 'pos')} DESC, pos) <= {_TENTH} AS is_rep FROM ins)
+SELECT seq_id, pos, CAST(is_del AS INTEGER) AS is_del, n_ins, CAST(is_rep AS INTEGER) AS is_rep FROM rp WHERE is_del OR is_rep OR n_ins > 0""")
 def edit_sampled(spark, d):
-    out = edits.sample_edits(typed(spark, d, whole_sequences), L, edits.EditSpec(), 7)
+    out = edits.sample_edits(typed(spark, d), L, edits.EditSpec(), 7)
     return out.where("is_del OR is_rep OR n_ins > 0").select("seq_id", "pos", F.col("is_del").cast("int").alias("is_del"), "n_ins", F.col("is_rep").cast("int").alias("is_rep"))
 
 
-@query()
+@query(f"""WITH {SEQ}, {_spans_sql(spans.EDIT, 0, 'sp')}, kind AS (SELECT *, {u(0, 'kind', 'seq_id', 'span_rank')} < 0.5 AS del FROM sp),
+e AS (SELECT seq.*, del IS NOT NULL AND del AND token_id <> {EOS} AS is_del, del IS NOT NULL AND NOT del AND token_id <> {EOS} AS is_rep FROM seq LEFT JOIN kind ON seq.seq_id = kind.seq_id AND pos >= beg AND pos < end_),
+f AS (SELECT *, NOT (is_del OR is_rep) AND NOT coalesce(lag(is_del OR is_rep) OVER (PARTITION BY seq_id ORDER BY pos), false) AND token_id <> {EOS} AS free FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY CASE WHEN free THEN 0 ELSE 1 END, {u(0, 'run_at', 'seq_id', 'pos')}, pos) AS place, CASE WHEN free THEN CAST(floor({u(0, 'run', 'seq_id', 'pos')} * 5) + 1 AS INTEGER) ELSE 0 END AS size FROM f),
+n AS (SELECT *, CASE WHEN sum(size) OVER (PARTITION BY seq_id ORDER BY place) < {_TENTH} THEN size ELSE 0 END AS n_ins FROM o)
+SELECT seq_id, pos, CAST(is_del AS INTEGER) AS is_del, n_ins, CAST(is_rep AS INTEGER) AS is_rep FROM n WHERE is_del OR is_rep OR n_ins > 0""")
 def edit_span_sampled(spark, d):
-    out = edits.sample_span_edits(typed(spark, d, whole_sequences), spans.sample_spans(whole_sequences(spark, d), L, P, spans.EDIT), L, edits.EditSpec())
+    out = edits.sample_span_edits(typed(spark, d), spans.sample_spans(sequences(spark, d), L, P, spans.EDIT), L, edits.EditSpec())
     return out.where("is_del OR is_rep OR n_ins > 0").select("seq_id", "pos", F.col("is_del").cast("int").alias("is_del"), "n_ins", F.col("is_rep").cast("int").alias("is_rep"))
 
 
 @query()
 def edit_noise(spark, d):
-    out = edits.noisy(whole_sequences(spark, d), 0.15, 1, 2)
+    out = edits.noisy(sequences(spark, d), 0.15, 1, 2)
     return out.select("seq_id", *[F.array_join(c, " ").alias(c) for c in ("enc_ids", "enc_labels", "dec_ids", "dec_labels")])
 
 
@@ -270,45 +306,15 @@ SQL["sinusoid_positions"] = SQL["sinusoid_positions"].replace("CASE WHEN", "roun
 
 @query(f"""WITH {SEQ}, g AS (SELECT seq_id, list(CASE WHEN pos >= {L - 5} THEN 1 ELSE token_id END ORDER BY pos) AS a FROM seq GROUP BY 1)
 SELECT seq_id, array_to_string(list_concat(a[2:], a[:1]), ' ') AS target, CAST({L - 5} AS INTEGER) AS n_loss FROM g""")
-def target_rotation(spark, d, take=sequences):
-    s = take(spark, d).withColumn("t", F.transform("token_ids", lambda x, i: F.when(i >= L - 5, 0).otherwise(x))).withColumn("s", F.transform("t", lambda x: (x != 0).cast("int")))
+def target_rotation(spark, d):
+    s = sequences(spark, d).withColumn("t", F.transform("token_ids", lambda x, i: F.when(i >= L - 5, 0).otherwise(x))).withColumn("s", F.transform("t", lambda x: (x != 0).cast("int")))
     target, mask = arrays.shifted_target(F.col("t"), F.col("s"), 0, EOS)
     return s.select("seq_id", F.array_join(target, " ").alias("target"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n_loss"))
 
 
-@query(f"""WITH {SEQ}, g AS (SELECT seq_id, list(token_id ORDER BY pos)[:16] AS a FROM seq GROUP BY 1)
-SELECT seq_id, array_to_string(list_filter(a, lambda x: x % 2 = 0), ' ') AS even, CAST(list_sum(a) AS BIGINT) AS total, CAST(list_sum(a[:15]) AS BIGINT) AS before_last, array_to_string(list_transform(range(20), lambda i: CASE WHEN i < 16 THEN a[i + 1] ELSE -1 END), ' ') AS scattered FROM g""")
-def array_functions(spark, d):
-    s = sequences(spark, d).select("seq_id", F.slice("token_ids", 1, 16).alias("a"))
-    even = arrays.boolean_mask(F.col("a"), F.transform("a", lambda x: x % 2 == 0))
-    return s.select("seq_id", F.array_join(even, " ").alias("even"), F.element_at(arrays.cumulative(F.col("a")), -1).alias("total"), F.element_at(arrays.cumulative(F.col("a"), True), -1).alias("before_last"), F.array_join(arrays.scatter(arrays.indices(F.lit(16)), F.col("a"), F.lit(20), -1), " ").alias("scattered"))
-
-
-def _whole(name: str, sql: str) -> None:
-    """Registers name_whole: the query over all words of all documents, its twin over the same sequences."""
-    f = QUERIES[name]
-    QUERIES[f"{name}_whole"] = lambda spark, d: f(spark, d, whole_sequences)
-    SQL[f"{name}_whole"] = sql.replace(SEQ, WHOLE_SEQ)
-
-
-for _name in ("mlm_single_token", "mlm_corruption", "target_mapping", "span_mask_cap", "edit_corruption", "target_rotation"):
-    _whole(_name, SQL[_name])
-# a sequence of few words has no span: its target is the end mark alone
-_whole("sentinel_corruption", SQL["sentinel_corruption"].replace("FROM src JOIN tgt", "FROM src LEFT JOIN tgt").replace("list_append(t, ", "list_append(coalesce(t, []), ").replace("len(t)", "coalesce(len(t), 0)"))
-
-
-@query(f"""WITH {SPAN_MASKED.replace(SEQ, WHOLE_SEQ)}, w AS (SELECT *, lag(token_id) OVER o AS last, lag(segment_id) OVER o AS lseg FROM sm WHERE is_masked WINDOW o AS (PARTITION BY seq_id ORDER BY pos)),
-g AS (SELECT seq_id, list(token_id ORDER BY pos) AS t, list(CASE WHEN lseg IS NULL OR lseg <> segment_id THEN {EOS} ELSE last END ORDER BY pos) AS i FROM w GROUP BY 1), a AS (SELECT seq_id, coalesce(t, []) AS t, coalesce(i, []) AS i FROM (SELECT DISTINCT seq_id FROM seq) LEFT JOIN g USING (seq_id))
-SELECT seq_id, array_to_string(list_concat(t, list_transform(range({P} - len(t)), lambda x: 0)), ' ') AS target, array_to_string(list_concat(i, list_transform(range({P} - len(i)), lambda x: 0)), ' ') AS dec_inp FROM a""")
-def mass_decoder_whole(spark, d):
-    """Sequences whose spans hide fewer than P places are padded."""
-    out = spans.mass_examples(spans.corrupt(span_masked(spark, d, whole_sequences), MASK, 1000), P, EOS)
-    return out.select("seq_id", F.array_join("target", " ").alias("target"), F.array_join("dec_inp", " ").alias("dec_inp"))
-
-
-@query(f"""WITH {WHOLE_SEQ}, g AS (SELECT seq_id, list(token_id ORDER BY pos) AS a FROM seq GROUP BY 1)
+@query(f"""WITH {SEQ}, g AS (SELECT seq_id, list(token_id ORDER BY pos) AS a FROM seq GROUP BY 1)
 SELECT seq_id, array_to_string(list_filter(a, lambda x: x % 2 = 0), ' ') AS even, CAST(list_sum(a) AS BIGINT) AS total, CAST(list_sum(a[:{L - 1}]) AS BIGINT) AS before_last, array_to_string(list_transform(range({L + 4}), lambda i: CASE WHEN i < {L} THEN a[i + 1] ELSE -1 END), ' ') AS scattered FROM g""")
-def array_functions_whole(spark, d):
+def array_functions(spark, d):
     a = F.col("token_ids")
     even = arrays.boolean_mask(a, F.transform(a, lambda x: x % 2 == 0))
-    return whole_sequences(spark, d).select("seq_id", F.array_join(even, " ").alias("even"), F.element_at(arrays.cumulative(a), -1).alias("total"), F.element_at(arrays.cumulative(a, True), -1).alias("before_last"), F.array_join(arrays.scatter(arrays.indices(F.lit(L)), a, F.lit(L + 4), -1), " ").alias("scattered"))
+    return sequences(spark, d).select("seq_id", F.array_join(even, " ").alias("even"), F.element_at(arrays.cumulative(a), -1).alias("total"), F.element_at(arrays.cumulative(a, True), -1).alias("before_last"), F.array_join(arrays.scatter(arrays.indices(F.lit(L)), a, F.lit(L + 4), -1), " ").alias("scattered"))

@@ -1,5 +1,6 @@
 """Worked examples and invariants of single operators."""
 
+import hashlib
 import random
 
 import pytest
@@ -280,3 +281,98 @@ def test_prefixes_and_windows_of_streams(spark, tmp_path):
     q.stop()
     closed = sorted((r["window"]["start"].minute, r["mean_value"], r["n"]) for r in spark.table("win").collect())
     assert closed[:2] == [(0, 2.0, 5), (5, 7.0, 5)] and all(n == 5 for _, _, n in closed)
+
+
+def test_permutation_streams_and_masks(spark):
+    """Nested loops over places: the key stream is the original, leaked places are seen like context, random ones stay hidden."""
+    seqs = spark.createDataFrame([(s, [5 + (s * 7 + k) % 50 if k % 10 != 9 else 1 for k in range(60)]) for s in range(12)], "seq_id long, token_ids array<int>")
+    rows = spans.corrupt(spans.single_token_mask(spans.places(seqs), 20, 1), 3, 1000, leak=0.3, rand=0.3).cache()
+    out = spans.permutation_examples(rows, 20, leak=0.3)
+    out = out.withColumn("mask_k", spans.perm_mask(F.col("perm_index"), False)).withColumn("mask_q", spans.target_perm_mask(F.col("perm_index"), F.col("target_index"), True)).collect()
+    by = {}
+    for r in rows.orderBy("pos").collect():
+        by.setdefault(r["seq_id"], []).append(r)
+    kinds = set()
+    for r in out:
+        places = by[r["seq_id"]]
+        u = [int(hashlib.md5(f"0|corrupt|{p['seq_id']}|{p['pos']}".encode()).hexdigest()[:8], 16) / 2**32 for p in places]
+        assert r["input_k"] == [p["token_id"] for p in places] and r["input_q"] == [p["masked_input"] for p in places]
+        assert r["target"] == [p["token_id"] for p in places if p["is_masked"]] and r["target_index"] == [p["pos"] for p in places if p["is_masked"]]
+        hidden = [p["is_masked"] and x > 0.3 for p, x in zip(places, u, strict=True)]
+        assert [i >= 0 for i in r["perm_index"]] == hidden
+        for p, x, h in zip(places, u, hidden, strict=True):
+            if h:
+                kinds.add(x < 0.6)
+                assert (p["masked_input"] != 3) == (x < 0.6) or p["masked_input"] == 3
+        order = [int(hashlib.md5(f"0|perm|{p['seq_id']}|{p['pos']}".encode()).hexdigest()[:8], 16) for p in places]
+        for i in range(60):
+            for j in range(60):
+                assert r["mask_k"][i][j] == int(hidden[j] and not (hidden[i] and order[j] <= order[i]))
+        for at, i in enumerate(r["target_index"]):
+            for j in range(60):
+                assert r["mask_q"][at][j] == int(hidden[j] and not (hidden[i] and order[j] < order[i]))
+    assert kinds == {True, False}
+
+
+def test_span_edits_by_loops(spark):
+    n, spec = 128, edits.EditSpec()
+    seqs = spark.createDataFrame([(s, [10 + k if k % 17 != 16 else 1 for k in range(n)]) for s in range(40)], "seq_id long, token_ids array<int>")
+    found = spans.sample_spans(seqs, n, 20, spans.EDIT).cache()
+    got = {}
+    for r in edits.sample_span_edits(spans.places(seqs).withColumn("type_id", F.lit(0)), found, n, spec).orderBy("pos").collect():
+        got.setdefault(r["seq_id"], []).append(r)
+    u = lambda tag, *key: int(hashlib.md5("|".join(map(str, (0, tag, *key))).encode()).hexdigest()[:8], 16) / 2**32
+    inserted = 0
+    for s, places in got.items():
+        kind = [None] * n
+        for r in found.where(F.col("seq_id") == s).collect():
+            for p in range(r["beg"], r["end"]):
+                if places[p]["token_id"] != 1:
+                    kind[p] = "d" if u("kind", s, r["span_rank"]) < 0.5 else "r"
+        free = [p for p in range(n) if kind[p] is None and (p == 0 or kind[p - 1] is None) and places[p]["token_id"] != 1]
+        want, total = [0] * n, 0
+        for p in sorted(free, key=lambda p: (u("run_at", s, p), p)):
+            size = int(u("run", s, p) * 5) + 1
+            total += size
+            if total >= 13:
+                break
+            want[p] = size
+        assert [r["n_ins"] for r in places] == want and [r["is_del"] for r in places] == [k == "d" for k in kind] and [r["is_rep"] for r in places] == [k == "r" for k in kind]
+        inserted += sum(want)
+    assert inserted
+
+
+def test_slot_batches_by_queues():
+    """Slots that pull sentences one by one give the same batches."""
+    rng = random.Random(3)
+    for _ in range(60):
+        sents = [[rng.randrange(99) for _ in range(rng.choice([1, 1, 2, 3, 9, 30]))] for _ in range(rng.randint(0, 40))]
+        bsz, bptt, ext = rng.randint(1, 4), rng.randint(1, 6), rng.randint(0, 5)
+        stream, queues = [s for s in sents if len(s) > 1], [[] for _ in range(bsz)]
+        history, want, alive = [[] for _ in range(bsz)], [], True
+        while alive:
+            batch = []
+            for q, old in zip(queues, history, strict=True):
+                while alive and len(q) < bptt:
+                    if stream:
+                        s = stream.pop(0)
+                        q += list(zip(s, s[1:], strict=False))
+                    else:
+                        alive = False
+                if alive:
+                    step = [q.pop(0) for _ in range(bptt)]
+                    batch.append(([x for x, _ in old[len(old) - min(ext, len(old)) :] + step], [y for _, y in step]))
+                    old += step
+            if alive:
+                want.append(([x for x, _ in batch], [y for _, y in batch]))
+        assert list(batching.slot_batches(sents, bsz, bptt, ext)) == want
+
+
+def test_recall_of_lists(spark):
+    """The registered index finds at least nine of ten true neighbours."""
+    from corploom.plans import evaluation
+
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        near = {(r["query_id"], r["vec_id"]) for r in evaluation.QUERIES["knn_topk"](spark, d).collect()}
+        found = {(r["query_id"], r["vec_id"]) for r in evaluation.QUERIES["knn_ivf"](spark, d).collect()}
+        assert len(near & found) >= 0.9 * len(near)
