@@ -36,11 +36,17 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows that go to Python at once, unless the session has a number of its own: whole texts are long, and both sides hold a batch.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Tables of one operator call. On leaving, all but those marked keep=True go; kept ones go at exit."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if spark.conf.get(_BATCH) == "10000":  # Spark's default
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
         self.root = f"{shared_dir(spark).rstrip('/')}/corploom-{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.loose: list[str] = []

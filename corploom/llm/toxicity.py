@@ -61,7 +61,7 @@ class ToxicityModel:
             word = m[0]
             s = cache.get(word)
             if s is None:
-                if len(cache) > 200_000:
+                if len(cache) > 100_000:
                     cache.clear()
                 s = cache[word] = self.log_odds(word) - self.drift
             if s > 0:
