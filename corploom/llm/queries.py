@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corploom.llm import langid, quality, toxicity
 from corploom.llm.ann import nearest
 from corploom.llm.chat import rotate
+from corploom.llm.divergence import divergence
 from corploom.llm.jaccard import near_duplicates
 from corploom.llm.mixing import mix
 from corploom.llm.packing import pack_documents
+from corploom.llm.piece_bpe import decode, encode
 from corploom.llm.pq import near_vectors
 from corploom.llm.scratch import Scratch
 from corploom.llm.tokencount import token_counts
+from corploom.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +74,22 @@ def op10_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
         return nearest(vectors, vectors.where("vec_id % 100 = 0"), scratch)
 
 
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "divergence") as scratch:
+        return divergence(_table(spark, sf_dir, "documents"), scratch)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark, "whitening") as scratch:
+        return whiten(_table(spark, sf_dir, "embeddings"), scratch)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_qda": op1_quality_qda,
@@ -82,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_rotation": op8_chat_rotation,
         "op9_trie_token_counts": op9_trie_token_counts,
         "op10_collision_ann": op10_collision_ann,
+        "op11_piece_encoding": op11_piece_encoding,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
@@ -127,5 +150,27 @@ FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT lang, source, doc, unnest(ts) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 3),
+vs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM v GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT gn.lang, gn.source, v.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gn.n + vs.v) AS HUGEINT) AS p,
+             CAST(1 + (1000000000::HUGEINT * (v.n + 1)) // (vs.n + vs.v) AS HUGEINT) AS q
+      FROM gn JOIN vs USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = v.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+allpairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+             LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+single AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM allpairs
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM single QUALIFY rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": _OP2, "op8_chat_rotation": _OP8}
+    return {"op12_source_divergence": _OP12, "op2_source_mixing": _OP2, "op8_chat_rotation": _OP8}
