@@ -2,7 +2,7 @@
 
 1. Each task counts the terms of its documents: a row (lang, term, source, first document, documents, occurrences) for the documents
    that it read, so that a common term moves once a task and not once a document.
-2. Rows are dealt out by (lang, term) and sorted by (lang, term, source, document). One pass over the runs sums documents and
+2. Rows are dealt out by (lang, term) and sorted by (lang, term, source, document), behind a hash of the first two. One pass over the runs sums documents and
    occurrences, drops terms in too few documents of the language and writes a row for each kept term.
 3. Each language's sources and totals go in front of its terms in the sort order. A second pass turns the counts of each block of
    terms into shares, adds up what a pair of sources differs by, and emits partial pairs and single terms.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
 
 def terms(text: str) -> list[bytes]:
     """Runs of ASCII letters and of characters beyond ASCII, with A-Z in lower case, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(_TERM).split()
+    return text.encode("utf-8", "replace").translate(_TERM).split()
 
 
 def term_counts(docs: DataFrame, most: int = MOST_TERMS) -> DataFrame:
@@ -57,7 +58,9 @@ def term_counts(docs: DataFrame, most: int = MOST_TERMS) -> DataFrame:
                 for at in range(0, len(found), BATCH_ROWS):
                     some = found[at : at + BATCH_ROWS]
                     k = len(some)
-                    yield _batch([[lang] * k, [x.decode("utf-8", "replace") for x in some], [source] * k, [first] * k, [within[x] for x in some], [total[x] for x in some]], _COUNTS)
+                    columns = [pa.repeat(pa.scalar(lang, pa.string()), k), pa.array(some, pa.binary()).cast(pa.string()), pa.repeat(pa.scalar(source, pa.string()), k), pa.repeat(pa.scalar(first, pa.int64()), k)]
+                    columns += [pa.array([x[w] for w in some], pa.int64()) for x in (within, total)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _COUNTS.split(", ")])
             held.clear()
 
         for batch in batches:
@@ -84,36 +87,50 @@ def kept_terms(counts: DataFrame, least: int) -> DataFrame:
     """(lang, term, sources, ns) of the terms in at least so many documents of a language: the sources that have the term, ascending, and its
     occurrences in each. Runs of rows sorted by (lang, term, source, document) are read once; a run's rows are never held, only a sum a source."""
     schema = "lang string, term string, sources array<string>, ns array<bigint>"
+    names = ["lang", "term", "source", "documents", "n"]
+
+    def changes(rows: pa.Table, columns: list[str]) -> np.ndarray:
+        """Where one of the columns differs from the row before, the first row included."""
+        out = np.zeros(len(rows), dtype=bool)
+        out[:1] = True
+        for c in columns:
+            x = rows[c].combine_chunks()
+            out[1:] |= np.asarray(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)))
+        return out
+
+    def summed(rows: pa.Table) -> pa.Table:
+        """A row for each run of (lang, term, source)."""
+        starts = np.flatnonzero(changes(rows, names[:3]))
+        sums = [pa.array(np.add.reduceat(np.asarray(rows[c]), starts) if len(starts) else np.zeros(0, dtype=np.int64)) for c in names[3:]]
+        return pa.Table.from_arrays([rows[c].take(pa.array(starts)) for c in names[:3]] + sums, names=names)
+
+    def kept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole runs of (lang, term), as summed() gives them."""
+        starts = np.flatnonzero(changes(rows, names[:2]))
+        if not len(starts):
+            return
+        enough = np.add.reduceat(np.asarray(rows["documents"]), starts) >= least
+        sizes = np.diff(np.append(starts, len(rows)))
+        some = rows.filter(pa.array(np.repeat(enough, sizes)))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes[enough]))), pa.int32())
+        heads = rows.take(pa.array(starts[enough]))
+        lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays(some[c].chunks) if some[c].num_chunks else pa.array([], t)) for c, t in (("source", pa.string()), ("n", pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(heads[c].chunks) if heads[c].num_chunks else pa.array([], pa.string()) for c in names[:2]] + lists, names=["lang", "term", "sources", "ns"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, documents, sources, ns = None, 0, [], []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "term", "sources", "ns"])
-
+        held = None  # the last run, which may go on: a row a source
         for batch in batches:
-            for lang, term, source, d, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "source", "documents", "n")), strict=True):
-                if key != (lang, term):
-                    if key and documents >= least:
-                        out.append((*key, sources, ns))
-                    key, documents, sources, ns = (lang, term), 0, [], []
-                    if len(out) >= BATCH_ROWS // 4:
-                        yield batch_of(out)
-                        out = []
-                documents += d
-                if sources and sources[-1] == source:
-                    ns[-1] += n
-                else:
-                    sources.append(source)
-                    ns.append(n)
-        if key and documents >= least:
-            out.append((*key, sources, ns))
-        if out:
-            yield batch_of(out)
-
-    return counts.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document").mapInArrow(scan, schema)
+            rows = pa.Table.from_batches([batch]).select(names)
+            rows = summed(rows if held is None else pa.concat_tables([held, rows]))
+            if len(rows):
+                last = int(np.flatnonzero(changes(rows, names[:2]))[-1])
+                yield from kept(rows.slice(0, last))
+                held = rows.slice(last)
+        if held is not None:
+            yield from kept(held)
+
+    # the hash comes first so that sorting compares numbers, not texts, wherever they differ
+    return counts.repartition("lang", "term").sortWithinPartitions(F.xxhash64("lang", "term"), "lang", "term", "source", "document").mapInArrow(scan, schema)
 
 
 def _shares(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
