@@ -22,7 +22,8 @@ def encoder(path: str):
     """A function from texts to lists of ids for the byte-level BPE of the JSON file at path.
 
     A JSON file with a .tiktoken file of the same vocabulary beside it is run by the faster of the two libraries;
-    both give the same ids (tested), special tokens in a text included. Texts go to the JSON file's own library otherwise.
+    both give the same ids (tested), special tokens in a text included. Texts go to the JSON file's own library otherwise, and texts
+    that the faster one refuses: its pattern gives up on a million whitespace characters in a row.
     """
     import base64
     import json
@@ -45,7 +46,17 @@ def encoder(path: str):
 
     specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=specials)
-    return lambda texts: [fast.encode(x, allowed_special="all") for x in texts]
+    plain_library: list[Tokenizer] = []
+
+    def one(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            if not plain_library:
+                plain_library.append(Tokenizer.from_file(path))
+            return plain_library[0].encode(text, add_special_tokens=False).ids
+
+    return lambda texts: [one(x) for x in texts]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:

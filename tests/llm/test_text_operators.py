@@ -507,3 +507,56 @@ def test_quality_scores_against_brute_force(spark):
             logs.append(-0.5 * e @ np.linalg.solve(cov, e) - 0.5 * np.linalg.slogdet(cov)[1] + math.log((n[c] + 1) / (sum(n) + 2)))
         want = 1 / (1 + math.exp(-min(40, max(-40, 0.25 * (logs[1] - logs[0])))))
         assert got[k] == pytest.approx(want, abs=1e-6)
+
+
+def test_packing_of_hostile_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" " * 3_000_000, "\n" * 3_000_000, "a" * 3_000_000, " " * 1_500_000 + "word", "same", "same", None]
+    docs = spark.createDataFrame([(k if k < 6 else None, t, 1, 2, "x") for k, t in enumerate(texts)], "doc_id long, text string, task int, place long, ids string").repartition(3)
+    with Scratch(spark, "t") as scratch:
+        rows = pack_documents(docs, scratch, path).collect()
+    own = Tokenizer.from_file(path)
+    for k, text in enumerate(texts):
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = sorted((r for r in rows if r["doc_id"] == (k if k < 6 else None)), key=lambda r: r["piece"])
+        assert [r["start"] for r in mine] == list(np.cumsum([0, *(r["length"] for r in mine[:-1])])) and sum(r["length"] for r in mine) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
+    room = {}
+    for r in rows:
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for placed in room.values():
+        placed.sort()
+        assert placed[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(placed, placed[1:], strict=False)) and sum(placed[-1]) <= 2048
+
+
+def test_declared_language_in_linear_time(spark):
+    import time
+
+    pages = ["<html lang=" + " " * 200_000, "<html " + "lang = ' " * 50_000, '<html data-lang="xx" lang="en">', "<HTML\nclass=x LANG='Pt-BR'>", "<html lang=de>", '<html data-lang="xx">', "<htmlx lang=fr>", None, '<html xml:lang="it">']
+    began = time.perf_counter()
+    got = [r["d"] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(declared_of(F.col("html")).alias("d")).collect()]
+    assert got == [None, None, "en", "pt", "de", None, None, None, None]
+    assert time.perf_counter() - began < 8
+
+
+def test_long_word_needs_little_memory():
+    import tracemalloc
+
+    trie, short = Trie({"a": -1.0, "aa": -1.5, "aaa": -2.8, "▁": -1.0, "▁a": -1.2, "b": -3.0}), Trie({"a": -1.0, "aa": -1.5, "aaa": -2.8, "▁": -1.0, "▁a": -1.2, "b": -3.0})
+    for word in ("▁" + "a" * 2500, "▁" + "ab" * 1300 + "é" * 9):
+        assert trie.add(word) == short.add(word, long=10**9)
+    assert len(trie.score) == 1
+    tracemalloc.start()
+    trie.add("▁" + "a" * 300_000)
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+
+
+def test_session_is_left_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with Scratch(spark, "t"):
+        with Scratch(spark, "t"):
+            assert spark.conf.get(name) == "1000"
+        assert spark.conf.get(name) == "1000"
+    assert spark.conf.get(name) == before
