@@ -164,8 +164,8 @@ def host_of(url: Column) -> Column:
 
 def declared_of(html: Column) -> Column:
     """The first subtag of the html element's lang, in lower case; null without one."""
-    found = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<html\\b[^<>]*?\\blang\\s*=\\s*[\"']?\\s*([A-Za-z]{2,8})", 1))
-    return F.when(found != "", found)
+    found = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), "(?is)<html(?=\\s)[^<>]*?\\slang\\s*+=\\s*+(?:[\"']\\s*+)?+([A-Za-z]{2,8})", 1))
+    return F.nullif(found, F.lit(""))
 
 
 @dataclass
@@ -210,9 +210,11 @@ class Fusion:
         return out if not tens else out + np.array(tens)
 
 
-def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df, sent to all executors if it has few rows (some dozen bytes each); otherwise Spark shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _small(df: DataFrame, entries: int = 400_000) -> DataFrame:
+    """df, sent to all executors if its rows and the entries of their arrays (some dozen bytes each) are few; otherwise Spark shuffles."""
+    held = [F.coalesce(F.size(F.coalesce(c, F.array())), F.lit(0)) for c, t in df.dtypes if t.startswith("array")]
+    found = df.agg(F.sum(sum(held, F.lit(1)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if found <= entries else df
 
 
 def _counts(seen: DataFrame, by: str, out: str) -> DataFrame:
