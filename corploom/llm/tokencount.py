@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Trie nodes and remembered words in one task; beyond, either starts anew (counts don't depend on it).
 MOST_NODES, MOST_WORDS = 250_000, 500_000
+#: Characters beyond which a word shares nothing and leaves no nodes.
+LONG_WORD = 1000
 
 
 def _model(path: str):
@@ -96,8 +98,28 @@ class Trie:
         self.count: list[int] = [0]
         self.open: list[list[tuple[int, dict]]] = [[(0, self.root)]]
 
-    def add(self, word: str) -> int:
-        """The number of tokens of word; nodes that weren't there yet are scored."""
+    def alone(self, word: str) -> int:
+        """The number of tokens of a long word: the same scores, of which only those that an open piece began at are kept."""
+        score, count, opened = 0.0, 0, [(0.0, 0, self.root)]
+        for c in word:
+            size = len(c.encode("utf-8", "surrogatepass"))
+            best, fewest, going = score + self.floor * size, count + size, []
+            for s0, n0, place in opened:
+                further = place.get(c)
+                if further is not None:
+                    going.append((s0, n0, further))
+                    p = further.get("")
+                    if p is not None and (s0 + p > best or s0 + p == best and n0 + 1 < fewest):
+                        best, fewest = s0 + p, n0 + 1
+            score, count = best, fewest
+            going.append((score, count, self.root))
+            opened = going
+        return count
+
+    def add(self, word: str, long: int = LONG_WORD) -> int:
+        """The number of tokens of word; nodes that weren't there yet are scored. A word of more than long characters has no nodes."""
+        if len(word) > long:
+            return self.alone(word)
         node, nexts, score, count, opened = 0, self.next, self.score, self.count, self.open
         for c in word:
             edge = node * 0x110000 + ord(c)
