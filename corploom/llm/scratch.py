@@ -36,8 +36,8 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows that go to Python at once, unless the session has a number of its own: whole texts are long, and both sides hold a batch.
-BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at once while an operator works, unless the session has a number of its own: whole texts are long, and both sides hold a batch.
+BATCH_ROWS, _BATCH, _DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 class Scratch:
@@ -45,17 +45,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        if spark.conf.get(_BATCH) == "10000":  # Spark's default
-            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        self.batch: str | None = None
         self.root = f"{shared_dir(spark).rstrip('/')}/corploom-{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.loose: list[str] = []
         self.tables: dict[int, str] = {}
 
     def __enter__(self) -> "Scratch":
+        if self.spark.conf.get(_BATCH) == _DEFAULT:
+            self.batch = self.spark.conf.get(_BATCH)
+            self.spark.conf.set(_BATCH, str(BATCH_ROWS))
         return self
 
     def __exit__(self, *exc: object) -> None:
+        if self.batch is not None:  # the session is left as it was
+            self.spark.conf.set(_BATCH, self.batch)
         for path in self.loose:
             _delete_quietly(self.spark, path)
 
