@@ -510,11 +510,13 @@ def test_quality_scores_against_brute_force(spark):
 
 
 def test_packing_of_hostile_texts(spark):
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    path = BPE
     texts = [" " * 3_000_000, "\n" * 3_000_000, "a" * 3_000_000, " " * 1_500_000 + "word", "same", "same", None]
     docs = spark.createDataFrame([(k if k < 6 else None, t, 1, 2, "x") for k, t in enumerate(texts)], "doc_id long, text string, task int, place long, ids string").repartition(3)
     with Scratch(spark, "t") as scratch:
-        rows = pack_documents(docs, scratch, path).collect()
+        rows = packing.pack_documents(docs, scratch, path).collect()
     own = Tokenizer.from_file(path)
     for k, text in enumerate(texts):
         ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -532,9 +534,9 @@ def test_packing_of_hostile_texts(spark):
 def test_declared_language_in_linear_time(spark):
     import time
 
-    pages = ["<html lang=" + " " * 200_000, "<html " + "lang = ' " * 50_000, '<html data-lang="xx" lang="en">', "<HTML\nclass=x LANG='Pt-BR'>", "<html lang=de>", '<html data-lang="xx">', "<htmlx lang=fr>", None, '<html xml:lang="it">']
+    pages = ["<html lang=" + " " * 200_000, "<html " + "lang = '' " * 50_000, '<html data-lang="xx" lang="en">', "<HTML\nclass=x LANG='Pt-BR'>", "<html lang=de>", '<html data-lang="xx">', "<htmlx lang=fr>", None, '<html xml:lang="it">']
     began = time.perf_counter()
-    got = [r["d"] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(declared_of(F.col("html")).alias("d")).collect()]
+    got = [r["d"] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(langid.declared_of(F.col("html")).alias("d")).collect()]
     assert got == [None, None, "en", "pt", "de", None, None, None, None]
     assert time.perf_counter() - began < 8
 
@@ -542,7 +544,7 @@ def test_declared_language_in_linear_time(spark):
 def test_long_word_needs_little_memory():
     import tracemalloc
 
-    trie, short = Trie({"a": -1.0, "aa": -1.5, "aaa": -2.8, "▁": -1.0, "▁a": -1.2, "b": -3.0}), Trie({"a": -1.0, "aa": -1.5, "aaa": -2.8, "▁": -1.0, "▁a": -1.2, "b": -3.0})
+    trie, short = tokencount.Trie({"a": -1.0, "aa": -1.5, "aaa": -2.8, "▁": -1.0, "▁a": -1.2, "b": -3.0}), tokencount.Trie({"a": -1.0, "aa": -1.5, "aaa": -2.8, "▁": -1.0, "▁a": -1.2, "b": -3.0})
     for word in ("▁" + "a" * 2500, "▁" + "ab" * 1300 + "é" * 9):
         assert trie.add(word) == short.add(word, long=10**9)
     assert len(trie.score) == 1
