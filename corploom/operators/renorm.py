@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corploom.operators.tables import written
+
 
 def word_pieces(lines: DataFrame, vocab: DataFrame, unk_id: int | None = None) -> DataFrame:
     """(word, pieces array<int>) from lines 'word<TAB>piece piece ..'; an unknown piece is unk_id, or raises without one."""
@@ -49,95 +52,218 @@ def duplicate_spellings(words: DataFrame) -> DataFrame:
     return words.groupBy("pieces").agg(F.array_sort(F.collect_list("word")).alias("words")).where(F.size("words") > 1)
 
 
+def steps_by_prefix(words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
+    """(prefix, next, ended) of every prefix and whole word: the tokens that go on, ascending, and whether the prefix's last piece is an end."""
+    whole = words.select(F.col("pieces").alias("prefix"), F.lit(None).cast("int").alias("next_token"))
+    steps = prefixes(words, specials).unionByName(whole).groupBy("prefix").agg(F.sort_array(F.collect_set("next_token")).alias("next"))
+    ends = F.broadcast(flag.where("is_end = 1").select(F.col("token_id").alias("_last"), F.lit(1).alias("_end")))  # at most a vocabulary of pieces
+    marked = steps.withColumn("_last", F.get("prefix", F.size("prefix") - 1)).join(ends, "_last", "left")
+    return marked.select("prefix", "next", F.coalesce("_end", F.lit(0)).alias("ended"))
+
+
+#: Places of a stream that one row of blocks() holds.
+BLOCK = 4096
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+
+
 def _longest(words: DataFrame) -> int:
     return words.agg(F.max(F.size("pieces"))).first()[0] or 0
 
 
-def _spelled(inputs: DataFrame, flag: DataFrame, longest: int, by_end: bool = False) -> DataFrame:
-    """inputs with is_head, is_end, _word and prefix: the pieces since the last head, or since the last end piece before. _word is 0 and prefix null before the first
-    one. A run longer than any word (and one special) shows no more than that of its pieces."""
-    w = Window.partitionBy("b").orderBy("t")
-    # at most a vocabulary of pieces
-    marked = inputs.join(F.broadcast(flag.select(F.col("token_id").alias("input"), "is_head", "is_end")), "input", "left").na.fill(0, ["is_head", "is_end"])
-    number = F.coalesce(F.sum("is_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if by_end else F.sum("is_head").over(w)
-    run = Window.partitionBy("b", "_word").orderBy("t").rowsBetween(-longest - 1, 0)
-    return marked.withColumn("_word", number).withColumn("prefix", F.when(F.col("_word") > 0, F.collect_list("input").over(run)))
+def _run_keys(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+    """A 64-bit key of each run of lengths[k] ids from starts[k]; 0 for runs longer than most."""
+    h = np.full(len(starts), _SEED, dtype=np.uint64)
+    some = np.flatnonzero(lengths <= most)
+    k = 0
+    while len(some):
+        some = some[lengths[some] > k]
+        x = (h[some] + ids[starts[some] + k].astype(np.uint64) + np.uint64(1)) * _STEP
+        x ^= x >> np.uint64(29)
+        h[some] = x * _SEED
+        k += 1
+    h[lengths > most] = 0
+    return h.view(np.int64)
 
 
-def sets_by_prefix(words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
-    """(prefix, allowed) of every prefix and whole word: the tokens of allowed_next in one array, made once for all places with that prefix."""
-    whole = words.select(F.col("pieces").alias("prefix"), F.lit(None).cast("int").alias("next_token"))
-    steps = prefixes(words, specials).unionByName(whole).groupBy("prefix").agg(F.collect_set("next_token").alias("_next"))
-    heads = flag.where("is_head = 1").agg(F.collect_list("token_id").alias("_heads"))
-    ends = F.broadcast(flag.where("is_end = 1").select(F.col("token_id").alias("_last"), F.lit(1).alias("_end")))  # at most a vocabulary of pieces
-    marked = steps.withColumn("_last", F.get("prefix", F.size("prefix") - 1)).join(ends, "_last", "left").crossJoin(F.broadcast(heads))  # one row
-    return marked.select("prefix", F.sort_array(F.when(F.col("_end") == 1, F.array_union("_next", "_heads")).otherwise(F.col("_next"))).alias("allowed"))
+def _prefix_keys(sets: DataFrame, other: str) -> DataFrame:
+    """(key, other) of rows (prefix, other)."""
+    kind = dict(sets.dtypes)[other]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = np.asarray(batch.column(0).flatten(), dtype=np.int64), np.asarray(batch.column(0).value_lengths(), dtype=np.int64)
+            keys = _run_keys(flat, np.cumsum(sizes) - sizes, sizes, int(sizes.max(initial=0)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(1)], names=["key", other])
+
+    return sets.select("prefix", other).mapInArrow(run, f"key long, {other} {kind}")
+
+
+def blocks(inputs: DataFrame, flag: DataFrame, reach: int, by_end: bool = False, size: int = BLOCK) -> DataFrame:
+    """(b, at, lead, first, ids, targets): streams (b, t, input[, target]), t without gaps, in blocks of size places behind lead earlier ones.
+
+    A piece's state depends on reach places before it at the most, and on whether its stream has seen any head (or end) before: first is the
+    place of the first one, null without. So blocks of one stream need not wait for each other, and no task sees a whole stream.
+    """
+    size = max(size, reach)
+    mark = F.broadcast(flag.where("is_end = 1" if by_end else "is_head = 1").select(F.col("token_id").alias("input")))  # at most a vocabulary of pieces
+    first = inputs.join(mark, "input", "left_semi").groupBy("b").agg(F.min("t").cast("long").alias("first"))
+    number = F.floor(F.col("t") / size).cast("long")
+    twice = F.explode(F.when(F.col("t") % size >= size - reach, F.array(number, number + 1)).otherwise(F.array(number)))
+    target = F.col("target") if "target" in inputs.columns else F.lit(None)
+    rows = inputs.select("b", F.struct(F.col("t").cast("long").alias("t"), "input", target.cast("int").alias("target")).alias("z"), twice.alias("block"))
+    whole = rows.groupBy("b", "block").agg(F.array_sort(F.collect_list("z")).alias("z"))
+    lead = F.size(F.filter("z", lambda x: x["t"] < F.col("block") * size))
+    cut = whole.select("b", F.col("z")[0]["t"].alias("at"), lead.alias("lead"), F.col("z.input").alias("ids"), F.col("z.target").alias("targets")).where("lead < size(ids)")
+    return cut.join(first, "b", "left").select("b", "at", "lead", F.coalesce("first", F.lit(2**62)).alias("first"), "ids", "targets")
+
+
+def array_blocks(rows: DataFrame, ids: str) -> DataFrame:
+    """As blocks(), of whole streams (b, ids) that are one array each; a place's target is the next id."""
+    after = F.slice(ids, F.lit(2), F.size(ids))
+    return rows.select("b", F.lit(0).cast("long").alias("at"), F.lit(0).alias("lead"), F.lit(None).cast("long").alias("first"), F.col(ids).alias("ids"), after.alias("targets"))
+
+
+def run_keys(cut: DataFrame, flag: DataFrame, longest: int, by_end: bool = False) -> DataFrame:
+    """(b, t, input, target, key, free, ended) of every place of blocks: key names the pieces since the last head, or since the last end piece before;
+    it is 0 where they are more than any word and a special have. free: no head (end) has come yet; ended: the piece is an end."""
+    listed = flag.toLocalIterator()  # at most a vocabulary of pieces
+    marked = [(r["token_id"], r["is_head"], r["is_end"]) for r in listed]
+    top = max((x[0] for x in marked), default=0) + 2
+    heads, ends = (np.array([x[0] for x in marked if x[k]], dtype=np.int64) for k in (1, 2))
+    kinds, reach = dict(cut.dtypes), longest + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_head, is_end = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
+        is_head[heads] = True
+        is_end[ends] = True
+        for batch in batches:
+            made = []
+            for r in range(batch.num_rows):
+                at, lead, first = (batch.column(c)[r].as_py() for c in (1, 2, 3))
+                ids = np.asarray(batch.column(4)[r].values, dtype=np.int64)
+                own = np.minimum(ids, top - 1)
+                place = np.arange(len(ids))
+                ended = is_end[own]
+                if by_end:
+                    begins = np.concatenate(([True], ended[:-1]))
+                    last = np.flatnonzero(ended)
+                else:
+                    begins = is_head[own]
+                    last = np.flatnonzero(begins)
+                if first is None:
+                    first = int(last[0]) if len(last) else len(ids)
+                start = np.maximum.accumulate(np.where(begins, place, 0))
+                key = _run_keys(ids, start, place - start + 1, reach)
+                t = at + place
+                free = t <= first if by_end else t < first
+                targets = batch.column(5)[r].values
+                n = len(ids) - lead
+                if len(targets) < len(ids):
+                    targets = pa.concat_arrays([targets, pa.nulls(len(ids) - len(targets), targets.type)])
+                columns = [batch.column(0).take(pa.array(np.full(n, r))), pa.array(t[lead:].astype(np.int32)), pa.array(ids[lead:].astype(np.int32)), targets.slice(lead), pa.array(key[lead:]), pa.array(free[lead:].astype(np.int32)), pa.array(ended[lead:].astype(np.int32))]
+                made.append(pa.RecordBatch.from_arrays(columns, names=["b", "t", "input", "target", "key", "free", "ended"]))
+                if sum(x.num_rows for x in made[-64:]) > 2**18 or len(made) == 64 or r + 1 == batch.num_rows:
+                    yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                    made = []
+
+    return cut.select("b", "at", "lead", "first", "ids", "targets").mapInArrow(run, f"b {kinds['b']}, t int, input int, target int, key long, free int, ended int")
+
+
+def set_number(tokens: Column) -> Column:
+    """The number of a set of tokens, an ascending array: 60 bits of the md5 of its list."""
+    return F.conv(F.substring(F.md5(F.array_join(tokens, ",").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def numbered_sets(words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> tuple[DataFrame, DataFrame]:
+    """((key, set_id) of every prefix and whole word, (set_id, allowed) of every different set, that of all heads and the empty one included)."""
+    steps = written(steps_by_prefix(words, flag, specials))
+    # many prefixes go on alike: what heads add is worked out once for all of them
+    heads = F.broadcast(flag.where("is_head = 1").agg(F.collect_list("token_id").alias("_heads")))  # one row
+    none = words.sparkSession.createDataFrame([([], 0), ([], 1)], "next array<int>, ended int")
+    kinds = steps.select("next", "ended").unionByName(none).distinct().crossJoin(heads)
+    allowed = F.sort_array(F.when(F.col("ended") == 1, F.array_union("next", "_heads")).otherwise(F.col("next")))
+    kinds = written(kinds.select("next", "ended", allowed.alias("allowed")).withColumn("set_id", set_number(F.col("allowed"))))
+    numbered = steps.join(kinds.select("next", "ended", "set_id"), ["next", "ended"]).select("prefix", "set_id")
+    return written(_prefix_keys(numbered, "set_id")), kinds.select("set_id", "allowed").dropDuplicates(["set_id"])
+
+
+def candidates(places: DataFrame, by_key: DataFrame, flag: DataFrame) -> DataFrame:
+    """(b, t, input, target, set_id) of run_keys' places: the number of the set of pieces that may come next. null where anything may, before the first
+    head or end; all heads where an end piece ends what spells no word; nothing where other pieces spell no prefix."""
+    heads = sorted(r["token_id"] for r in flag.where("is_head = 1").select("token_id").toLocalIterator())  # at most a vocabulary of pieces
+    number = lambda tokens: int(hashlib.md5(",".join(map(str, tokens)).encode()).hexdigest()[:15], 16)
+    found = places.join(by_key, "key", "left")
+    other = F.when(F.col("ended") == 1, F.lit(number(heads))).otherwise(F.lit(number([])))
+    return found.select("b", "t", "input", "target", F.when(F.col("free") == 0, F.coalesce("set_id", other)).alias("set_id"))
 
-def with_sets(inputs: DataFrame, flag: DataFrame, sets: DataFrame, longest: int) -> DataFrame:
-    """inputs with the columns of sets (prefix, ..) for the pieces since the last head, null before the first head (longest: _longest(words)) and where they spell no prefix of a word."""
-    at = _spelled(inputs, flag, longest)
-    return at.join(sets, "prefix", "left").select(*inputs.columns, *[c for c in sets.columns if c != "prefix"])
 
+def bitmaps(dictionary: DataFrame, n_tokens: int) -> DataFrame:
+    """(set_id, bitmap) of (set_id, allowed): bit k of byte j is token 8 j + k, for n_tokens tokens."""
+    span = 32768  # what one of Spark's bitmaps covers
+    rows = dictionary.select("set_id", F.explode_outer("allowed").alias("v")).withColumn("_part", F.floor(F.col("v") / span))
+    made = rows.where("v IS NOT NULL").groupBy("set_id", "_part").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("v") + 1)).alias("bits"))
+    parts = rows.where("v IS NULL").select("set_id", F.lit(None).cast("long").alias("_part"), F.lit(None).cast("binary").alias("bits")).unionByName(made)
+    each = parts.groupBy("set_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("_part", "bits")), lambda x: x["_part"].isNotNull())).alias("_bits"))
+    zeros = F.unhex(F.repeat(F.lit("00"), F.lit(span // 8)))
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit((n_tokens - 1) // span)), F.unhex(F.lit("")), lambda s, k: F.concat(s, F.coalesce(F.element_at("_bits", k.cast("long")), zeros)))
+    return each.select("set_id", F.substring(whole, 1, -(-n_tokens // 8)).alias("bitmap"))
 
-def nll_of_sets(rows: DataFrame, logit: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], n_tokens: int) -> DataFrame:
-    """(b, t, nll) of rows (b, t, target, allowed): as renormalised_nll, with logit(b, t, token) of arrays for n_tokens tokens; logits of disallowed tokens are never
-    made. A null set allows all."""
+
+def nll_of_candidates(rows: DataFrame, maps: DataFrame, logit: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], n_tokens: int) -> DataFrame:
+    """(b, t, nll) of rows (b, t, target, set_id) and bitmaps: -log softmax over the set's tokens only, infinite where the target isn't one of them; a null
+    set allows all. logit(b, t, token) of arrays gives the logits of allowed tokens; others are never made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = np.arange(n_tokens)
+        step = max(1, 2**21 // n_tokens)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 b, t, target = (np.asarray(part.column(k)) for k in range(3))
-                sets = part.column(3)
-                size = np.asarray(sets.value_lengths().fill_null(n_tokens))
-                tokens = np.asarray(sets.flatten())
-                if sets.null_count:
-                    tokens = np.concatenate([every if x is None else np.array(x, dtype=np.int64) for x in sets.to_pylist()])
-                row = np.repeat(np.arange(len(size)), size)
-                x = logit(b[row], t[row], tokens)
-                top, hit = np.full(len(size), -np.inf), np.full(len(size), -np.inf)
-                np.maximum.at(top, row, x)
-                own = tokens == target[row]
-                hit[row[own]] = x[own]
-                total = np.bincount(row, weights=np.exp(x - top[row]), minlength=len(size))
-                with np.errstate(divide="ignore"):
-                    nll = np.where(np.isfinite(hit), top + np.log(total) - hit, np.inf)
+                bits = np.full((len(b), -(-n_tokens // 8)), 255, dtype=np.uint8)
+                given = np.flatnonzero(np.asarray(part.column(3).is_valid()))
+                if len(given):
+                    bits[given] = np.frombuffer(b"".join(x for x in part.column(3).to_pylist() if x is not None), dtype=np.uint8).reshape(len(given), -1)
+                row, token = np.nonzero(np.unpackbits(bits, axis=1, count=n_tokens, bitorder="little"))
+                x = logit(b[row], t[row], token)
+                nll = np.full(len(b), np.inf)
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                if len(starts):
+                    some = row[starts]
+                    top = np.maximum.reduceat(x, starts)
+                    total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(starts, len(row))))), starts)
+                    norm = np.full(len(b), np.inf)
+                    norm[some] = top + np.log(total)
+                    own = np.flatnonzero(token == target[row])
+                    nll[row[own]] = norm[row[own]] - x[own]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nll)], names=["b", "t", "nll"])
 
     kinds = dict(rows.dtypes)
-    return rows.select("b", "t", "target", "allowed").mapInArrow(run, f"b {kinds['b']}, t {kinds['t']}, nll double")
+    few = maps.agg(F.sum(F.octet_length("bitmap"))).first()[0] or 0
+    joined = rows.join(F.broadcast(maps) if few <= 64 << 20 else maps, "set_id", "left")
+    return joined.select("b", "t", "target", "bitmap").mapInArrow(run, f"b {kinds['b']}, t {kinds['t']}, nll double")
+
+
+def allowed_sets(inputs: DataFrame, words: DataFrame, flag: DataFrame, specials: list[int] = (), by_end: bool = False) -> DataFrame:
+    """(b, t, allowed): the tokens of allowed_next in one array, null where anything may come."""
+    by_key, dictionary = numbered_sets(words, flag, specials)
+    longest = _longest(words)
+    rows = candidates(run_keys(blocks(inputs, flag, longest + 1, by_end), flag, longest, by_end), by_key, flag)
+    return rows.join(dictionary, "set_id", "left").select("b", "t", "allowed")
 
 
 def allowed_next(inputs: DataFrame, words: DataFrame, flag: DataFrame, specials: list[int] = ()) -> DataFrame:
     """(b, t, next_token, any_token) for inputs (b, t, input) with unique heads: the steps that the pieces since the last head allow, after an
     end piece also all heads; any_token is 1, with next_token null, where no head has been seen."""
-    at = _spelled(inputs, flag, _longest(words)).join(sets_by_prefix(words, flag, specials), "prefix", "left")
-    return _exploded(at.withColumn("allowed", F.when(F.col("_word") > 0, F.coalesce("allowed", _if_ended(flag)))))
-
-
-def _if_ended(flag: DataFrame) -> Column:
-    """What an end piece allows where its run spells nothing: all heads; otherwise nothing."""
-    heads = sorted(r["token_id"] for r in flag.where("is_head = 1").select("token_id").toLocalIterator())  # at most a vocabulary of pieces
-    none = F.array().cast("array<int>")
-    return F.when(F.col("is_end") == 1, F.from_json(F.lit(str(heads)), "array<int>")).otherwise(none)
+    return _exploded(allowed_sets(inputs, words, flag, specials))
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
     return sets.select("b", "t", F.explode_outer("allowed").alias("next_token"), F.col("allowed").isNull().cast("int").alias("any_token")).where("any_token = 1 OR next_token IS NOT NULL")
 
 
-def allowed_sets_by_end(inputs: DataFrame, words: DataFrame, specials: list[int] = ()) -> DataFrame:
-    """(b, t, allowed) with the tokens of allowed_next in one array (null before the first end), for vocabularies with unique ends: a word starts after an end piece."""
-    flag = flags(words, specials)
-    at = _spelled(inputs, flag, _longest(words), by_end=True).join(sets_by_prefix(words, flag, specials), "prefix", "left")
-    return at.select("b", "t", F.when(F.col("_word") > 0, F.coalesce("allowed", _if_ended(flag))).alias("allowed"))
-
-
 def allowed_next_by_end(inputs: DataFrame, words: DataFrame, specials: list[int] = ()) -> DataFrame:
-    """allowed_sets_by_end with a row for each allowed token: (b, t, next_token, any_token)."""
-    return _exploded(allowed_sets_by_end(inputs, words, specials))
+    """allowed_next for vocabularies with unique ends: a word starts after an end piece, and anything may come up to the first one."""
+    return _exploded(allowed_sets(inputs, words, flags(words, specials), specials, by_end=True))
 
 
 def renormalised_nll(logits: DataFrame, targets: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -14,8 +14,16 @@ EOS = "<eos>"
 SPECIALS = ["<unk>", EOS]
 
 
+#: Bytes of a table for each core below which its rows are dealt out anew: a small file is often one row group, which one task reads.
+SMALL_SHARE = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, its rows on all cores. What has more than SMALL_SHARE bytes a core stays where it is read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if 1 << 20 < size < SMALL_SHARE * cores else df
 
 
 def lines_with_eos(text: Column) -> Column:

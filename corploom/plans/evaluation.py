@@ -9,6 +9,7 @@ from corploom.functions import text as tx
 from corploom.functions.rng import keyed_uniform
 from corploom.operators import combinators, knn, metrics, renorm, sampling
 from corploom.plans import base
+from corploom.operators.tables import written
 from corploom.plans.base import table
 
 QUERIES, SQL = {}, {}
@@ -240,10 +241,11 @@ def _pieces(word):
     return F.slice(F.array(first, *[piece(k) for k in range(3)]), F.lit(1), F.length(word) % 4 + 1)
 
 
-def _words(spark, d):
-    """(word, pieces) of every word of all documents, spelled by at most four hashed pieces whose first has an id below 300 and no other."""
+def _words(spark, d, turned=False):
+    """(word, pieces) of every word of all documents, spelled by at most four hashed pieces whose first (turned: whose last) has an id below 300 and no other."""
     words = table(spark, d, "documents").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
-    return words.select("word", _pieces(F.col("word")).alias("pieces"))
+    pieces = _pieces(F.col("word"))
+    return words.select("word", (F.reverse(pieces) if turned else pieces).alias("pieces"))
 
 
 _WORDS = f"""WITH {base.SQL_WORDS}, wp AS (SELECT token AS word, list_concat([CAST(('0x' || substr(md5(token), 1, 6))::BIGINT % 300 AS INTEGER)],
@@ -265,16 +267,20 @@ def duplicate_spellings(spark, d):
     return renorm.duplicate_spellings(_words(spark, d)).select(F.array_join("pieces", " ").alias("pieces"), F.array_join("words", " ").alias("words"))
 
 
-def _text_stream(spark, d, spell=_pieces):
-    """Pieces of all words of each document, in order: (b, t, input, target), b is the document."""
-    pieces = table(spark, d, "documents").select(F.col("doc_id").alias("b"), F.flatten(F.transform(tx.words(F.col("text")), spell)).alias("ps")).where(F.size("ps") > 0)
-    pairs = F.arrays_zip(F.col("ps").alias("input"), F.slice("ps", F.lit(2), F.size("ps")).alias("target"))
-    return pieces.select("b", F.posexplode(pairs).alias("t", "z")).select("b", "t", "z.input", "z.target")
+def _candidates(spark, d, turned=False):
+    """(b, t, input, target, set_id) of all words of each document as one stream of pieces, b is the document; and the dictionary of sets. The vocabulary is read once."""
+    words = written(_words(spark, d, turned))
+    flag = written(renorm.flags(words))
+    by_key, dictionary = renorm.numbered_sets(words, flag)
+    spell = (lambda w: F.reverse(_pieces(w))) if turned else _pieces
+    streams = table(spark, d, "documents").select(F.col("doc_id").alias("b"), F.flatten(F.transform(tx.words(F.col("text")), spell)).alias("ps")).where(F.size("ps") > 0)
+    places = renorm.run_keys(renorm.array_blocks(streams, "ps"), flag, renorm._longest(words), turned)
+    return renorm.candidates(places, by_key, flag), dictionary
 
 
-def _summed(sets, *columns):
+def _summed(dictionary):
     total = F.aggregate("allowed", F.lit(0).cast("long"), lambda s, x: s + x)
-    return sets.select(*columns, F.size("allowed").cast("long").alias("n_allowed"), total.alias("sum_allowed"))
+    return dictionary.select("set_id", F.size("allowed").cast("long").alias("n_allowed"), total.alias("sum_allowed"))
 
 
 _SETS = _WORDS + """, steps AS (SELECT DISTINCT pieces[:k] AS prefix, pieces[k + 1] AS nx FROM (SELECT pieces, unnest(range(len(pieces))) AS k FROM wp)),
@@ -286,11 +292,31 @@ st AS (SELECT b, row_number() OVER w - 1 AS t, input, sum(CASE WHEN input < 300
 px AS (SELECT *, list(input) OVER (PARTITION BY b, wd ORDER BY t) AS prefix FROM st)"""
 
 
+_NUMBER = "('0x' || substr(md5(array_to_string(list_sort(al), ',')), 1, 15))::BIGINT"
+#: The same for words turned round: unique ends, a word starts after one, and anything may come up to the first.
+_SETS_BY_END = _SETS.replace("FROM wp)", "FROM wq)").replace("JOIN wp ON", "JOIN wq ON").replace(", steps AS", ", wq AS (SELECT word, list_reverse(pieces) AS pieces FROM wp), steps AS", 1)
+_SETS_BY_END = _SETS_BY_END.replace("sum(CASE WHEN input < 300 THEN 1 ELSE 0 END) OVER w AS wd", "coalesce(sum(CASE WHEN input < 300 THEN 1 ELSE 0 END) OVER (PARTITION BY b ORDER BY p, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wd")
+
+
 @query(f"{_SETS} SELECT b, CAST(t AS INTEGER) AS t, len(al) AS n_allowed, CAST(list_sum(al) AS BIGINT) AS sum_allowed FROM px LEFT JOIN sets USING (prefix)")
 def allowed_next(spark, d):
-    words = _words(spark, d)
-    flag = renorm.flags(words)
-    return renorm.with_sets(_text_stream(spark, d).select("b", "t", "input"), flag, _summed(renorm.sets_by_prefix(words, flag), "prefix"), renorm._longest(words)).drop("input")
+    rows, dictionary = _candidates(spark, d)
+    return rows.join(_summed(dictionary), "set_id", "left").select("b", "t", "n_allowed", "sum_allowed")
+
+
+@query(f"{_SETS} SELECT b, CAST(t AS INTEGER) AS t, target, {_NUMBER} AS set_id FROM px LEFT JOIN sets USING (prefix) WHERE target IS NOT NULL")
+def candidate_stream(spark, d):
+    """Targets with the number of the set that they come from, as data to be stored."""
+    return _candidates(spark, d)[0].where("target IS NOT NULL").select("b", "t", "target", "set_id")
+
+
+@query(f"""{_SETS}, every AS (SELECT al FROM sets UNION ALL SELECT hs FROM heads UNION ALL SELECT []::INTEGER[])
+SELECT DISTINCT {_NUMBER} AS set_id, len(al) AS n_tokens, array_to_string(list_sort(al), ' ') AS tokens, CAST(45 AS INTEGER) AS bytes FROM every""")
+def candidate_sets(spark, d):
+    """The dictionary of candidate_stream: each different set once, its size counted from its bitmap."""
+    dictionary = _candidates(spark, d)[1]
+    maps = renorm.bitmaps(dictionary, 360)
+    return dictionary.join(maps, "set_id").select("set_id", F.bitmap_count("bitmap").alias("n_tokens"), F.array_join("allowed", " ").alias("tokens"), F.octet_length("bitmap").cast("int").alias("bytes"))
 
 
 def stream_logit(b, t, token):
@@ -298,20 +324,28 @@ def stream_logit(b, t, token):
     return (b * 7919 + t * 104729 + token.astype("int64") * 1299709) % 1000 * 0.003
 
 
-@query()
+_LOGIT = "((r + {} * 1299709) % 1000 * 0.003::DOUBLE)"
+
+
+# heads and what goes on inside words are different ids, so that the sum over a set is that over its steps and, after an end, that over all heads
+@query(f"""{_SETS}, pl AS (SELECT b, t, target, prefix, (b * 7919 + t * 104729) % 1000 AS r FROM px WHERE target IS NOT NULL),
+hsum AS (SELECT r, sum(exp({_LOGIT.format("tok")})) AS h FROM (SELECT unnest(hs) AS tok FROM heads), range(1000) x(r) GROUP BY 1),
+nsx AS (SELECT prefix, ns, CAST(e IS NOT NULL AS INTEGER) AS ended FROM pre LEFT JOIN ends ON prefix[-1] = e),
+z AS (SELECT r, prefix, sum(exp({_LOGIT.format("tok")})) AS s FROM (SELECT r, prefix, unnest(ns) AS tok FROM (SELECT DISTINCT r, prefix FROM pl) q JOIN nsx USING (prefix)) u GROUP BY 1, 2)
+SELECT b, CAST(t AS INTEGER) AS t, round(CASE WHEN list_contains(ns, target) OR ended = 1 AND list_contains(hs, target) THEN ln(coalesce(s, 0) + ended * h) - {_LOGIT.format("target")} ELSE 'inf'::DOUBLE END, 6) AS nll
+FROM pl JOIN nsx USING (prefix) JOIN hsum USING (r) LEFT JOIN z USING (r, prefix) CROSS JOIN heads""")
 def renorm_nll(spark, d):
-    words = _words(spark, d)
-    flag = renorm.flags(words)
-    rows = renorm.with_sets(_text_stream(spark, d).where("target IS NOT NULL"), flag, renorm.sets_by_prefix(words, flag), renorm._longest(words))
-    return renorm.nll_of_sets(rows, stream_logit, 360).select("b", "t", F.round("nll", 6).alias("nll"))
+    rows, dictionary = _candidates(spark, d)
+    return renorm.nll_of_candidates(rows.where("target IS NOT NULL"), renorm.bitmaps(dictionary, 360), stream_logit, 360).select("b", "t", F.round("nll", 6).alias("nll"))
 
 
-@query()
+@query(f"""{_SETS_BY_END} SELECT b, CAST(t AS INTEGER) AS t, CAST(wd = 0 AS INTEGER) AS any_token, CASE WHEN wd = 0 THEN 1 ELSE len(al) END AS n_allowed, CASE WHEN wd > 0 THEN CAST(list_sum(al) AS BIGINT) END AS sum_allowed
+FROM px LEFT JOIN sets USING (prefix)""")
 def allowed_next_by_end(spark, d):
-    words = _words(spark, d).select("word", F.reverse("pieces").alias("pieces"))
-    sets = renorm.allowed_sets_by_end(_text_stream(spark, d, lambda w: F.reverse(_pieces(w))).select("b", "t", "input"), words)
-    free = F.col("allowed").isNull()
-    return _summed(sets, "b", "t", free.cast("int").alias("any_token")).withColumn("n_allowed", F.when(F.col("any_token") == 1, 1).otherwise(F.col("n_allowed")))
+    rows, dictionary = _candidates(spark, d, turned=True)
+    free = F.col("set_id").isNull()
+    sets = rows.join(_summed(dictionary), "set_id", "left")
+    return sets.select("b", "t", free.cast("int").alias("any_token"), F.when(free, F.lit(1).cast("long")).otherwise(F.col("n_allowed")).alias("n_allowed"), "sum_allowed")
 
 
 @query("SELECT vec_id, CAST((vec_id * 7919 + label) % 3 = 0 AS INTEGER) AS picked, round(tanh(embedding[1]), 6) AS act, round(embedding[1] * 0.5 * (1 + tanh(sqrt(2 / pi()) * (embedding[1] + 0.044715 * pow(embedding[1], 3)))), 6) AS gelu FROM embeddings")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from corploom.functions import arrays, tokenizers
 from corploom.functions import text as tx
@@ -376,3 +377,70 @@ def test_recall_of_lists(spark):
         near = {(r["query_id"], r["vec_id"]) for r in evaluation.QUERIES["knn_topk"](spark, d).collect()}
         found = {(r["query_id"], r["vec_id"]) for r in evaluation.QUERIES["knn_ivf"](spark, d).collect()}
         assert len(near & found) >= 0.9 * len(near)
+
+
+def _machine(stream, words, specials, by_end):
+    """What may come after each piece, by the sequential machine over a trie: None for anything, a set otherwise."""
+    trie, heads, ends = {}, set(specials), set(specials)
+    for w in words:
+        node = trie
+        for x in w:
+            node = node.setdefault(x, {})
+        for s in specials:
+            node.setdefault(s, {})
+        heads.add(w[0])
+        ends.add(w[-1])
+    for s in specials:
+        trie[s] = {w[0]: {} for w in words}
+    node, out, inside = None, [], False
+    for x in stream:
+        if not by_end and x in heads:
+            node, inside = trie, True
+        if not inside:
+            out.append(None)
+            if by_end and x in ends:
+                node, inside = trie, True
+            continue
+        node = node.get(x, {}) if node is not None else {}
+        out.append(set(node) | (heads if x in ends else set()))
+        if by_end and x in ends:
+            node = trie
+    return out
+
+
+@pytest.mark.parametrize("by_end", [False, True])
+@pytest.mark.parametrize("specials", [[], [90, 91]])
+def test_renormalisation_in_blocks_is_the_sequential_machine(spark, by_end, specials):
+    rng = random.Random(9)
+    words = list({(rng.randrange(8), *[rng.randrange(10, 16) for _ in range(rng.randrange(4))]) for _ in range(40)})
+    if by_end:
+        words = [w[::-1] for w in words]
+    streams = {}
+    for b, n in enumerate((1, 2, 37, 400, 1500)):
+        made = [rng.randrange(10, 16) for _ in range(3)] if b % 2 else []
+        while len(made) < n:
+            made += rng.choice([rng.choice(words), rng.choice(words), rng.choice(words), [rng.randrange(10, 16)] * rng.randrange(9), [rng.choice([*specials, 12])]])
+        streams[b] = made[:n]
+    df = spark.createDataFrame([(f"w{k}", list(map(int, w))) for k, w in enumerate(words)], "word string, pieces array<int>")
+    inputs = spark.createDataFrame([(b, t, x) for b, s in streams.items() for t, x in enumerate(s)], "b int, t int, input int").repartition(3)
+    flag = renorm.flags(df, specials)
+    by_key, dictionary = renorm.numbered_sets(df, flag, specials)
+    longest = renorm._longest(df)
+    for size in (1, 16, 10_000):
+        cut = renorm.blocks(inputs, flag, longest + 1, by_end, size)
+        rows = renorm.candidates(renorm.run_keys(cut, flag, longest, by_end), by_key, flag).join(dictionary, "set_id", "left").collect()
+        got = {(r["b"], r["t"]): None if r["allowed"] is None else set(r["allowed"]) for r in rows}
+        assert len(rows) == len(got)
+        for b, s in streams.items():
+            assert [got[b, t] for t in range(len(s))] == _machine(s, words, specials, by_end)
+    arrays = spark.createDataFrame(list(streams.items()), "b int, ids array<int>")
+    same = renorm.candidates(renorm.run_keys(renorm.array_blocks(arrays, "ids"), flag, longest, by_end), by_key, flag).join(dictionary, "set_id", "left").collect()
+    assert {(r["b"], r["t"]): None if r["allowed"] is None else set(r["allowed"]) for r in same} == got
+    assert {(r["b"], r["t"]): r["target"] for r in same} == {(b, t): (s[t + 1] if t + 1 < len(s) else None) for b, s in streams.items() for t in range(len(s))}
+
+
+def test_bitmaps_are_the_sets(spark):
+    rows = [(1, []), (2, [0]), (3, [0, 7, 8, 70000]), (4, [32767, 32768, 65535])]
+    got = {r["set_id"]: np.flatnonzero(np.unpackbits(np.frombuffer(r["bitmap"], dtype=np.uint8), bitorder="little")).tolist() for r in renorm.bitmaps(spark.createDataFrame(rows, "set_id long, allowed array<int>"), 70001).collect()}
+    assert got == dict(rows)
+    assert {len(r["bitmap"]) for r in renorm.bitmaps(spark.createDataFrame(rows[:2], "set_id long, allowed array<int>"), 9).collect()} == {2}

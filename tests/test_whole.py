@@ -25,7 +25,7 @@ def test_renormalisation_of_every_piece(spark, tmp_path):
     texts = [(1, "to be or not to be"), (2, "<eos> " + " ".join(f"w{k}{'x' * (k % 5)}" for k in range(40))), (3, " "), (4, "a")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     d, q = str(tmp_path), evaluation.QUERIES
-    words, stream = evaluation._words(spark, d), evaluation._text_stream(spark, d).cache()
+    words, stream = evaluation._words(spark, d), evaluation._candidates(spark, d)[0].select("b", "t", "input", "target").cache()
     assert words.count() == 46 and {r["b"]: r["n"] for r in stream.groupBy("b").agg(F.count("*").alias("n")).collect()} == {i: sum(len(w) % 4 + 1 for w in t.split()) for i, t in texts if t.split()}
     by_row = renorm.allowed_next(stream, words, renorm.flags(words)).cache()
     key = lambda df: {(r["b"], r["t"]): tuple(r[2:]) for r in df.collect()}
