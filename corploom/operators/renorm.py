@@ -214,7 +214,7 @@ def nll_of_candidates(rows: DataFrame, maps: DataFrame, logit: Callable[[np.ndar
     set allows all. logit(b, t, token) of arrays gives the logits of allowed tokens; others are never made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, 2**21 // n_tokens)
+        step = max(1, 2**17 // n_tokens)  # what fits in a cache
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
