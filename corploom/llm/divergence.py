@@ -93,7 +93,7 @@ def kept_terms(counts: DataFrame, least: int) -> DataFrame:
         """Where one of the columns differs from the row before, the first row included."""
         out = np.zeros(len(rows), dtype=bool)
         out[:1] = True
-        for c in columns:
+        for c in columns if len(rows) > 1 else ():
             x = rows[c].combine_chunks()
             out[1:] |= np.asarray(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)))
         return out

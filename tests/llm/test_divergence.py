@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from corploom.llm.divergence import divergence, term_counts
+from corploom.llm.divergence import divergence, kept_terms, term_counts
 from corploom.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -91,3 +91,17 @@ def test_empty_tables_and_clashing_columns(spark):
 def test_hot_term_and_source(spark):
     docs = [(k, "hot hot " + ("cold" if k % 9 == 0 else ""), "en", "big" if k % 3 else f"s{k % 12}") for k in range(600)]
     assert run(spark, docs) == brute(docs)
+
+
+def test_runs_longer_than_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [("en", t, f"s{k % 3}", k, 1, 2) for t, n in (("a", 1), ("hot", 100), ("m", 2), ("n", 7), ("z", 40)) for k in range(n)]
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        counts = spark.createDataFrame(rows, "lang string, term string, source string, document long, documents long, n long")
+        got = sorted((r["term"], r["sources"], r["ns"]) for r in kept_terms(counts, 3).collect())
+    finally:
+        spark.conf.set(name, before)
+    want = [(t, ["s0", "s1", "s2"], [2 * len(range(k, n, 3)) for k in range(3)]) for t, n in (("hot", 100), ("n", 7), ("z", 40))]
+    assert got == want
