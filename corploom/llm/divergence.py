@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corploom.llm.scratch import Scratch
 
 #: Terms of one task that are counted before their rows go out, and rows of a batch.
-MOST_TERMS, BATCH_ROWS = 400_000, 20_000
+MOST_TERMS, BATCH_ROWS = 1_000_000, 20_000
 #: Numbers in the table of a block of terms and pairs, and in the sums of pairs that a task keeps.
 BLOCK_CELLS, MOST_SUMS = 1 << 21, 1 << 22
 UNIT = 1_000_000_000
