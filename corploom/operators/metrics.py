@@ -84,6 +84,17 @@ def gradient_average(grads: DataFrame) -> DataFrame:
     return clean.groupBy("var_name", "idx").agg(F.avg("grad").alias("grad"))
 
 
+def sparse_gradient_average(grads: DataFrame, towers: int | None = None) -> DataFrame:
+    """(var_name, idx, grad) of rows (tower, var_name, idx, grad) that a tower has only for some idx: sums by idx over the number of towers,
+    so that a tower without a row counts as zero, and several rows of one tower and idx add up. towers: how many there are, counted
+    for each variable if that isn't told (then every tower must have some row of it)."""
+    summed = grads.groupBy("var_name", "idx").agg(F.sum("grad").alias("_sum"))
+    if towers is not None:
+        return summed.select("var_name", "idx", (F.col("_sum") / towers).alias("grad"))
+    counted = grads.groupBy("var_name").agg(F.count_distinct("tower").alias("_towers"))
+    return summed.join(counted, "var_name").select("var_name", "idx", (F.col("_sum") / F.col("_towers")).alias("grad"))
+
+
 def global_norm(grads: DataFrame) -> DataFrame:
     return grads.agg(F.sqrt(F.sum(F.col("grad") * F.col("grad"))).alias("global_norm"))
 

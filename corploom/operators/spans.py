@@ -174,26 +174,31 @@ def mass_examples(rows: DataFrame, num_predict: int, eos: int, origin_pos: bool
 
 
 def sentinel_examples(rows: DataFrame, seq_len: int, num_predict: int, placeholder_0: int, eos: int) -> DataFrame:
-    """(seq_id, source, source_segmentation, source_type, target, target_segmentation, target_type) from mask_spans' rows with type_id.
+    """(seq_id, source, source_segmentation, source_position, source_type, target, target_segmentation, target_position, target_type) from
+    mask_spans' rows with type_id.
 
     Every span gives up its last place. The source keeps one placeholder a span, numbered in order of place; the target has each
-    placeholder before its span's tokens, then eos, then zeros. target_segmentation is 1 before the eos.
+    placeholder before its span's tokens, then eos, then zeros. target_segmentation is 1 before the eos. A sequence's places are
+    gathered once; all else happens inside its row.
     """
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    masked = rows.where("is_masked").withColumn("_next", F.lead("span_pos").over(w)).where(F.col("_next").isNotNull() & (F.col("_next") != 0))
-    start = F.col("span_pos") == 0
-    masked = masked.withColumn("_k", F.sum(start.cast("int")).over(w) - 1).withColumn("at", (F.sum(F.lit(1) + start.cast("int")).over(w) - 1).cast("int"))
-    marks = masked.select("seq_id", "pos", F.lit(True).alias("_in"), start.alias("_start"), "_k")
-    joined = rows.join(marks, ["seq_id", "pos"], "left").where(F.col("_in").isNull() | F.col("_start"))
-    source = joined.select("seq_id", "pos", F.when(F.col("_start"), F.lit(placeholder_0) + F.col("_k")).otherwise(F.col("token_id")).cast("int").alias("tok"), "type_id")
-    source = source.groupBy("seq_id").agg(_padded(_collect("tok"), seq_len).alias("source"), _padded(_collect("type_id"), seq_len).alias("source_type"))
-    tokens = masked.select("seq_id", F.col("at").alias("pos"), F.col("token_id").cast("int").alias("tok"), F.col("type_id").alias("ty"))
-    heads = masked.where(start).select("seq_id", (F.col("at") - 1).alias("pos"), (F.lit(placeholder_0) + F.col("_k")).cast("int").alias("tok"), F.lit(0).alias("ty"))
-    target = tokens.unionByName(heads).groupBy("seq_id").agg(_collect("tok").alias("_t"), _collect("ty").alias("_y"))
-    empty = F.array().cast("array<int>")
-    out = source.join(target, "seq_id", "left").withColumn("_t", F.coalesce("_t", empty)).withColumn("_y", F.coalesce("_y", empty))
+    place = F.struct("pos", F.col("token_id").cast("int").alias("tok"), F.col("type_id").cast("int").alias("ty"), F.when(F.col("is_masked"), F.col("span_pos")).alias("at"))
+    whole = rows.groupBy("seq_id").agg(F.array_sort(F.collect_list(place)).alias("z"))
+    whole = whole.withColumn("m", F.filter("z", lambda x: x["at"].isNotNull()))
+    # the place before another span's first one, or before none, is the last of its span
+    whole = whole.withColumn("m", F.filter("m", lambda x, i: F.coalesce(F.get("m", i + 1)["at"] != 0, F.lit(False))))
+    whole = whole.withColumn("starts", F.transform(F.filter("m", lambda x: x["at"] == 0), lambda x: x["pos"])).withColumn("hidden", F.transform("m", lambda x: x["pos"]))
+    mark = lambda x: (F.array_position("starts", x["pos"]) - 1 + placeholder_0).cast("int")
+    begins = lambda x: F.array_contains("starts", x["pos"])
+    kept = F.filter("z", lambda x: ~F.array_contains("hidden", x["pos"]) | begins(x))
+    pair = lambda first, second, x: F.when(begins(x), F.array(first, second)).otherwise(F.array(second))
+    out = whole.select(
+        "seq_id", _padded(F.transform(kept, lambda x: F.when(begins(x), mark(x)).otherwise(x["tok"])), seq_len).alias("source"), _padded(F.transform(kept, lambda x: x["ty"]), seq_len).alias("source_type"),
+        F.flatten(F.transform("m", lambda x: pair(mark(x), x["tok"], x))).alias("_t"), F.flatten(F.transform("m", lambda x: pair(F.lit(0), x["ty"], x))).alias("_y"),
+    )
     size = num_predict + 1
+    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     return out.select(
-        "seq_id", "source", F.transform("source", lambda t: (t != 0).cast("int")).alias("source_segmentation"), "source_type",
-        _padded(F.concat("_t", F.array(F.lit(eos))), size).alias("target"), F.concat(F.array_repeat(F.lit(1), F.size("_t")), F.array_repeat(F.lit(0), F.greatest(F.lit(size) - F.size("_t"), F.lit(0)))).alias("target_segmentation"), _padded(F.col("_y"), size).alias("target_type"),
+        "seq_id", "source", F.transform("source", lambda t: (t != 0).cast("int")).alias("source_segmentation"), numbers(seq_len).alias("source_position"), "source_type",
+        _padded(F.concat("_t", F.array(F.lit(eos))), size).alias("target"), F.concat(F.array_repeat(F.lit(1), F.size("_t")), F.array_repeat(F.lit(0), F.greatest(F.lit(size) - F.size("_t"), F.lit(0)))).alias("target_segmentation"),
+        numbers(size).alias("target_position"), _padded(F.col("_y"), size).alias("target_type"),
     )

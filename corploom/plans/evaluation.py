@@ -230,6 +230,14 @@ def gradient_norm(spark, d):
     return metrics.global_norm(metrics.gradient_average(g)).withColumn("global_norm", F.round("global_norm", 6))
 
 
+@query("""WITH g AS (SELECT label AS var_name, unnest(range(len(embedding))) AS idx, unnest(embedding)::DOUBLE AS grad FROM embeddings)
+SELECT var_name, CAST(idx AS INTEGER) AS idx, round(sum(grad) / 4, 6) AS grad FROM g WHERE grad > 0.1 GROUP BY 1, 2""")
+def sparse_gradients(spark, d):
+    """Four towers, each with the entries above 0.1 of its vectors alone."""
+    g = table(spark, d, "embeddings").select((F.col("vec_id") % 4).alias("tower"), F.col("label").alias("var_name"), F.posexplode("embedding").alias("idx", "grad")).where("grad > 0.1D")
+    return metrics.sparse_gradient_average(g.withColumn("grad", F.col("grad").cast("double")), 4).withColumn("grad", F.round("grad", 6))
+
+
 @query("SELECT event_type, CAST(event_id // 500 AS BIGINT) AS window, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2")
 def step_log_windows(spark, d):
     return metrics.log_windows(table(spark, d, "events"), "event_id", 500, ["event_type"], "value").withColumn("mean_value", F.round("mean_value", 6))

@@ -104,10 +104,10 @@ def span_mask_cap(spark, d):
 k AS (SELECT *, span_pos = 0 AS start, sum(CASE WHEN span_pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY pos) - 1 AS r FROM w WHERE nxt IS NOT NULL AND nxt <> 0),
 src AS (SELECT sm.seq_id, list(CASE WHEN k.start THEN 2000 + r ELSE sm.token_id END ORDER BY sm.pos) AS s FROM sm LEFT JOIN k ON sm.seq_id = k.seq_id AND sm.pos = k.pos WHERE k.seq_id IS NULL OR k.start GROUP BY 1),
 tgt AS (SELECT seq_id, list(tok ORDER BY pos, o) AS t FROM (SELECT seq_id, pos, 1 AS o, token_id AS tok FROM k UNION ALL SELECT seq_id, pos, 0, 2000 + r FROM k WHERE start) GROUP BY 1)
-SELECT seq_id, array_to_string(list_concat(s, list_transform(range({L} - len(s)), lambda x: 0)), ' ') AS source, array_to_string(list_concat(list_append(coalesce(t, []), {EOS}), list_transform(range({P} - coalesce(len(t), 0)), lambda x: 0)), ' ') AS target FROM src LEFT JOIN tgt USING (seq_id)""")
+SELECT seq_id, array_to_string(list_concat(s, list_transform(range({L} - len(s)), lambda x: 0)), ' ') AS source, array_to_string(list_concat(list_append(coalesce(t, []), {EOS}), list_transform(range({P} - coalesce(len(t), 0)), lambda x: 0)), ' ') AS target, array_to_string(range({L}), ' ') AS source_position, array_to_string(range({P} + 1), ' ') AS target_position FROM src LEFT JOIN tgt USING (seq_id)""")
 def sentinel_corruption(spark, d):
     out = spans.sentinel_examples(span_masked(spark, d), L, P, 2000, EOS)
-    return out.select("seq_id", F.array_join("source", " ").alias("source"), F.array_join("target", " ").alias("target"))
+    return out.select("seq_id", F.array_join("source", " ").alias("source"), F.array_join("target", " ").alias("target"), *[F.array_join(c, " ").alias(c) for c in ("source_position", "target_position")])
 
 
 @query(f"""WITH {SPAN_MASKED}, w AS (SELECT *, lag(token_id) OVER o AS last, lag(segment_id) OVER o AS lseg FROM sm WHERE is_masked WINDOW o AS (PARTITION BY seq_id ORDER BY pos)),

@@ -444,3 +444,17 @@ def test_bitmaps_are_the_sets(spark):
     got = {r["set_id"]: np.flatnonzero(np.unpackbits(np.frombuffer(r["bitmap"], dtype=np.uint8), bitorder="little")).tolist() for r in renorm.bitmaps(spark.createDataFrame(rows, "set_id long, allowed array<int>"), 70001).collect()}
     assert got == dict(rows)
     assert {len(r["bitmap"]) for r in renorm.bitmaps(spark.createDataFrame(rows[:2], "set_id long, allowed array<int>"), 9).collect()} == {2}
+
+
+def test_sparse_gradients_equal_the_dense_mean(spark):
+    from corploom.operators import metrics
+
+    rng = random.Random(3)
+    dense = {(t, v, i): float(rng.randrange(1, 9)) if rng.random() < 0.3 else 0.0 for t in range(5) for v in ("a", "b") for i in range(20)}
+    rows = [(t, v, i, x) for (t, v, i), x in dense.items() if x] + [(0, "a", 3, 2.0), (0, "a", 3, 5.0)]
+    dense[0, "a", 3] += 7.0
+    got = {(r["var_name"], r["idx"]): r["grad"] for r in metrics.sparse_gradient_average(spark.createDataFrame(rows, "tower int, var_name string, idx int, grad double"), 5).collect()}
+    want = {(v, i): sum(dense[t, v, i] for t in range(5)) / 5 for v in ("a", "b") for i in range(20)}
+    assert {k: x for k, x in want.items() if x} == pytest.approx(got)
+    counted = metrics.sparse_gradient_average(spark.createDataFrame([(0, "a", 1, 2.0), (1, "a", 2, 4.0), (7, "b", 1, 3.0)], "tower int, var_name string, idx int, grad double")).collect()
+    assert {(r["var_name"], r["idx"]): r["grad"] for r in counted} == {("a", 1): 1.0, ("a", 2): 2.0, ("b", 1): 3.0}
