@@ -84,13 +84,27 @@ def sample_spans(seqs: DataFrame, seq_len: int, num_predict: int, law: SpanLaw =
 
 def mask_spans(rows: DataFrame, spans: DataFrame, num_predict: int, eos: int) -> DataFrame:
     """rows with is_masked, segment_id (the span's rank, 0 outside) and span_pos. Places are counted span by span in order of
-    rank, without eos, while there are at most num_predict of them: the last span may be cut."""
-    steps = spans.select("seq_id", "span_rank", F.explode(F.sequence("beg", F.col("end") - 1)).alias("pos")).where("pos >= 0")
-    hit = rows.select("seq_id", "pos", "token_id").join(steps, ["seq_id", "pos"]).where(F.col("token_id") != eos)
-    counted = hit.withColumn("_n", F.row_number().over(Window.partitionBy("seq_id").orderBy("span_rank", "pos"))).where(F.col("_n") <= num_predict)
-    inside = counted.withColumn("span_pos", F.row_number().over(Window.partitionBy("seq_id", "span_rank").orderBy("pos")) - 1)
-    out = rows.join(inside.select("seq_id", "pos", F.col("span_rank").alias("segment_id"), "span_pos"), ["seq_id", "pos"], "left")
-    return out.withColumn("is_masked", F.col("segment_id").isNotNull()).withColumn("segment_id", F.coalesce("segment_id", F.lit(0))).withColumn("span_pos", F.coalesce("span_pos", F.lit(0)))
+    rank, without eos, while there are at most num_predict of them: the last span may be cut.
+
+    A sequence's places (all of them, from 0) and its spans meet in one row, and what lies in [beg, end) is found there. Spans are disjoint.
+    """
+    names = [c for c in rows.columns if c != "seq_id"]
+    whole = rows.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in names if c != "pos"]))).alias("_z"))
+    own = spans.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct(F.col("span_rank").cast("int").alias("rank"), F.greatest(F.col("beg"), F.lit(0)).cast("int").alias("beg"), F.col("end").cast("int").alias("end")))).alias("_s"))
+    none = F.array().cast("array<int>")
+    inside = lambda s: F.when(s["beg"] < s["end"], F.sequence(s["beg"], s["end"] - 1)).otherwise(none)
+    steps = F.flatten(F.transform("_s", lambda s: F.transform(inside(s), lambda p: F.struct(s["rank"].alias("rank"), p.alias("pos")))))
+    hits = F.slice(F.filter(steps, lambda x: F.coalesce(F.get("_z", x["pos"])["token_id"] != eos, F.lit(False))), 1, num_predict)
+    joined = whole.join(own, "seq_id", "left").withColumn("_h", hits)
+    joined = joined.select("seq_id", "_z", F.transform("_h", lambda x: x["pos"].cast("int")).alias("_p"), F.transform("_h", lambda x: x["rank"]).alias("_r"))
+    at = joined.select("seq_id", F.explode("_z").alias("_x"), "_p", "_r").withColumn("_k", F.coalesce(F.array_position("_p", F.col("_x.pos").cast("int")), F.lit(0)).cast("int"))
+    rank = F.get("_r", F.col("_k") - 1)
+    masked = F.col("_k") > 0
+    first = F.array_position("_r", rank).cast("int")
+    return at.select(
+        *[F.col("seq_id") if c == "seq_id" else F.col(f"_x.{c}").alias(c) for c in rows.columns], F.when(masked, rank).otherwise(0).alias("segment_id"),
+        F.when(masked, F.col("_k") - first).otherwise(0).alias("span_pos"), masked.alias("is_masked"),
+    )
 
 
 def span_mask_topped_up(rows: DataFrame, spans: DataFrame, num_predict: int, eos: int, seed: int = 0) -> DataFrame:
