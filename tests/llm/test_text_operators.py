@@ -535,10 +535,14 @@ def test_declared_language_in_linear_time(spark):
     import time
 
     pages = ["<html lang=" + " " * 200_000, "<html " + "lang = '' " * 50_000, '<html data-lang="xx" lang="en">', "<HTML\nclass=x LANG='Pt-BR'>", "<html lang=de>", '<html data-lang="xx">', "<htmlx lang=fr>", None, '<html xml:lang="it">']
-    began = time.perf_counter()
-    got = [r["d"] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(langid.declared_of(F.col("html")).alias("d")).collect()]
-    assert got == [None, None, "en", "pt", "de", None, None, None, None]
-    assert time.perf_counter() - began < 8
+    df = spark.createDataFrame([(p,) for p in pages], "html string").cache()
+    assert df.count() == len(pages)
+    declared = df.select(langid.declared_of(F.col("html")).alias("d"))
+    assert [r["d"] for r in declared.collect()] == [None, None, "en", "pt", "de", None, None, None, None]
+    began = time.perf_counter()  # the session is warm now
+    declared.collect()
+    assert time.perf_counter() - began < 2
+    df.unpersist()
 
 
 def test_long_word_needs_little_memory():
