@@ -27,11 +27,15 @@ from corploom.llm.components import components
 from corploom.llm.scratch import Scratch
 from corploom.llm.vectors import finite, matrix
 
-#: Rows that the quantisers are fitted on, at most; every row is indexed.
-SAMPLE_ROWS = 40_000
-#: Lists: LISTS_ROOT times the root of the number of vectors, at most MOST_LISTS.
-LISTS_ROOT, MOST_LISTS = 2.5, 8192
+#: Rows that the quantisers are fitted on: SAMPLE_ROWS, or SAMPLE_PER_LIST for each list if that is more; every row is indexed.
+SAMPLE_ROWS, SAMPLE_PER_LIST = 40_000, 5
+#: Lists: LISTS_ROOT times the root of the number of vectors, at most MOST_LISTS (reached at some 700 million vectors of one length). Beyond FLAT_LISTS
+#: the centroids are fitted in two levels.
+LISTS_ROOT, MOST_LISTS, FLAT_LISTS = 2.5, 65536, 4096
+#: See above; math.inf visits every list that can hold a vector within the limit, so that no link is lost.
 DEVIATIONS = 2.0
+#: Entries of a block of distances from rows to centroids.
+DISTANCES = 1 << 21
 #: Members of one list and label that are compared at once; of longer ones each block is compared. Rows of one task, about.
 BLOCK_ROWS, TASK_ROWS = 2048, 16384
 #: Pairs looked up at once.
@@ -40,13 +44,28 @@ SUBSPACE = 4
 CODES = 256
 
 
+def _blocks(rows: int, lists: int) -> Iterator[slice]:
+    """Slices of rows such that a block's distances to all lists stay within DISTANCES entries."""
+    step = max(16, min(1024, DISTANCES // max(1, lists)))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The centroid that is nearest to each row."""
+    square = (c * c).sum(axis=1)
+    own = np.zeros(len(x), dtype=np.int64)
+    for rows in _blocks(len(x), len(c)):
+        own[rows] = (square - 2 * x[rows] @ c.T).argmin(axis=1)
+    return own
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Centroids of Lloyd's rounds from a random start; fewer rows than k give a centroid each."""
     if len(x) <= k:
         return x.copy()
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+        own = _nearest(x, c)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -54,6 +73,19 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
+def _centroids(x: np.ndarray, k: int, rng: np.random.Generator, flat: int = FLAT_LISTS) -> np.ndarray:
+    """About k centroids, at most one a row. More than flat of them are fitted in two levels: some root of k first, then inside each of their cells
+    as many as its share of rows, so that a row is compared with about two roots of k centroids and not with k."""
+    if k <= flat or len(x) <= k:
+        return _kmeans(x, k, rng)
+    own = _nearest(x, upper := _kmeans(x, math.ceil(math.sqrt(k)), rng))
+    size = np.bincount(own, minlength=len(upper))
+    share = np.diff(np.floor(np.cumsum(size) * (k / len(x)) + 1e-9).astype(np.int64), prepend=0)
+    order = np.argsort(own, kind="stable")
+    cells = np.split(order, np.cumsum(size)[:-1])
+    return np.concatenate([_kmeans(x[cell], max(1, int(n)), rng) for cell, n in zip(cells, share, strict=True) if len(cell)])
+
+
 @dataclass
 class Index:
     """centroids (K, d) and, for each subspace, codewords."""
@@ -95,9 +127,8 @@ class Index:
 def fit(sample: np.ndarray, lists: int, seed: int = 17) -> Index:
     """Fit on unit vectors."""
     rng = np.random.default_rng(seed)
-    c = _kmeans(sample, lists, rng)
-    own = ((c * c).sum(axis=1) - 2 * sample @ c.T).argmin(axis=1)
-    r = sample - c[own]
+    c = _centroids(sample, lists, rng)
+    r = sample - c[_nearest(sample, c)]
     index = Index(c, [])
     index.words = [_kmeans(r[:, part], CODES, rng, 4) for part in index.parts()]
     return index
@@ -110,18 +141,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _assign(rows: DataFrame, index: Index, reach: float) -> DataFrame:
+def _assign(rows: DataFrame, index: Index, reach: float, deviations: float = DEVIATIONS) -> DataFrame:
     """rows (node, label, embedding, copies) with home, the list, its code, and probes: home and later lists that may hold a vector within reach."""
     c = index.centroids
-    margin = 2 * (reach + 1e-9) * min(1.0, DEVIATIONS / math.sqrt(c.shape[1]))
-    square = (c * c).sum(axis=1)
+    margin = 2 * (reach + 1e-9) * min(1.0, deviations / math.sqrt(c.shape[1]))
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        c = index.centroids
+        square = (c * c).sum(axis=1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for rows in _blocks(batch.num_rows, len(c)):
+                part = batch.slice(rows.start, rows.stop - rows.start)
                 x = _unit(matrix(part.column(2)))
                 far = 1 - 2 * x @ c.T + square
                 home = far.argmin(axis=1)
@@ -224,15 +256,16 @@ def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _links(nodes: DataFrame, n: int, limit: float, scratch: Scratch) -> DataFrame:
+def _links(nodes: DataFrame, n: int, limit: float, scratch: Scratch, deviations: float = DEVIATIONS) -> DataFrame:
     """(node, other, links) of nodes of one length: links a node, or with other a link of a forest."""
     lists = max(1, min(MOST_LISTS, math.ceil(LISTS_ROOT * math.sqrt(n))))
-    # a hash chooses about SAMPLE_ROWS rows; a chance excess is cut
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < max(1, min(1_000_000, math.ceil(1.05e6 * SAMPLE_ROWS / n)))).select("embedding").limit(2 * SAMPLE_ROWS).toArrow()
+    wanted = max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists)
+    # a hash chooses about as many rows as are wanted; a chance excess is cut
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < max(1, min(1_000_000, math.ceil(1.05e6 * wanted / n)))).select("embedding").limit(2 * wanted).toArrow()
     if not sample.num_rows:
-        sample = nodes.select("embedding").limit(SAMPLE_ROWS).toArrow()
+        sample = nodes.select("embedding").limit(wanted).toArrow()
     index = fit(_unit(matrix(pa.concat_arrays(sample["embedding"].chunks))), lists)
-    placed = scratch.save(_assign(nodes.select("node", "label", "embedding", "copies"), index, math.sqrt(2 - 2 * limit)))
+    placed = scratch.save(_assign(nodes.select("node", "label", "embedding", "copies"), index, math.sqrt(2 - 2 * limit), deviations))
     # a list's members of one label in blocks of about BLOCK_ROWS, and likewise those that probe it
     sizes = placed.groupBy("label", "home").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     probing = placed.select("node", "label", F.explode("probes").alias("home"))
@@ -255,13 +288,14 @@ def _links(nodes: DataFrame, n: int, limit: float, scratch: Scratch) -> DataFram
     return scratch.save(members.unionByName(queries).groupBy("key").applyInArrow(_compare(shared, limit), "node long, other long, links long"))
 
 
-def near_vectors(vectors: DataFrame, scratch: Scratch, limit: float = 0.93) -> DataFrame:
+def near_vectors(vectors: DataFrame, scratch: Scratch, limit: float = 0.93, deviations: float = DEVIATIONS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding, label).
 
     Rows link when labels are equal and not null, both have as many components, and cosine >= limit. Vectors that are null,
     zero or hold null or non-finite components link with nothing, nor do rows with a null label or id: their component is
     their own id, and kept is true (null for a null id). Components of floats are compared as they are, others as doubles. Repeated rows and equal vectors of one label link with each other.
-    Equal vectors are compared once and count by their number. An empty table gives no rows.
+    Equal vectors are compared once and count by their number. An empty table gives no rows. deviations: how far lists are
+    probed (see the module); with math.inf no link can be lost.
     """
     double = not vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # floats stay as small as they are
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
@@ -271,7 +305,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, limit: float = 0.93) -> D
     nodes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("embedding")))
     links, edges = [], []
     for r in nodes.groupBy("dims").count().orderBy("dims").collect():  # one pass for each length of vectors; tables have one as a rule
-        found = _links(nodes.where(F.col("dims") == r["dims"]), r["count"], limit, scratch)
+        found = _links(nodes.where(F.col("dims") == r["dims"]), r["count"], limit, scratch, deviations)
         links.append(found.where("other < 0").select("node", "links"))
         edges.append(found.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
     if links:

@@ -1,10 +1,12 @@
+import math
 import random
+import tracemalloc
 
 import numpy as np
 from corploom.llm.ann import nearest
 from corploom.llm.chat import render, rotate
 from corploom.llm.components import components
-from corploom.llm.pq import near_vectors
+from corploom.llm.pq import _centroids, _nearest, fit, near_vectors
 from corploom.llm.scratch import Scratch
 from corploom.llm.words import document_shingles, flat_shingles
 from pyspark.sql import functions as F
@@ -64,6 +66,8 @@ def test_near_vectors(spark):
     rows = vectors()
     with Scratch(spark, "t") as s:
         got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, VECTORS).withColumn("node", F.lit(1)), s, 0.93).collect()), key=str)
+        exact = near_vectors(spark.createDataFrame(rows, VECTORS), s, 0.93, deviations=math.inf).collect()
+    assert got == sorted(map(tuple, exact), key=str)
     ok = [usable(v) and label is not None and k is not None for k, v, label in rows]
     linked = {a: [b for b in range(len(rows)) if a != b and ok[a] and ok[b] and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]) and np.dot(rows[a][1], rows[b][1]) / np.linalg.norm(rows[a][1]) / np.linalg.norm(rows[b][1]) >= 0.93] for a in range(len(rows))}
     want = []
@@ -81,6 +85,27 @@ def test_near_vectors(spark):
         assert near_vectors(spark.createDataFrame([], VECTORS), s).collect() == []
 
 
+def test_centroids_in_two_levels():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    error = lambda c: ((x - c[_nearest(x, c)]) ** 2).sum()
+    flat, two = _centroids(x, 300, np.random.default_rng(1)), _centroids(x, 300, np.random.default_rng(1), flat=10)
+    assert 300 <= len(two) <= 300 + math.ceil(math.sqrt(300)) and error(two) < 1.1 * error(flat)
+    assert _nearest(x, two).tolist() == ((two * two).sum(axis=1) - 2 * x @ two.T).argmin(axis=1).tolist()
+    assert len(_centroids(x[:50], 300, rng, flat=10)) == 50
+
+
+def test_the_fit_needs_little_memory():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40_000, 16))
+    tracemalloc.start()
+    fit(x, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # rows times lists would be 320 MB
+
+
 def test_nearest(spark):
     rows = [(k, v) for k, v, _ in vectors(2)]
     queries = [r for r in rows if r[0] is not None and r[0] % 10 == 0]
