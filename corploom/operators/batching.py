@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corploom.functions.arrays import indices
 from corploom.functions.rng import keyed_uniform
+from corploom.operators.bands import band_join
 from corploom.operators.positions import offsets
 
 
@@ -140,11 +141,11 @@ def variable_bounds(spark, n_step: int, bptt: int, seed: int = 0, std: float = 5
 
 
 def variable_batches(stream: DataFrame, n_tokens: int, bsz: int, bounds: DataFrame) -> DataFrame:
-    """(batch_id, b, input, target) with the bounds' lengths: a range join of steps with bounds."""
+    """(batch_id, b, input, target) with the bounds' lengths: steps meet the bounds that hold them, a bound's last step also being the next one's first."""
     n_step = n_tokens // bsz
     at = stream.where(F.col("gpos") < n_step * bsz).select((F.col("gpos") % n_step).alias("t"), F.floor(F.col("gpos") / n_step).cast("int").alias("b"), "token_id")
-    steps = bounds.select("batch_id", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("len"))).alias("t"))
-    return _shifted(at.join(steps, "t"), ["batch_id", "b"], "t", "input", "target")
+    held = bounds.select("batch_id", "begin", (F.col("begin") + F.col("len") + 1).alias("end"))
+    return _shifted(band_join(at, held, "t", "begin", "end", share=None).drop("begin", "end"), ["batch_id", "b"], "t", "input", "target")
 
 
 def slot_sentences(pairs: np.ndarray, bsz: int, bptt: int) -> tuple[list[list[slice]], int]:

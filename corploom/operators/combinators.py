@@ -21,6 +21,28 @@ def shuffled(df: DataFrame, key: list[str], seed: int = 0, buffer_size: int | No
     return shuffle_key(df, key, seed).orderBy("shuffle_key", *key).drop("shuffle_key")
 
 
+def buffered_shuffle(df: DataFrame, index: str, buffer_size: int, key: list[str], seed: int = 0, epoch: Column | None = None) -> DataFrame:
+    """df with slot, its contiguous index (from 0) after a shuffle that moves no row by buffer_size places or more.
+
+    Two keyed permutations of blocks of half a buffer, the second one's blocks beginning in the middle of the first one's: each block is
+    a group of its own, so that there is no sort of all rows, and rows still pass from block to block. buffer_size below 4 moves nothing.
+    """
+    half = buffer_size // 2
+    if half < 2:
+        return df.withColumn("slot", F.col(index).cast("long"))
+    draw = lambda tag: keyed_bits(seed, tag, epoch if epoch is not None else F.lit(0), *[F.col(k) for k in key])
+
+    def permuted(rows: DataFrame, place: str, shift: int, tag: str) -> DataFrame:
+        block = F.floor((F.col(place) + shift) / half).cast("long")
+        rows = rows.withColumn("_block", block).withColumn("_draw", draw(tag))
+        rank = F.row_number().over(Window.partitionBy("_block").orderBy("_draw", place))
+        # the first block of a shifted pass begins before the first row
+        return rows.withColumn("_at", (F.greatest(F.col("_block") * half - shift, F.lit(0)) + rank - 1).cast("long")).drop("_block", "_draw")
+
+    once = permuted(df, index, 0, "buffer1").withColumnRenamed("_at", "_once")
+    return permuted(once, "_once", half // 2, "buffer2").withColumnRenamed("_at", "slot").drop("_once")
+
+
 def repeat(df: DataFrame, epochs: int) -> DataFrame:
     """df's rows once for each epoch; the order within is the same in all."""
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.functions.rng import keyed_uniform
+from corploom.operators.bands import band_join
 
 
 @dataclass(frozen=True)
@@ -107,6 +108,13 @@ def mask_spans(rows: DataFrame, spans: DataFrame, num_predict: int, eos: int) ->
     )
 
 
+def span_places(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows (seq_id, pos, ..) that lie in a span, once for each span that holds them, with the spans' columns and span_pos, the place in the span. Spans may
+    overlap and a sequence may have any length: places and spans meet by bins, not in one row. A bin of a
+    sequence holds no more places than it is wide."""
+    return band_join(rows, spans, "pos", "beg", "end", ("seq_id",), share=None).withColumn("span_pos", (F.col("pos") - F.col("beg")).cast("int"))
+
+
 def span_mask_topped_up(rows: DataFrame, spans: DataFrame, num_predict: int, eos: int, seed: int = 0) -> DataFrame:
     """Spans first, then single places until num_predict are masked."""
     spanned = mask_spans(rows, spans, num_predict, eos)

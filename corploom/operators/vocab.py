@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corploom.operators.bands import band_join
 from corploom.operators.positions import indexed
 
 #: A vocabulary up to this size is sent to all executors; a larger one is joined by shuffle.
@@ -124,3 +125,19 @@ def adaptive_cluster(token_id: Column, cutoffs: list[int], vocab_size: int) -> t
         inside = (token_id >= lo) & (token_id < hi)
         cluster, local = F.when(inside, F.lit(k)).otherwise(cluster), F.when(inside, (token_id - lo).cast("int")).otherwise(local)
     return cluster, local
+
+
+def coverage_cutoffs(vocab: DataFrame, parts: list[int], of: int) -> DataFrame:
+    """(cluster, first_id, end_id) of a vocabulary (token_id, cnt) whose ids are contiguous and begin with the commonest: cluster k holds the ids before which parts[k - 1] / of
+    of all occurrences are counted, and parts[k] / of aren't. Clusters that hold no id are absent. The vocabulary is bounded; one window sums it."""
+    before = F.coalesce(F.sum("cnt").over(Window.orderBy("token_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = vocab.select("token_id", before.alias("_before"), F.sum("cnt").over(Window.partitionBy()).alias("_all"))
+    reached = [(F.col("_before") * of >= F.col("_all") * p).cast("int") for p in parts]
+    cluster = sum(reached[1:], reached[0])
+    return placed.groupBy(cluster.alias("cluster")).agg(F.min("token_id").cast("long").alias("first_id"), (F.max("token_id") + 1).cast("long").alias("end_id"))
+
+
+def cluster_join(ids: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """ids (.., token_id) with cluster and local_id by a table of cutoffs (cluster, first_id, end_id); null where no interval holds the id."""
+    out = band_join(ids, cutoffs.select("cluster", "first_id", "end_id"), "token_id", "first_id", "end_id", how="left")
+    return out.withColumn("local_id", (F.col("token_id") - F.col("first_id")).cast("int")).drop("first_id", "end_id")

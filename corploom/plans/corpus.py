@@ -8,6 +8,7 @@ from corploom.functions import arrays
 from corploom.functions import text as tx
 from corploom.functions import tokenizers as tk
 from corploom.operators import batching, combinators, metrics, positions, vocab, windows
+from corploom.operators.tables import written
 from corploom.plans import base
 from corploom.plans.base import table
 from corploom.sources import records, sinks
@@ -184,6 +185,16 @@ def adaptive_buckets(spark, d):
     return base.encoded_stream(spark, d).select("gpos", cluster.alias("cluster"), local.alias("local_id"))
 
 
+@query(f"""WITH {base.sql_ids()}, b AS (SELECT token_id, coalesce(sum(cnt) OVER (ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(cnt) OVER () AS n FROM vocab),
+k AS (SELECT CASE WHEN bef * 20 < n * 10 THEN 0 WHEN bef * 20 < n * 15 THEN 1 WHEN bef * 20 < n * 18 THEN 2 ELSE 3 END AS cluster, min(token_id) AS first_id, max(token_id) AS last_id FROM b GROUP BY 1)
+SELECT gpos, token_id, CAST(cluster AS INTEGER) AS cluster, CAST(token_id - first_id AS INTEGER) AS local_id FROM ids LEFT JOIN k ON token_id BETWEEN first_id AND last_id""")
+def coverage_clusters(spark, d):
+    """Clusters whose cutoffs lie where half, three quarters and nine tenths of the vocabulary's occurrences are reached."""
+    vocabulary = written(base.documents_vocab(spark, d))
+    ids = vocab.encode(base.token_stream(spark, d), vocabulary, 0, 5000 + len(base.SPECIALS)).select("gpos", "token_id")
+    return vocab.cluster_join(ids, written(vocab.coverage_cutoffs(vocabulary, [10, 15, 18], 20))).select("gpos", "token_id", "cluster", "local_id")
+
+
 @query(f"""WITH {_LINES}, w AS (SELECT doc_id, {_WS} AS ws FROM lines) SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS n_docs, CAST(sum(CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, CAST(sum(len(ws)) AS BIGINT) AS n_tokens FROM w""")
 def corpus_counters(spark, d):
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.size(tx.words(x)) > 0))
@@ -198,6 +209,14 @@ def keyed_shuffle(spark, d):
     return combinators.shuffle_key(table(spark, d, "documents").select("doc_id"), ["doc_id"], 5)
 
 
+@query(f"""WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents),
+a AS (SELECT doc_id, place, place // 32 * 32 + row_number() OVER (PARTITION BY place // 32 ORDER BY {_U.format(chr(39) + '5|buffer1|0|' + chr(39) + ' || doc_id')}, place) - 1 AS once FROM i)
+SELECT doc_id, place, CAST(greatest((once + 16) // 32 * 32 - 16, 0) + row_number() OVER (PARTITION BY (once + 16) // 32 ORDER BY {_U.format(chr(39) + '5|buffer2|0|' + chr(39) + ' || doc_id')}, once) - 1 AS BIGINT) AS slot FROM a""")
+def buffered_shuffle(spark, d):
+    docs = positions.indexed(table(spark, d, "documents").select("doc_id"), "doc_id", "place")
+    return combinators.buffered_shuffle(docs, "place", 64, ["doc_id"], 5).select("doc_id", "place", "slot")
+
+
 @query("SELECT doc_id, CAST(e AS INTEGER) AS epoch FROM documents, range(3) r(e)")
 def repeat_epochs(spark, d):
     return combinators.repeat(table(spark, d, "documents").select("doc_id"), 3)
