@@ -135,6 +135,17 @@ def manifest_counts(spark, d):
     return records.merged_manifests(made, "num_example", 1).select("filename", F.col("n_total").alias("num_example"))
 
 
+@query("""WITH f AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), m AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY lang) - 1 AS i, count(*) OVER (PARTITION BY source) AS k, sum(n) OVER (PARTITION BY source) AS n,
+CAST(('0x' || substr(md5(source), 1, 4))::BIGINT % 3 AS INTEGER) AS pass_id FROM f), s AS (SELECT *, least(2, k) AS eff, CAST(floor(CAST(n AS DOUBLE) * (CAST(least(2, k) AS DOUBLE) / CAST(k AS DOUBLE))) AS BIGINT) AS t FROM m WHERE pass_id < 2)
+SELECT source || '/' || lang AS filename, CAST(t // eff + CASE WHEN i < t % eff THEN 1 ELSE 0 END AS BIGINT) AS n, t AS n_total FROM s WHERE i < eff""")
+def manifest_passes(spark, d):
+    """Each source's files (one a language) as a manifest of one of three passes, of which two are read."""
+    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    made = counts.groupBy("source").agg(F.array_sort(F.collect_list(F.concat(F.lit("old/"), "lang"))).alias("filenames"), F.sum("n").alias("num_batch"))
+    made = made.withColumn("pass_id", (F.conv(F.substring(F.md5("source"), 1, 4), 16, 10).cast("long") % 3).cast("int")).withColumnRenamed("source", "dir")
+    return records.merged_manifests(made, "num_batch", 2)
+
+
 @query("SELECT doc_id, CAST((dense_rank() OVER (ORDER BY source) - 1) % 4 AS INTEGER) AS task FROM documents")
 def interleaved_tasks(spark, d):
     from pyspark.sql import Window

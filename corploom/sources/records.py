@@ -54,13 +54,36 @@ def store(spark: SparkSession, path: str, split: str, kinds: tuple[str, ...], un
     return spark.read.parquet(path).where((F.col("split") == split) & F.col("kind").isin(real) & (F.col("uncased") == uncased))
 
 
+def read_manifests(spark: SparkSession, dirs: str, name: str = "*pass-*.json*", count: str = "num_batch") -> DataFrame:
+    """(dir, pass_id, filenames, count) of the manifest files called name in comma-separated folders; pass_id is the number after "pass-" in
+    the file's name, null without one. A manifest that lacks filenames or its count raises when the row is computed."""
+    out = None
+    for folder in [x.strip().rstrip("/") for x in dirs.split(",") if x.strip()]:
+        rows = spark.read.schema(f"filenames array<string>, {count} bigint").option("multiLine", True).option("pathGlobFilter", name).json(folder)
+        pass_id = F.regexp_extract(F.col("_metadata.file_name"), r"pass-([0-9]+)", 1)
+        known = F.col("filenames").isNotNull() & F.col(count).isNotNull()
+        n = F.when(known, F.col(count)).otherwise(F.raise_error(F.concat(F.lit("no filenames or counts in "), F.col("_metadata.file_path"))))
+        own = rows.select(F.lit(folder).alias("dir"), F.when(pass_id != "", pass_id.cast("int")).alias("pass_id"), "filenames", n.cast("long").alias(count))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no folders")
+    return out
+
+
 def merged_manifests(manifests: DataFrame, count: str, n_passes: int | None = None) -> DataFrame:
-    """(filename, n) of manifest rows (dir, pass_id, filenames, count): names re-rooted at their manifest's folder, passes below n_passes,
-    counts shared evenly by a manifest's files and each manifest's total in n_total."""
+    """(filename, n, n_total) of manifest rows (dir, pass_id, filenames, count), names re-rooted at their manifest's folder.
+
+    With n_passes, manifests of that pass or later ones go, each other keeps its first n_passes files at most, and its count is scaled by the share
+    of files kept, rounded down. n_total is the manifest's count, n the file's share of it: even, earlier files have one more. A
+    manifest without files gives no rows."""
     rows = manifests if n_passes is None else manifests.where(F.col("pass_id") < n_passes)
-    every = F.explode("filenames")
-    out = rows.select("dir", F.size("filenames").alias("_k"), F.col(count).cast("long").alias("n_total"), every.alias("_f"))
-    return out.select(F.concat("dir", F.lit("/"), F.regexp_extract("_f", "([^/]*)$", 1)).alias("filename"), "n_total", "_k")
+    size = F.size("filenames")
+    kept = size if n_passes is None else F.least(size, F.lit(n_passes))
+    # in doubles, as those who wrote such manifests scale them
+    total = F.col(count).cast("long") if n_passes is None else F.floor(F.col(count).cast("double") * (kept.cast("double") / size.cast("double"))).cast("long")
+    out = rows.where(size > 0).select("dir", kept.alias("_k"), total.alias("n_total"), F.posexplode(F.slice("filenames", F.lit(1), kept)).alias("_i", "_f"))
+    each = F.floor(F.col("n_total") / F.col("_k")) + (F.col("_i") < F.col("n_total") % F.col("_k")).cast("long")
+    return out.select(F.concat("dir", F.lit("/"), F.regexp_extract("_f", "([^/]*)$", 1)).alias("filename"), each.cast("long").alias("n"), "n_total")
 
 
 def shard_name(prefix: str, suffix: str, shard: Column, shards: int, uncased: bool, seq_len: int | None = None, bsz: int | None = None) -> Column:
